@@ -29,30 +29,25 @@ def meter_event_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("meter_number").agg(F.count(F.lit(1)).alias("event_count"))
 
 
-def meter_summary(events: DataFrame, customers: DataFrame, fanout: bool = True,
-                  as_of: datetime | None = None) -> DataFrame:
-    """One row per meter that has events.
-
-    * latest event: newest ``event_time`` (``event_id`` breaks ties);
-    * ``accountnumber``: of the customer on that meter with the smallest
-      ``ecgkey`` (NULL when no customer has the meter);
-    * ``event_count``: the source counts events *after* joining customers,
-      so a meter shared by n customers counts n times (``fanout=True``,
-      parity).  Computed as events-per-meter × customers-per-meter instead of
-      a window over the joined rows, which never materialises the fan-out;
-    * ``has_event_coordinates``: the latest event has both coordinates.
-    """
+def events_per_meter(events: DataFrame) -> DataFrame:
+    """Per meter: event count ``_n`` and latest event struct ``_le``
+    (partial aggregation; the same shape a streaming aggregate keeps)."""
     order = event_order(events)
     latest_cols = [c for c, _ in _LATEST]
-    ev = (events.groupBy("meter_number")
-          .agg(F.count(F.lit(1)).alias("_n"),
-               F.max_by(F.struct(*[F.col(c) for c in latest_cols]),
-                        F.struct(*[F.col(c) for c in order])).alias("_le")))
+    return (events.groupBy("meter_number")
+            .agg(F.count(F.lit(1)).alias("_n"),
+                 F.max_by(F.struct(*[F.col(c) for c in latest_cols]),
+                          F.struct(*[F.col(c) for c in order])).alias("_le")))
+
+
+def finish_meter_summary(per_meter: DataFrame, customers: DataFrame, fanout: bool = True,
+                         as_of: datetime | None = None) -> DataFrame:
+    """Meter summary rows from ``events_per_meter`` output plus customers."""
     cust = (customers.filter(F.col("meternumber").isNotNull())
             .groupBy("meternumber")
             .agg(F.count(F.lit(1)).alias("_nc"),
                  F.min_by("accountnumber", "ecgkey").alias("accountnumber")))
-    j = ev.join(cust, ev["meter_number"] == cust["meternumber"], "left")
+    j = per_meter.join(cust, per_meter["meter_number"] == cust["meternumber"], "left")
     count = F.col("_n") * F.coalesce(F.col("_nc"), F.lit(1)) if fanout else F.col("_n")
     out = j.select(
         F.col("meter_number").alias("meternumber"),
@@ -66,6 +61,25 @@ def meter_summary(events: DataFrame, customers: DataFrame, fanout: bool = True,
     return out
 
 
+def meter_summary(events: DataFrame, customers: DataFrame, fanout: bool = True,
+                  as_of: datetime | None = None) -> DataFrame:
+    """One row per meter that has events.
+
+    * latest event: newest ``event_time`` (``event_id`` breaks ties);
+    * ``accountnumber``: of the customer on that meter with the smallest
+      ``ecgkey`` (NULL when no customer has the meter);
+    * ``event_count``: the source counts events *after* joining customers,
+      so a meter shared by n customers counts n times (``fanout=True``,
+      parity).  Computed as events-per-meter x customers-per-meter instead of
+      a window over the joined rows, which never materialises the fan-out;
+    * ``has_event_coordinates``: the latest event has both coordinates.
+
+    Both inputs are reduced to one row per meter (partial aggregation), so
+    the join is between two relations hash-partitioned on the meter.
+    """
+    return finish_meter_summary(events_per_meter(events), customers, fanout, as_of)
+
+
 def event_coordinate_meters(events: DataFrame) -> DataFrame:
     """Distinct meters having at least one event with both coordinates."""
     return (events.filter(both_present("latitude", "longitude"))

@@ -248,6 +248,179 @@ def table_stats(spark, sf):
     return R.table_stats(spark, {t: f"{sf}/{t}.parquet" for t in ("customer", "events", "nation", "region")})
 
 
+
+
+# ── ingest typing, months, lock-outs, merges, pipeline, streams ──────────────
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the session's shared checkpoint directory."""
+    import uuid
+
+    from gridwatch.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/gridwatch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+# Dirty boolean spellings cycled through by the typing query.
+DIRTY_BOOL = ["", " ", "abc", "1", "t", "true", "TRUE"]
+
+
+def coerced_customers(spark, sf):
+    from gridwatch.sources.readers import typed_customers
+    cust, _ = _base(spark, sf)
+    k = F.col("ecgkey").cast("long")
+    dirty = F.element_at(F.array(*[F.lit(v) for v in DIRTY_BOOL]), (k % 7 + 1).cast("int"))
+    text = cust.select(
+        "ecgkey", F.coalesce("meternumber", F.lit("")).alias("meternumber"),
+        F.col("latitude").cast("string").alias("latitude"),
+        F.col("currentbalance").cast("string").alias("currentbalance"),
+        F.col("lastpaymentdate").cast("string").alias("lastpaymentdate"),
+        dirty.alias("isamr"),
+        F.when(k % 5 == 0, F.lit("n/a")).otherwise((k * 10).cast("string")).alias("lastreadingvalue"))
+    typed = typed_customers(text, api=True)
+    return typed.select("ecgkey", "meternumber", "latitude",
+                        F.col("currentbalance").cast("double").alias("currentbalance"),
+                        "lastpaymentdate", "isamr", "lastreadingvalue")
+
+
+def parsed_timestamps(spark, sf):
+    from gridwatch.functions.coerce import parse_timestamp
+    _, ev = _base(spark, sf)
+    m = F.col("event_id") % 8
+    t = F.col("event_time")
+    text = (F.when(m == 0, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+            .when(m == 1, F.date_format(t + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+02:00'"))
+            .when(m == 2, F.date_format(t, "yyyy-MM-dd HH:mm:ss"))
+            .when(m == 3, F.date_format(t, "yyyy-MM-dd"))
+            .when(m == 4, F.lit("2026")).when(m == 5, F.lit("garbage")).when(m == 6, F.lit(""))
+            .otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")))
+    return ev.select("event_id", text.alias("text")).select(
+        "event_id", "text", parse_timestamp("text").cast("timestamp_ntz").alias("parsed"))
+
+
+def events_by_month(spark, sf):
+    from gridwatch.sources.readers import events_by_month as by_month
+    _, ev = _base(spark, sf)
+    return by_month(ev).select(F.date_format("month", "yyyy-MM").alias("month"), "events", "meters")
+
+
+def events_month_pruned(spark, sf):
+    """Events stored by month, read back with a time range: the month
+    predicate prunes partitions before the scan."""
+    from gridwatch.sources.readers import read_events, write_events
+    _, ev = _base(spark, sf)
+    path = _scratch(spark, "events_by_month")
+    write_events(ev, path)
+    stored = read_events(spark, path)
+    f = EventFilter(from_=parse_query_time("2024-01-10"), to=parse_query_time("2024-01-20T12:00:00Z"))
+    return C.event_rows(C.filter_events(stored, f))
+
+
+# Lock-out parameters for the registered query: a 3-day window so that the
+# driver's event density (a few attempts per user per day) reaches the limit.
+LOCKOUT_WINDOW_DAYS = 3
+LOCKOUT_MAX = 5
+
+
+def attempt_lockouts(spark, sf):
+    from datetime import timedelta
+
+    from gridwatch.operators.lockouts import attempt_lockouts as lockouts
+    from gridwatch.operators.lockouts import attempts_from_events
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    out = lockouts(attempts_from_events(events), timedelta(days=LOCKOUT_WINDOW_DAYS), LOCKOUT_MAX)
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def merge_meter_summary(spark, sf):
+    """Snapshot from the first half of January, then an upsert with a summary
+    of the second half: meters absent from the second half are kept."""
+    from gridwatch.sources.sinks import merge_by_key
+    cust, ev = _base(spark, sf)
+    cut = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    old = S.meter_summary(ev.filter(F.col("event_time") < cut), cust)
+    new = S.meter_summary(ev.filter(F.col("event_time") >= cut), cust)
+    return merge_by_key(old, new, ["meternumber"])
+
+
+def merge_district_sticky(spark, sf):
+    """District snapshot with lower-case names, upserted with a fresh summary:
+    names and region stay as first inserted, counters move."""
+    from gridwatch.plans.refresh import STICKY_DISTRICT, UNTOUCHED_DISTRICT
+    from gridwatch.sources.sinks import merge_sticky
+    cust, _, ms = _enriched(spark, sf)
+    old = (S.district_event_summary(cust.filter(F.col("ecgkey") < "000000700"), ms, service_mix=True)
+           .withColumn("districtname", F.lower("districtname")))
+    new = S.district_event_summary(cust.filter(F.col("ecgkey") >= "000000300"), ms)
+    out = merge_sticky(old, new, ["districtcode"], sticky=STICKY_DISTRICT,
+                       untouched=UNTOUCHED_DISTRICT, defaults={c: 0 for c in UNTOUCHED_DISTRICT})
+    return _round_geom(out)
+
+
+def refresh_pipeline(spark, sf):
+    """The four-step refresh into a fresh snapshot root; returns the
+    published district summary."""
+    from datetime import datetime
+
+    from gridwatch.plans.refresh import Refresh
+    cust, ev = _base(spark, sf)
+    r = Refresh(spark, _scratch(spark, "refresh"), run_id="catalog")
+    r.run(cust, ev, as_of=datetime(2024, 2, 1))
+    return _round_geom(r.table("district_event_summary").drop("updated_at"))
+
+
+def pipeline_status(spark, sf):
+    from datetime import datetime
+
+    from gridwatch.plans.refresh import Refresh
+    cust, ev = _base(spark, sf)
+    r = Refresh(spark, _scratch(spark, "refresh"), run_id="catalog")
+    r.run(cust, ev, as_of=datetime(2024, 2, 1))
+    return r.status(final=True).drop("finished_at")
+
+
+def stream_meter_summary(spark, sf):
+    """Meter summary maintained by a streaming aggregate over the event
+    files (available-now trigger), finished with the customer join."""
+    from gridwatch.sources.fixtures import events_from_stream
+    from gridwatch.streaming.incremental import meter_summary_stream, read_meter_state, read_stream
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    raw = read_stream(spark, sf, schema, file_glob="events.parquet")
+    root = _scratch(spark, "stream_ms")
+    q = meter_summary_stream(events_from_stream(raw), f"{root}/state", f"{root}/_chk")
+    q.awaitTermination()
+    cust, _ = _base(spark, sf)
+    return S.finish_meter_summary(read_meter_state(spark, f"{root}/state"), cust)
+
+
+def stream_event_flags(spark, sf):
+    """'any' coordinate flags from a streaming distinct of coordinate meters."""
+    from gridwatch.sources.fixtures import events_from_stream
+    from gridwatch.streaming.incremental import (coordinate_meter_stream, flags_from_coordinate_meters,
+                                                 read_stream)
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    raw = read_stream(spark, sf, schema, file_glob="events.parquet")
+    root = _scratch(spark, "stream_flags")
+    q = coordinate_meter_stream(events_from_stream(raw), f"{root}/meters", f"{root}/_chk")
+    q.awaitTermination()
+    cust, _ = _base(spark, sf)
+    return flags_from_coordinate_meters(cust, spark.read.parquet(f"{root}/meters")).select(
+        "ecgkey", "meternumber", "has_own_coordinates", "has_event_coordinates", "has_any_coordinates")
+
+
+def geojson_features(spark, sf):
+    from gridwatch.sources.exports import geojson_features as features
+    cust, ev = _base(spark, sf)
+    return features(C.customer_dto(J.with_latest_event(cust, ev)))
+
+
+def customer_page_envelope(spark, sf):
+    from gridwatch.sources.exports import customer_envelope
+    cust, ev = _base(spark, sf)
+    f = CustomerFilter(search=SEARCH, page=2, page_size=20)
+    page = C.flatten_dto(C.customer_page(cust, ev, f))
+    return customer_envelope(page, C.count_customers(cust, f), f.page, f.page_size)
+
+
 QUERIES: dict[str, Query] = {name: fn for name, fn in list(globals().items())
-                             if callable(fn) and getattr(fn, "__module__", None) == __name__
-                             and not name.startswith("_") and name not in ("Query",)}
+           if callable(fn) and getattr(fn, "__module__", None) == __name__
+           and not name.startswith("_")}
