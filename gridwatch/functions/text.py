@@ -46,26 +46,25 @@ def count_text(n: Column | str) -> Column:
 
 
 def _half_rounded(c: Column) -> Column:
-    # integer halving that rounds half away from zero, like C's (x +/- 1) / 2
-    return F.when(c < 0, (c - 1) / 2).otherwise((c + 1) / 2).cast("long")
+    # halve, rounding half up (sizes are never negative)
+    return F.shiftright(c + 1, 1)
 
 
 def size_text(nbytes: Column | str) -> Column:
-    """Byte count in PostgreSQL's ``pg_size_pretty`` style.
+    """Byte count in PostgreSQL's ``pg_size_pretty`` style (non-negative sizes).
 
-    Fixed values: bytes below 10 * 1024 print as bytes; every larger unit
-    (kB, MB, GB, TB, PB) is used while the half-rounded value is below
-    20 * 1024 - 1 of it; the last unit takes all remaining sizes.
+    Fixed values: below 10 * 1024 bytes print as bytes; each larger unit
+    (kB, MB, GB, TB, PB) is used while the size in half-units of it is below
+    20 * 1024 - 1, then rounded half up; the last unit takes all remaining
+    sizes.  Integer shifts keep it exact.
     """
     b = (F.col(nbytes) if isinstance(nbytes, str) else nbytes).cast("long")
     units = ["kB", "MB", "GB", "TB", "PB"]
     limit = 20 * 1024 - 1
-    expr = F.when(F.abs(b) < 10 * 1024, F.concat(b.cast("string"), F.lit(" bytes")))
-    # value in half-units of kB is b / 2^9; each later unit divides by 2^10.
-    half = F.expr("0")  # placeholder replaced in loop
-    half = (b / F.lit(1 << 9)).cast("long")
+    expr = F.when(b < 10 * 1024, F.concat(b.cast("string"), F.lit(" bytes")))
+    half = F.shiftright(b, 9)            # half-units of kB
     for i, unit in enumerate(units):
-        cond = (F.abs(half) < limit) if i < len(units) - 1 else F.lit(True)
+        cond = (half < limit) if i < len(units) - 1 else F.lit(True)
         expr = expr.when(cond, F.concat(_half_rounded(half).cast("string"), F.lit(" " + unit)))
-        half = (half / F.lit(1 << 10)).cast("long")
+        half = F.shiftright(half, 10)
     return expr

@@ -125,13 +125,15 @@ def filter_events(events: DataFrame, f: EventFilter, meter_number: str | None =
 
 # ── DTO shaping ──────────────────────────────────────────────────────────────
 
-def _text(col: str) -> Column:
+def _text(col: str, present: set[str] | None = None) -> Column:
     """Text field that is never NULL in the API (NULL prints as '')."""
+    if present is not None and col not in present:
+        return F.lit("")
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def _dbl(col: str) -> Column:
-    return F.col(col).cast("double")
+def _opt(col: str, present: set[str], dtype: str) -> Column:
+    return F.col(col).cast(dtype) if col in present else F.lit(None).cast(dtype)
 
 
 def with_event_flag_from_latest(df: DataFrame) -> DataFrame:
@@ -172,15 +174,16 @@ def customer_dto(df: DataFrame) -> DataFrame:
         ("address", "address"), ("streetname", "street_name"), ("housenumber", "house_number"),
         ("regionname", "region_name"), ("districtname", "district_name"),
     ]
+    have = set(df.columns)
     return df.select(
-        *[_text(src).alias(dst) for src, dst in text_fields],
+        *[_text(src, have).alias(dst) for src, dst in text_fields],
         F.coalesce(F.col("longitude"), F.col("tamper_longitude")).alias("latitude"),
         F.coalesce(F.col("latitude"), F.col("tamper_latitude")).alias("longitude"),
         F.coalesce(F.col(FLAG), F.lit(False)).alias("has_any_coordinates"),
-        _dbl("lastbillamount").alias("last_bill_amount"),
-        _dbl("currentbalance").alias("current_balance"),
-        F.date_format("lastpaymentdate", "yyyy-MM-dd").alias("last_payment_date"),
-        _dbl("lastpaymentamount").alias("last_payment_amount"),
+        _opt("lastbillamount", have, "double").alias("last_bill_amount"),
+        _opt("currentbalance", have, "double").alias("current_balance"),
+        F.date_format(_opt("lastpaymentdate", have, "date"), "yyyy-MM-dd").alias("last_payment_date"),
+        _opt("lastpaymentamount", have, "double").alias("last_payment_amount"),
         event.alias("latest_tamper_event"),
     )
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import traceback
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +22,11 @@ from gridwatch.operators import reports
 from gridwatch.operators import summaries as S
 from gridwatch.sources.sinks import SnapshotStore, merge_by_key, merge_sticky
 
+
+def _now() -> datetime:
+    """Current UTC time as a naive datetime (the session time zone is UTC)."""
+    return datetime.now(timezone.utc).replace(tzinfo=None)
+
 STEPS = reports.STEPS
 # District columns an update does not overwrite, and columns
 # outside the insert list.
@@ -72,14 +77,14 @@ class Refresh:
         state = self._state()
         missing = [s for s in STEPS if s not in state]
         if missing:
-            base = datetime.utcnow().timestamp()
+            base = _now().timestamp()
             self._append([(self.run_id, s, False, None, None, None, int(base * 1e6) + i)
                           for i, s in enumerate(missing)])
 
     def reset(self) -> None:
         """Force a re-run: clear completion, finish time and error; keep start time."""
         state = self._state()
-        seq = int(datetime.utcnow().timestamp() * 1e6)
+        seq = int(_now().timestamp() * 1e6)
         self._append([(self.run_id, s, False, (state.get(s) or {}).get("started_at"), None, None, seq + i)
                       for i, s in enumerate(STEPS)])
 
@@ -110,7 +115,7 @@ class Refresh:
 
     def run(self, customers: DataFrame, events: DataFrame, as_of: datetime | None = None) -> dict[str, str]:
         """Run pending steps in order; returns the published snapshot paths."""
-        as_of = as_of or datetime.utcnow()
+        as_of = as_of or _now()
         self.register_steps()
         plan: list[tuple[str, str, Callable]] = [
             ("meter_summary", "meter_summary", self._step_meter_summary),
@@ -123,8 +128,8 @@ class Refresh:
             done = (state.get(step) or {}).get("completed") and self.store.exists(output)
             if done:
                 continue
-            seq = int(datetime.utcnow().timestamp() * 1e6) + 10 * i
-            started = datetime.utcnow()
+            seq = int(_now().timestamp() * 1e6) + 10 * i
+            started = _now()
             self._append([(self.run_id, step, False, started, None, None, seq)])
             try:
                 self.store.write(output, fn(customers, events, as_of))
@@ -132,7 +137,7 @@ class Refresh:
                 msg = "".join(traceback.format_exception_only(type(exc), exc)).strip()[:2000]
                 self._append([(self.run_id, step, False, started, None, msg, seq + 1)])
                 raise
-            self._append([(self.run_id, step, True, started, datetime.utcnow(), None, seq + 2)])
+            self._append([(self.run_id, step, True, started, _now(), None, seq + 2)])
         return {name: self.store.current(name) for name in
                 ("meter_summary", "customers_flagged", "customers", "district_event_summary")}
 

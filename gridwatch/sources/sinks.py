@@ -11,13 +11,18 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _now() -> datetime:
+    """Current UTC time as a naive datetime (the session time zone is UTC)."""
+    return datetime.now(timezone.utc).replace(tzinfo=None)
+
+
 def merge_by_key(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Insert-or-update: rows of ``new`` replace rows of ``old`` with the same
     key; old keys absent from ``new`` are kept (never deleted)."""
@@ -118,6 +123,6 @@ class SnapshotStore:
             w = w.partitionBy(*partition_by)
         w.parquet(path)
         pointer = self.spark.createDataFrame(
-            [(version, path, datetime.utcnow())], schema=_POINTER_SCHEMA)
+            [(version, path, _now())], schema=_POINTER_SCHEMA)
         pointer.coalesce(1).write.mode("append").json(self._versions_dir(name))
         return path

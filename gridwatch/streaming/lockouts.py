@@ -39,8 +39,8 @@ def lockout_stream(attempts: DataFrame, window: timedelta = DEFAULT_WINDOW,
                                 batch["success"].fillna(False).to_numpy(), window_us, max_failed, mem)
         if user in mem:
             cnt, exp = mem[user]
-            state.update((cnt, exp))
-            state.setTimeoutTimestamp(exp // 1000)
+            state.update((int(cnt), int(exp)))
+            state.setTimeoutTimestamp(int(exp) // 1000)
         elif state.exists:
             state.remove()
         yield batch.assign(counter=counter, result=result)
