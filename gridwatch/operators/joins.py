@@ -24,19 +24,23 @@ def left_join_nullable(left: DataFrame, right: DataFrame, left_key: str, right_k
     """``left LEFT JOIN right ON left.left_key = right.right_key``.
 
     A NULL key never matches, but a plain hash join sends every NULL-key row
-    to the same reducer.  Rows with a NULL key get a salt from a hash of
-    ``spread_by`` (deterministic, so a re-run task yields the same rows); all
-    other rows and the right side use salt 0.  The result is exactly the left
-    join.  Hot non-NULL keys are left to AQE's skew-join split: the right side
-    is one row per key here, so the split left side needs no duplication.
+    to the same reducer.  The join therefore runs on a two-field key
+    ``(key, salt)``: the salt is 0 for every non-NULL key on both sides and,
+    for NULL keys on the left, a deterministic hash of ``spread_by`` (a re-run
+    task yields the same rows), which spreads those rows over reducers.
+    Right rows with a NULL key are dropped first (they can never match), so
+    the struct comparison cannot pair NULL with NULL: the result is exactly
+    the left join.  Hot non-NULL keys are left to AQE's skew-join split (the
+    right side is one row per key here).
     """
     cols = list(spread_by) if spread_by else left.columns
     salt = F.when(F.col(left_key).isNull(),
                   F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(NULL_KEY_BUCKETS)))
-    lhs = left.withColumn(SALT, F.coalesce(salt, F.lit(0)).cast("int"))
-    rhs = right.withColumn(SALT + "_r", F.lit(0))
-    cond = (lhs[left_key] == rhs[right_key]) & (lhs[SALT] == rhs[SALT + "_r"])
-    return lhs.join(rhs, cond, "left").drop(SALT, SALT + "_r")
+    lk = F.struct(F.col(left_key).alias("k"), F.coalesce(salt, F.lit(0)).cast("int").alias("s"))
+    rk = F.struct(F.col(right_key).alias("k"), F.lit(0).alias("s"))
+    lhs = left.withColumn(SALT, lk)
+    rhs = right.filter(F.col(right_key).isNotNull()).withColumn(SALT + "_r", rk)
+    return lhs.join(rhs, lhs[SALT] == rhs[SALT + "_r"], "left").drop(SALT, SALT + "_r")
 
 
 def latest_per_key(df: DataFrame, key: str, order: Sequence[str],
