@@ -130,13 +130,14 @@ class Refresh:
                 continue
             seq = int(_now().timestamp() * 1e6) + 10 * i
             started = _now()
-            self._append([(self.run_id, step, False, started, None, None, seq)])
             try:
                 self.store.write(output, fn(customers, events, as_of))
             except Exception as exc:
                 msg = "".join(traceback.format_exception_only(type(exc), exc)).strip()[:2000]
                 self._append([(self.run_id, step, False, started, None, msg, seq + 1)])
                 raise
+            # one log row per outcome: the snapshot is published before the
+            # step is marked done, so a crash in between only re-runs the step
             self._append([(self.run_id, step, True, started, _now(), None, seq + 2)])
         return {name: self.store.current(name) for name in
                 ("meter_summary", "customers_flagged", "customers", "district_event_summary")}

@@ -92,18 +92,27 @@ class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._known: dict[str, str] = {}     # pointers this store published or resolved
 
     def _versions_dir(self, name: str) -> str:
         return f"{self.root}/{name}/_versions"
 
-    def current(self, name: str) -> str | None:
-        """Path of the newest published version (None if none)."""
+    def current(self, name: str, refresh: bool = False) -> str | None:
+        """Path of the newest published version (None if none).
+
+        Resolved once per store object (and updated by its own writes);
+        ``refresh=True`` re-reads the published pointers."""
+        if name in self._known and not refresh:
+            return self._known[name]
         try:
             v = (self.spark.read.schema(_POINTER_SCHEMA).json(self._versions_dir(name))
                  .orderBy(F.col("version").desc()).select("path").limit(1).collect())
         except Exception:  # noqa: BLE001 - no version folder yet
             return None
-        return v[0]["path"] if v else None
+        if v:
+            self._known[name] = v[0]["path"]
+            return v[0]["path"]
+        return None
 
     def exists(self, name: str) -> bool:
         return self.current(name) is not None
@@ -125,4 +134,5 @@ class SnapshotStore:
         pointer = self.spark.createDataFrame(
             [(version, path, _now())], schema=_POINTER_SCHEMA)
         pointer.coalesce(1).write.mode("append").json(self._versions_dir(name))
+        self._known[name] = path
         return path
