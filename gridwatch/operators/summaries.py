@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwatch.functions.geo import both_present
-from gridwatch.operators.joins import (anti_join_not_in, event_order, left_join_nullable,
-                                       semi_join)
+from gridwatch.operators.joins import (anti_join_not_in, event_order, latest_per_key,
+                                       left_join_nullable, semi_join)
 
 # Latest-event columns kept by the meter summary.
 _LATEST = [("event_time", "latest_event_time"), ("event_code", "latest_event_code"),
@@ -29,15 +29,28 @@ def meter_event_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("meter_number").agg(F.count(F.lit(1)).alias("event_count"))
 
 
-def events_per_meter(events: DataFrame) -> DataFrame:
-    """Per meter: event count ``_n`` and latest event struct ``_le``
-    (partial aggregation; the same shape a streaming aggregate keeps)."""
+def events_per_meter(events: DataFrame, method: str = "row_number") -> DataFrame:
+    """Per meter: event count ``_n`` and latest event struct ``_le``.
+
+    ``row_number`` (batch default): hash-aggregated count joined with the
+    window-limited latest row; both sides come out hash-partitioned on the
+    meter, so the join adds no shuffle.  ``max_by``: one partial aggregate
+    (the form a streaming aggregate keeps).  Both reduce a hot meter to one
+    row per map task before the shuffle.
+    """
     order = event_order(events)
     latest_cols = [c for c, _ in _LATEST]
-    return (events.groupBy("meter_number")
-            .agg(F.count(F.lit(1)).alias("_n"),
-                 F.max_by(F.struct(*[F.col(c) for c in latest_cols]),
-                          F.struct(*[F.col(c) for c in order])).alias("_le")))
+    if method == "max_by" or events.isStreaming:
+        return (events.groupBy("meter_number")
+                .agg(F.count(F.lit(1)).alias("_n"),
+                     F.max_by(F.struct(*[F.col(c) for c in latest_cols]),
+                              F.struct(*[F.col(c) for c in order])).alias("_le")))
+    counts = events.groupBy("meter_number").agg(F.count(F.lit(1)).alias("_n"))
+    latest = latest_per_key(events.select("meter_number", *latest_cols, *[c for c in order if c not in latest_cols]),
+                            "meter_number", order, method="row_number")
+    latest = latest.select(F.col("meter_number").alias("_lm"),
+                           F.struct(*[F.col(c) for c in latest_cols]).alias("_le"))
+    return counts.join(latest, counts["meter_number"] == latest["_lm"]).drop("_lm")
 
 
 def finish_meter_summary(per_meter: DataFrame, customers: DataFrame, fanout: bool = True,
