@@ -424,3 +424,35 @@ def customer_page_envelope(spark, sf):
 QUERIES: dict[str, Query] = {name: fn for name, fn in list(globals().items())
            if callable(fn) and getattr(fn, "__module__", None) == __name__
            and not name.startswith("_")}
+
+
+def customer_page_meta(spark, sf):
+    """Paging metadata of the searched customer list (count without the event join)."""
+    cust, _ = _base(spark, sf)
+    f = CustomerFilter(search=SEARCH, page=2, page_size=20)
+    return C.page_meta(C.count_customers(cust, f), f.page, f.page_size)
+
+
+def stream_customer_flags(spark, sf):
+    """Customer records arriving as a stream get flags and geometry from a
+    stream-static join with the meters that have coordinate events."""
+    from gridwatch.sources.fixtures import customers_from_tpch
+    from gridwatch.streaming.incremental import customer_flag_stream, read_stream
+    root = _scratch(spark, "stream_customers")
+    schema = spark.read.parquet(f"{sf}/customer.parquet").schema
+    raw = read_stream(spark, sf, schema, file_glob="customer.parquet")
+    changes = customers_from_tpch(raw, spark.read.parquet(f"{sf}/nation.parquet"),
+                                  spark.read.parquet(f"{sf}/region.parquet"))
+    _, ev = _base(spark, sf)
+    out = customer_flag_stream(changes, S.event_coordinate_meters(ev))
+    q = (out.select("ecgkey", "meternumber", "has_own_coordinates", "has_event_coordinates",
+                    "has_any_coordinates", "geom_x", "geom_y")
+         .writeStream.outputMode("append").format("parquet").option("path", f"{root}/out")
+         .option("checkpointLocation", f"{root}/_chk").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+QUERIES = {name: fn for name, fn in list(globals().items())
+           if callable(fn) and getattr(fn, "__module__", None) == __name__
+           and not name.startswith("_")}

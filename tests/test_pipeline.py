@@ -153,3 +153,16 @@ def test_lockout_rules(spark):
     got = [r["counter"] for r in LO.attempt_lockouts(_attempts(spark, [(0, False), (5, False), (15, False)]))
            .orderBy("attempt_id").collect()]
     assert got == [1, 2, 1]
+
+
+def test_event_envelope(spark):
+    ev = events(spark, [{"meter_number": "M1", "event_time": f"2024-01-0{i} 10:00:00"} for i in (1, 2, 3)])
+    f = EventFilter(page=1, page_size=2)
+    env = json.loads(X.event_envelope(C.event_page(ev, "M1", f), C.count_events(ev, "M1", f), 1, 2, "M1",
+                                      "A1").collect()[0]["json"])
+    assert env["meter_number"] == "M1" and env["account_number"] == "A1"
+    assert env["total"] == 3 and env["total_pages"] == 2
+    assert [e["event_time"][:10] for e in env["events"]] == ["2024-01-03", "2024-01-02"]
+    empty = json.loads(X.event_envelope(C.event_page(ev, "M9", f), C.count_events(ev, "M9", f), 1, 2,
+                                        "M9").collect()[0]["json"])
+    assert empty["events"] == [] and empty["total"] == 0 and "account_number" not in empty
