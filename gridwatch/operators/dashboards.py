@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwatch.operators.joins import left_join_nullable
+from gridwatch.operators import summaries as S
 
 
 def coverage_pct(with_col: str, total_col: str) -> Column:
@@ -88,11 +88,10 @@ def account_meters(customers: DataFrame, meter_summary_df: DataFrame) -> DataFra
     repeated many times travels as one row; the list is then rebuilt from
     the distinct meters of the group.
     """
-    ms = meter_summary_df.select(F.col("meternumber").alias("_ms_key"),
-                                 F.col("event_count").alias("_ms_events"),
-                                 F.col("latest_event_time").alias("_ms_latest"))
-    spread = ["ecgkey"] if "ecgkey" in customers.columns else None
-    j = left_join_nullable(customers, ms, "meternumber", "_ms_key", spread)
+    j = S.join_meter_summary(customers, meter_summary_df,
+                             ["event_count", "latest_event_time", "has_event_coordinates"])
+    j = S.ensure_flags_and_geom(j).withColumnsRenamed(
+        {"ms_event_count": "_ms_events", "ms_latest_event_time": "_ms_latest"})
     per_meter = j.groupBy(*ACCOUNT_KEYS, "meternumber").agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum(F.coalesce(F.col("_ms_events"), F.lit(0))).alias("_events"),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwatch.functions.geo import both_present, in_mercator, tile_bounds, tile_x, tile_y
-from gridwatch.operators.joins import left_join_nullable
+from gridwatch.operators import summaries as S
 
 # Zoom range of the map-view layer.
 MAP_MIN_ZOOM, MAP_MAX_ZOOM = 5, 20
@@ -40,16 +40,20 @@ def customer_map_view(customers: DataFrame, meter_summary_df: DataFrame, swap: b
     (x = event longitude column, y = event latitude column); ``swap=True``
     gives the orientation used for customer points instead.
     """
-    ms = meter_summary_df.select(
-        F.col("meternumber").alias("_ms_key"), "latest_event_time", "latest_event_code",
-        "latest_event_desc", "latest_event_lat", "latest_event_lng",
-        F.col("event_count").alias("_ms_events"))
-    spread = ["ecgkey"] if "ecgkey" in customers.columns else None
     keep = ["ecgkey", "meternumber", "accountnumber", "fullname", "servicetype", "serviceclass",
             "contractstatus", "cmscontractstatus", "regioncode", "regionname", "districtcode",
-            "districtname", "metermake", "metermodel", "metertype", "has_any_coordinates",
-            "geom_x", "geom_y"]
-    j = left_join_nullable(customers.select(*keep), ms, "meternumber", "_ms_key", spread)
+            "districtname", "metermake", "metermodel", "metertype"]
+    carried = [c for c in ("has_any_coordinates", "geom_x", "geom_y", "latitude", "longitude")
+               if c in customers.columns]
+    j = S.join_meter_summary(customers.select(*keep, *carried), meter_summary_df,
+                             ["latest_event_time", "latest_event_code", "latest_event_desc",
+                              "latest_event_lat", "latest_event_lng", "event_count",
+                              "has_event_coordinates"])
+    j = S.ensure_flags_and_geom(j).withColumnsRenamed(
+        {f"ms_{c}": c for c in ("latest_event_time", "latest_event_code", "latest_event_desc",
+                                "latest_event_lat", "latest_event_lng")}
+        | {"ms_event_count": "_ms_events"})
+    keep = keep + ["has_any_coordinates"]
     ev_ok = both_present("latest_event_lat", "latest_event_lng")
     ex, ey = ("latest_event_lat", "latest_event_lng") if swap else ("latest_event_lng", "latest_event_lat")
     own = F.col("geom_x").isNotNull()

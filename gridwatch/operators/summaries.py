@@ -103,6 +103,33 @@ def own_coordinates(df: DataFrame) -> Column:
     return both_present("latitude", "longitude")
 
 
+def join_meter_summary(customers: DataFrame, meter_summary_df: DataFrame,
+                       columns: list[str]) -> DataFrame:
+    """Customers left-joined (NULL-key salted) with the listed meter-summary
+    columns, renamed ``ms_<column>``; ``ms_meternumber`` marks a match."""
+    right = meter_summary_df.select(F.col("meternumber").alias("ms_meternumber"),
+                                    *[F.col(c).alias("ms_" + c) for c in columns])
+    spread = ["ecgkey"] if "ecgkey" in customers.columns else None
+    return left_join_nullable(customers, right, "meternumber", "ms_meternumber", spread)
+
+
+def _flag_columns(event_flag: Column) -> dict[str, Column]:
+    own = both_present("latitude", "longitude")
+    ev = F.coalesce(event_flag, F.lit(False))
+    return {"has_own_coordinates": own, "has_event_coordinates": ev, "has_any_coordinates": own | ev}
+
+
+def ensure_flags_and_geom(rows: DataFrame) -> DataFrame:
+    """Rows already joined with ``ms_has_event_coordinates``: add the 'latest'
+    flags and the geometry when the customer input did not carry them, so a
+    summary needs only one join with the meter summary."""
+    if "has_any_coordinates" not in rows.columns:
+        rows = rows.withColumns(_flag_columns(F.col("ms_has_event_coordinates")))
+    if "geom_x" not in rows.columns:
+        rows = with_geom(rows)
+    return rows
+
+
 def with_coordinate_flags(customers: DataFrame, meter_summary_df: DataFrame | None = None,
                           variant: str = "latest", events: DataFrame | None = None) -> DataFrame:
     """Add ``has_own/has_event/has_any_coordinates`` to customer rows.
@@ -117,22 +144,18 @@ def with_coordinate_flags(customers: DataFrame, meter_summary_df: DataFrame | No
     if variant == "latest":
         if meter_summary_df is None:
             raise ValueError("variant 'latest' needs the meter summary")
-        right = meter_summary_df.select(F.col("meternumber").alias("_f_key"),
-                                        F.col("has_event_coordinates").alias("_f_ev"))
-    elif variant == "any":
+        j = join_meter_summary(base, meter_summary_df, ["has_event_coordinates"])
+        return (j.withColumns(_flag_columns(F.col("ms_has_event_coordinates")))
+                .drop("ms_meternumber", "ms_has_event_coordinates"))
+    if variant == "any":
         if events is None:
             raise ValueError("variant 'any' needs the events")
         right = event_coordinate_meters(events).select(F.col("meternumber").alias("_f_key"),
                                                        F.lit(True).alias("_f_ev"))
-    else:
-        raise ValueError(f"unknown variant {variant!r}")
-    spread = ["ecgkey"] if "ecgkey" in base.columns else None
-    j = left_join_nullable(base, right, "meternumber", "_f_key", spread)
-    own = both_present("latitude", "longitude")
-    ev = F.coalesce(F.col("_f_ev"), F.lit(False))
-    return (j.withColumns({"has_own_coordinates": own, "has_event_coordinates": ev,
-                           "has_any_coordinates": own | ev})
-            .drop("_f_key", "_f_ev"))
+        spread = ["ecgkey"] if "ecgkey" in base.columns else None
+        j = left_join_nullable(base, right, "meternumber", "_f_key", spread)
+        return j.withColumns(_flag_columns(F.col("_f_ev"))).drop("_f_key", "_f_ev")
+    raise ValueError(f"unknown variant {variant!r}")
 
 
 def with_geom(df: DataFrame, swap: bool = True) -> DataFrame:
@@ -158,18 +181,21 @@ def customers_without_events(customers: DataFrame, meter_summary_df: DataFrame)
 
 
 def _district_meter_rows(customers: DataFrame, meter_summary_df: DataFrame) -> DataFrame:
-    """Customers with a district, each with its meter's summary columns."""
-    ms = meter_summary_df.select(F.col("meternumber").alias("_ms_key"),
-                                 F.col("event_count").alias("_ms_events"),
-                                 F.col("latest_event_time").alias("_ms_latest"))
+    """Customers with a district, each with its meter's summary columns (one
+    join; flags and geometry derived from it when not supplied)."""
     c = customers.filter(F.col("districtcode").isNotNull())
-    spread = ["ecgkey"] if "ecgkey" in c.columns else None
-    return left_join_nullable(c, ms, "meternumber", "_ms_key", spread)
+    j = join_meter_summary(c, meter_summary_df, ["event_count", "latest_event_time",
+                                                  "has_event_coordinates"])
+    return ensure_flags_and_geom(j).withColumnsRenamed(
+        {"ms_meternumber": "_ms_key", "ms_event_count": "_ms_events", "ms_latest_event_time": "_ms_latest"})
 
 
 def district_event_summary(customers: DataFrame, meter_summary_df: DataFrame,
                            service_mix: bool = False, as_of: datetime | None = None) -> DataFrame:
-    """One row per district code (customers need flags and geometry).
+    """One row per district code.
+
+    Customers may carry flags and geometry (refresh pipeline); otherwise they
+    are derived from the same meter-summary join ('latest' rule).
 
     Distinct meter counts are computed exactly in two steps instead of four
     ``COUNT(DISTINCT)`` (which Spark expands 4×): first one row per

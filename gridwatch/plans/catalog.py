@@ -52,8 +52,15 @@ def _enriched(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataF
     return enriched, ev, ms
 
 
+def _cust_ms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """customers (flags and geometry derived inside each summary's single
+    meter-summary join), events, meter summary."""
+    cust, ev = _base(spark, sf)
+    return cust, ev, S.meter_summary(ev, cust)
+
+
 def _des(spark: SparkSession, sf: str, service_mix: bool = False) -> DataFrame:
-    cust, _, ms = _enriched(spark, sf)
+    cust, _, ms = _cust_ms(spark, sf)
     return S.district_event_summary(cust, ms, service_mix=service_mix)
 
 
@@ -138,7 +145,7 @@ def dashboard_districts_region(spark, sf):
 
 
 def account_meters(spark, sf):
-    cust, _, ms = _enriched(spark, sf)
+    cust, _, ms = _cust_ms(spark, sf)
     out = D.account_meters(cust, ms)
     return out.withColumn("meters", F.array_join("meters", ",", "NULL"))
 
@@ -149,7 +156,7 @@ def account_meter_list(spark, sf):
 
 
 def customer_map_view(spark, sf):
-    cust, _, ms = _enriched(spark, sf)
+    cust, _, ms = _cust_ms(spark, sf)
     return K.customer_map_view(cust, ms)
 
 
@@ -347,7 +354,7 @@ def merge_district_sticky(spark, sf):
     names and region stay as first inserted, counters move."""
     from gridwatch.plans.refresh import STICKY_DISTRICT, UNTOUCHED_DISTRICT
     from gridwatch.sources.sinks import merge_sticky
-    cust, _, ms = _enriched(spark, sf)
+    cust, _, ms = _cust_ms(spark, sf)
     old = (S.district_event_summary(cust.filter(F.col("ecgkey") < "000000700"), ms, service_mix=True)
            .withColumn("districtname", F.lower("districtname")))
     new = S.district_event_summary(cust.filter(F.col("ecgkey") >= "000000300"), ms)
