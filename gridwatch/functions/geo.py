@@ -25,20 +25,33 @@ def point(x: Column | str, y: Column | str) -> tuple[Column, Column]:
     return F.when(ok, _c(x)), F.when(ok, _c(y))
 
 
-def tile_x(lon: Column | str, z: Column | int) -> Column:
-    n = F.pow(F.lit(2.0), z if isinstance(z, Column) else F.lit(z))
-    raw = F.floor((_c(lon) + 180.0) / 360.0 * n)
-    return F.least(F.greatest(raw, F.lit(0)), (n - 1).cast("long")).cast("int")
+def tile_fraction_x(lon: Column | str) -> Column:
+    """Position across the web-mercator world, 0 at 180°W to 1 at 180°E."""
+    return (_c(lon) + 180.0) / 360.0
 
 
-def tile_y(lat: Column | str, z: Column | int) -> Column:
-    n = F.pow(F.lit(2.0), z if isinstance(z, Column) else F.lit(z))
+def tile_fraction_y(lat: Column | str) -> Column:
+    """Position down the web-mercator world, 0 at the north edge to 1 at the south."""
     phi = F.radians(_c(lat))
     merc = F.log(F.tan(phi) + 1.0 / F.cos(phi))
-    raw = F.floor((1.0 - merc / math.pi) / 2.0 * n)
+    return (1.0 - merc / math.pi) / 2.0
+
+
+def tile_of_fraction(frac: Column, z: Column | int) -> Column:
+    """Tile number at zoom ``z`` of a world fraction (edges clamp into range)."""
+    n = F.pow(F.lit(2.0), z if isinstance(z, Column) else F.lit(z))
+    raw = F.floor(frac * n)
     return F.least(F.greatest(raw, F.lit(0)), (n - 1).cast("long")).cast("int")
 
 
+def tile_x(lon: Column | str, z: Column | int) -> Column:
+    return tile_of_fraction(tile_fraction_x(lon), z)
+
+
+def tile_y(lat: Column | str, z: Column | int) -> Column:
+    return tile_of_fraction(tile_fraction_y(lat), z)
+
+
 def in_mercator(lat: Column | str) -> Column:
     return F.abs(_c(lat)) <= MERCATOR_MAX_LAT
 

@@ -89,7 +89,7 @@ def account_meters(customers: DataFrame, meter_summary_df: DataFrame) -> DataFra
     the distinct meters of the group.
     """
     j = S.join_meter_summary(customers, meter_summary_df,
-                             ["event_count", "latest_event_time", "has_event_coordinates"])
+                             S.summary_columns(customers, ["event_count", "latest_event_time"]))
     j = S.ensure_flags_and_geom(j).withColumnsRenamed(
         {"ms_event_count": "_ms_events", "ms_latest_event_time": "_ms_latest"})
     per_meter = j.groupBy(*ACCOUNT_KEYS, "meternumber").agg(

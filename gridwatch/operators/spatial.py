@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwatch.functions.geo import both_present, in_mercator, tile_bounds, tile_x, tile_y
+from gridwatch.functions.geo import (both_present, in_mercator, tile_bounds, tile_fraction_x,
+                                    tile_fraction_y, tile_of_fraction, tile_x, tile_y)
 from gridwatch.operators import summaries as S
 
 # Zoom range of the map-view layer.
@@ -46,9 +47,9 @@ def customer_map_view(customers: DataFrame, meter_summary_df: DataFrame, swap: b
     carried = [c for c in ("has_any_coordinates", "geom_x", "geom_y", "latitude", "longitude")
                if c in customers.columns]
     j = S.join_meter_summary(customers.select(*keep, *carried), meter_summary_df,
-                             ["latest_event_time", "latest_event_code", "latest_event_desc",
-                              "latest_event_lat", "latest_event_lng", "event_count",
-                              "has_event_coordinates"])
+                             S.summary_columns(customers, [
+                                 "latest_event_time", "latest_event_code", "latest_event_desc",
+                                 "latest_event_lat", "latest_event_lng", "event_count"]))
     j = S.ensure_flags_and_geom(j).withColumnsRenamed(
         {f"ms_{c}": c for c in ("latest_event_time", "latest_event_code", "latest_event_desc",
                                 "latest_event_lat", "latest_event_lng")}
@@ -112,13 +113,14 @@ def tile_index(df: DataFrame, zmin: int = MAP_MIN_ZOOM, zmax: int = MAP_MAX_ZOOM
     point at low zoom costs one row per input partition.
     """
     pts = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & in_mercator(y))
-    cols = [F.col(x).alias("_x"), F.col(y).alias("_y")]
+    # the trigonometry runs once per point; each zoom only scales the fraction
+    cols = [tile_fraction_x(x).alias("_fx"), tile_fraction_y(y).alias("_fy")]
     if weight:
         cols.append(F.col(weight).alias("_w"))
     z = F.explode(F.sequence(F.lit(zmin), F.lit(zmax))).alias("tile_z")
-    zz = pts.select(*cols, z)
-    keyed = zz.select(F.col("tile_z"), tile_x("_x", F.col("tile_z")).alias("tile_x"),
-                      tile_y("_y", F.col("tile_z")).alias("tile_y"),
+    zz = pts.select(*cols).select("*", z)
+    keyed = zz.select(F.col("tile_z"), tile_of_fraction(F.col("_fx"), F.col("tile_z")).alias("tile_x"),
+                      tile_of_fraction(F.col("_fy"), F.col("tile_z")).alias("tile_y"),
                       *([F.col("_w")] if weight else []))
     aggs = [F.count(F.lit(1)).alias("features")]
     if weight:

@@ -119,6 +119,13 @@ def _flag_columns(event_flag: Column) -> dict[str, Column]:
     return {"has_own_coordinates": own, "has_event_coordinates": ev, "has_any_coordinates": own | ev}
 
 
+def summary_columns(customers: DataFrame, columns: list[str]) -> list[str]:
+    """Meter-summary columns to join: ``columns`` plus the event flag when the
+    customers carry no flags yet."""
+    extra = [] if "has_any_coordinates" in customers.columns else ["has_event_coordinates"]
+    return list(dict.fromkeys(columns + extra))
+
+
 def ensure_flags_and_geom(rows: DataFrame) -> DataFrame:
     """Rows already joined with ``ms_has_event_coordinates``: add the 'latest'
     flags and the geometry when the customer input did not carry them, so a
@@ -184,8 +191,8 @@ def _district_meter_rows(customers: DataFrame, meter_summary_df: DataFrame) -> D
     """Customers with a district, each with its meter's summary columns (one
     join; flags and geometry derived from it when not supplied)."""
     c = customers.filter(F.col("districtcode").isNotNull())
-    j = join_meter_summary(c, meter_summary_df, ["event_count", "latest_event_time",
-                                                  "has_event_coordinates"])
+    j = join_meter_summary(c, meter_summary_df,
+                           summary_columns(c, ["event_count", "latest_event_time"]))
     return ensure_flags_and_geom(j).withColumnsRenamed(
         {"ms_meternumber": "_ms_key", "ms_event_count": "_ms_events", "ms_latest_event_time": "_ms_latest"})
 

@@ -463,3 +463,26 @@ def stream_customer_flags(spark, sf):
 QUERIES = {name: fn for name, fn in list(globals().items())
            if callable(fn) and getattr(fn, "__module__", None) == __name__
            and not name.startswith("_")}
+
+
+def stream_attempt_lockouts(spark, sf):
+    """The lock-out counter as a stateful stream over the event files
+    (available-now trigger), written to the shared folder and read back."""
+    from datetime import timedelta
+
+    from gridwatch.operators.lockouts import attempts_from_events
+    from gridwatch.streaming.incremental import read_stream
+    from gridwatch.streaming.lockouts import lockout_stream
+    root = _scratch(spark, "stream_lockouts")
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    attempts = attempts_from_events(read_stream(spark, sf, schema, file_glob="events.parquet"))
+    out = lockout_stream(attempts, timedelta(days=LOCKOUT_WINDOW_DAYS), LOCKOUT_MAX, watermark="30 days")
+    q = (out.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out")
+         .option("checkpointLocation", f"{root}/_chk").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+QUERIES = {name: fn for name, fn in list(globals().items())
+           if callable(fn) and getattr(fn, "__module__", None) == __name__
+           and not name.startswith("_")}
