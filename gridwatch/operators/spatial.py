@@ -131,3 +131,23 @@ def tile_index(df: DataFrame, zmin: int = MAP_MIN_ZOOM, zmax: int = MAP_MAX_ZOOM
 def write_tile_index(index: DataFrame, path: str) -> None:
     """Persist a tile index partitioned by zoom, so a viewer reads one zoom."""
     index.write.mode("overwrite").partitionBy("tile_z").parquet(path)
+
+
+# Zoom whose tile numbers cluster stored layers (about 10 km tiles).
+CLUSTER_ZOOM = 12
+
+
+def write_spatial_layer(layer: DataFrame, path: str, zoom: int = CLUSTER_ZOOM,
+                        tie_break: str = "ecgkey", partitions: int | None = None) -> None:
+    """Store a point layer clustered by tile, so bounding-box and tile reads
+    skip row groups through Parquet min/max statistics on ``geom_x/geom_y``.
+
+    Range partitioning on (tile, tie_break) keeps nearby points in the same
+    files; the tie-break column lets the sampler split one crowded tile over
+    several partitions instead of one task.
+    """
+    keyed = layer.withColumns({"cluster_x": tile_x("geom_x", zoom), "cluster_y": tile_y("geom_y", zoom)})
+    parts = partitions or int(layer.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (keyed.repartitionByRange(parts, "cluster_y", "cluster_x", tie_break)
+     .sortWithinPartitions("cluster_y", "cluster_x", "geom_y", "geom_x")
+     .write.mode("overwrite").parquet(path))

@@ -22,6 +22,14 @@ DEFAULTS = {
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
 }
 
+# Streaming state (one row per meter / per user) lives in RocksDB, off the
+# JVM heap.  Set at session start: a running query keeps the provider it
+# was started with.
+STREAMING_DEFAULTS = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
 
 def apply_defaults(spark: SparkSession) -> SparkSession:
     """Set the defaults above on ``spark`` where the cluster left them unset."""
@@ -60,7 +68,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.driver.memory", os.environ.get("GRIDWATCH_DRIVER_MEM", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
-    for key, value in DEFAULTS.items():
+    for key, value in {**DEFAULTS, **STREAMING_DEFAULTS}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

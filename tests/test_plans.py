@@ -67,3 +67,22 @@ def test_page_reads_only_needed_columns(spark):
     cust, ev = X.customers(spark, SF), X.tamper_events(spark, SF)
     plan = plan_of(C.event_page(ev, "42", EventFilter()))
     assert "value" not in plan.split("ReadSchema:")[1].split("\n")[0]
+
+
+def test_spatial_layer_bbox_reaches_the_scan(spark, tmp_path):
+    from gridwatch.operators import spatial as K
+    from gridwatch.operators import summaries as S
+    cust, ev = X.customers(spark, SF), X.tamper_events(spark, SF)
+    layer = K.map_layer(K.customer_map_view(cust, S.meter_summary(ev, cust)))
+    path = str(tmp_path / "layer")
+    K.write_spatial_layer(layer, path)
+    stored = spark.read.parquet(path)
+    got = K.tile_features(stored, 7, 63, 61)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        plan = plan_of(got)
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters"):].split("]")[0]
+    assert "GreaterThanOrEqual(geom_x" in pushed and "LessThanOrEqual(geom_y" in pushed
+    assert got.count() == K.tile_features(layer, 7, 63, 61).count() > 0
