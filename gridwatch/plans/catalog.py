@@ -486,3 +486,51 @@ def stream_attempt_lockouts(spark, sf):
 QUERIES = {name: fn for name, fn in list(globals().items())
            if callable(fn) and getattr(fn, "__module__", None) == __name__
            and not name.startswith("_")}
+
+
+def _write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).option("timestampNTZFormat",
+                                                               "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
+
+
+def csv_customers(spark, sf):
+    """Customer records exported as CSV text and ingested again through the
+    typed CSV reader (text read, leading zeros kept, typed by the rules)."""
+    from gridwatch.sources.readers import read_customers_csv
+    cust, _ = _base(spark, sf)
+    path = _scratch(spark, "csv_customers")
+    _write_csv(cust, path)
+    back = read_customers_csv(spark, path)
+    return back.select("ecgkey", "meternumber", "accountnumber", "fullname", "districtcode", "address",
+                       "latitude", "longitude", F.col("currentbalance").cast("double").alias("currentbalance"),
+                       "lastpaymentdate", "isamr")
+
+
+def csv_events(spark, sf):
+    """Tamper events exported as CSV and ingested through the typed reader."""
+    from gridwatch.sources.readers import read_events_csv
+    _, ev = _base(spark, sf)
+    path = _scratch(spark, "csv_events")
+    _write_csv(ev.drop("event_id"), path)
+    back = read_events_csv(spark, path)
+    return back.withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
+
+
+def csv_load_refresh(spark, sf):
+    """CSV load (customers, month-partitioned events) followed by the
+    four-step refresh; returns the published district summary."""
+    from datetime import datetime
+
+    from gridwatch.plans.refresh import load_and_refresh
+    cust, ev = _base(spark, sf)
+    root = _scratch(spark, "csv_load")
+    _write_csv(cust, f"{root}/in/customers")
+    _write_csv(ev.drop("event_id"), f"{root}/in/events")
+    paths = load_and_refresh(spark, f"{root}/in/customers", f"{root}/in/events", f"{root}/out",
+                             as_of=datetime(2024, 2, 1))
+    return _round_geom(spark.read.parquet(paths["district_event_summary"]).drop("updated_at"))
+
+
+QUERIES = {name: fn for name, fn in list(globals().items())
+           if callable(fn) and getattr(fn, "__module__", None) == __name__
+           and not name.startswith("_")}
