@@ -35,8 +35,16 @@ BBOX = (-2.0, 5.0, 0.5, 8.0)
 TILE = (7, 63, 61)
 
 
+_BASE_CACHE: dict[tuple[int, str, str], tuple[DataFrame, DataFrame]] = {}
+
+
 def _base(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return X.customers(spark, sf), X.tamper_events(spark, sf)
+    """The two fixture relations; built (and analysed) once per session and
+    folder, since DataFrames are immutable plans and can be shared."""
+    key = (id(spark), spark.sparkContext.applicationId, sf)
+    if key not in _BASE_CACHE:
+        _BASE_CACHE[key] = (X.customers(spark, sf), X.tamper_events(spark, sf))
+    return _BASE_CACHE[key]
 
 
 def _ms(spark: SparkSession, sf: str) -> DataFrame:
