@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from gridwatch.operators import reports
 from gridwatch.operators import summaries as S
-from gridwatch.sources.sinks import SnapshotStore, merge_by_key, merge_sticky
+from gridwatch.sources.sinks import SnapshotStore, merge_by_key, merge_sticky, rows_frame
 
 
 def _now() -> datetime:
@@ -50,7 +50,7 @@ class Refresh:
 
     # ── checkpoint log ───────────────────────────────────────────────────────
     def _append(self, rows: list[tuple]) -> None:
-        self.spark.createDataFrame(rows, _LOG_SCHEMA).coalesce(1).write.mode("append").json(self.log_path)
+        rows_frame(self.spark, _LOG_SCHEMA, rows).write.mode("append").json(self.log_path)
 
     def _log(self) -> DataFrame | None:
         try:
@@ -59,11 +59,13 @@ class Refresh:
             return None
 
     def checkpoints(self) -> DataFrame:
-        """Current state: the newest log row per step of this run."""
+        """Current state: the newest log row per step of this run; steps the
+        run never logged are pending (insert-if-absent, resolved on read)."""
+        steps = rows_frame(self.spark, _LOG_SCHEMA,
+                           [(self.run_id, s, False, None, None, None, -1) for s in STEPS])
         log = self._log()
-        if log is None:
-            return self.spark.createDataFrame([], _LOG_SCHEMA).drop("seq")
-        latest = (log.filter(F.col("run_id") == self.run_id).groupBy("run_id", "step")
+        log = steps if log is None else log.filter(F.col("run_id") == self.run_id).unionByName(steps)
+        latest = (log.groupBy("run_id", "step")
                   .agg(F.max_by(F.struct("completed", "started_at", "finished_at", "error_msg"),
                                 "seq").alias("s")))
         return latest.select("run_id", "step", "s.*")
@@ -73,9 +75,13 @@ class Refresh:
         return {r["step"]: r.asDict() for r in self.checkpoints().collect()}
 
     def register_steps(self) -> None:
-        """Insert a pending row for steps this run has not seen (do-nothing on conflict)."""
-        state = self._state()
-        missing = [s for s in STEPS if s not in state]
+        """Write a pending row for steps this run has not logged yet (do-nothing
+        on conflict).  ``checkpoints`` already treats unlogged steps as pending,
+        so ``run`` does not need this."""
+        log = self._log()
+        seen = set() if log is None else {r["step"] for r in log.filter(
+            F.col("run_id") == self.run_id).select("step").distinct().collect()}
+        missing = [s for s in STEPS if s not in seen]
         if missing:
             base = _now().timestamp()
             self._append([(self.run_id, s, False, None, None, None, int(base * 1e6) + i)
@@ -116,7 +122,6 @@ class Refresh:
     def run(self, customers: DataFrame, events: DataFrame, as_of: datetime | None = None) -> dict[str, str]:
         """Run pending steps in order; returns the published snapshot paths."""
         as_of = as_of or _now()
-        self.register_steps()
         plan: list[tuple[str, str, Callable]] = [
             ("meter_summary", "meter_summary", self._step_meter_summary),
             ("coordinate_flags", "customers_flagged", self._step_flags),

@@ -81,6 +81,14 @@ def insert_missing(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataF
                            allowMissingColumns=True)
 
 
+def rows_frame(spark: SparkSession, schema: T.StructType, rows: list[tuple]) -> DataFrame:
+    """A few literal rows as a DataFrame built on the JVM side (no Python
+    serialisation), for small control records such as pointers and logs."""
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, schema.fields)])
+               for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 _POINTER_SCHEMA = T.StructType([T.StructField("version", T.LongType()),
                                 T.StructField("path", T.StringType()),
                                 T.StructField("published_at", T.TimestampType())])
@@ -131,8 +139,7 @@ class SnapshotStore:
         if partition_by:
             w = w.partitionBy(*partition_by)
         w.parquet(path)
-        pointer = self.spark.createDataFrame(
-            [(version, path, _now())], schema=_POINTER_SCHEMA)
-        pointer.coalesce(1).write.mode("append").json(self._versions_dir(name))
+        pointer = rows_frame(self.spark, _POINTER_SCHEMA, [(version, path, _now())])
+        pointer.write.mode("append").json(self._versions_dir(name))
         self._known[name] = path
         return path
