@@ -209,22 +209,37 @@ def event_rows(events: DataFrame) -> DataFrame:
 
 # ── latest event for a bounded set of customers ─────────────────────────────
 
+def bounded_keys(df: DataFrame, column: str, bound: int) -> list:
+    """Distinct non-NULL values of ``column`` from a relation of at most
+    ``bound`` rows (a page, a lookup) as a Python list.
+
+    The list is a query parameter: used in an ``IN`` predicate it reaches the
+    Parquet scan, where row-group statistics skip everything else (events
+    are stored clustered by meter).  The bound is enforced, never assumed.
+    """
+    vals = (df.select(F.col(column).alias("_k")).filter(F.col("_k").isNotNull()).distinct()
+            .limit(bound + 1).collect())
+    if len(vals) > bound:
+        raise ValueError(f"more than {bound} keys: not a bounded lookup")
+    return [r["_k"] for r in vals]
+
+
 def with_latest_event_for(rows: DataFrame, events: DataFrame, bound: int) -> DataFrame:
     """Latest event per meter for a *bounded* set of customer rows.
 
-    ``bound`` is the proven maximum row count of ``rows`` (a page, a lookup),
-    so its meter list is broadcast and only the events of those meters are
-    aggregated, instead of the latest event of every meter.
+    ``bound`` is the proven maximum row count of ``rows`` (a page, a lookup).
+    Its meters become an ``IN`` filter pushed into the event scan, and only
+    those meters' events are aggregated.
     """
     if bound > 10000:
         raise ValueError("with_latest_event_for is for bounded row sets; use with_latest_event")
-    meters = F.broadcast(rows.select(F.col("meternumber").alias("_pm"))
-                         .filter(F.col("_pm").isNotNull()).distinct())
-    ev = events.join(meters, events["meter_number"] == meters["_pm"], "left_semi")
+    meters = bounded_keys(rows, "meternumber", bound)
+    ev = events.filter(F.col("meter_number").isin(meters)) if meters else events.limit(0)
     latest = latest_event_per_meter(ev)
-    right = F.broadcast(latest.select(F.col("meter_number").alias("_le_key"),
-                                      *[F.col(s).alias(d) for s, d in TAMPER_ALIASES]))
-    return rows.join(right, rows["meternumber"] == right["_le_key"], "left").drop("_le_key")
+    right = latest.select(F.col("meter_number").alias("_le_key"),
+                          *[F.col(s).alias(d) for s, d in TAMPER_ALIASES])
+    # at most ``bound`` rows on each side: broadcasting either is bounded
+    return rows.join(F.broadcast(right), rows["meternumber"] == right["_le_key"], "left").drop("_le_key")
 
 
 # ── paging ───────────────────────────────────────────────────────────────────
@@ -297,16 +312,13 @@ def events_by_account(customers: DataFrame, events: DataFrame, account: str,
                       f: EventFilter) -> DataFrame:
     """Events of the account's meter, newest first, one page.
 
-    One job: the account's meter is a one-row aggregate (size proven), which
-    is broadcast into a semi join with the events.
+    Two steps, as the lookup is defined: the account's meter (first customer
+    by ``ecgkey``; one row), then the events of that meter with the meter as a
+    literal predicate that reaches the event scan.
     """
     f = normalise_event_filter(f)
-    meter = F.broadcast(account_meter(customers, account)
-                        .filter(F.col("meter_number").isNotNull() & (F.col("meter_number") != ""))
-                        .select(F.col("meter_number").alias("_acct_meter")))
-    ev = events.join(meter, events["meter_number"] == meter["_acct_meter"], "left_semi")
-    for p in month_predicates(events, f) + event_predicates(f, _time_type(events)):
-        ev = ev.filter(p)
-    order = [F.col(c).desc() for c in event_order(events)]
-    return (event_rows(ev.orderBy(*order).offset((f.page - 1) * f.page_size).limit(f.page_size))
-            .withColumn("account_number", F.lit(account)))
+    meters = bounded_keys(account_meter(customers, account), "meter_number", 1)
+    meter = meters[0] if meters and meters[0] != "" else None
+    if meter is None:
+        return event_rows(events.limit(0)).withColumn("account_number", F.lit(account))
+    return event_page(events, meter, f).withColumn("account_number", F.lit(account))

@@ -86,3 +86,21 @@ def test_spatial_layer_bbox_reaches_the_scan(spark, tmp_path):
     pushed = plan[plan.index("PushedFilters"):].split("]")[0]
     assert "GreaterThanOrEqual(geom_x" in pushed and "LessThanOrEqual(geom_y" in pushed
     assert got.count() == K.tile_features(layer, 7, 63, 61).count() > 0
+
+
+def test_page_lookup_pushes_meter_list_into_event_scan(spark, tmp_path):
+    from gridwatch.functions.params import CustomerFilter
+    from gridwatch.sources.readers import read_events, write_events
+    cust, ev = X.customers(spark, SF), X.tamper_events(spark, SF)
+    path = str(tmp_path / "events")
+    write_events(ev, path)
+    stored = read_events(spark, path)
+    page = C.customer_page(cust, stored, CustomerFilter(page=1, page_size=20))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    try:
+        plan = plan_of(page)
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scan = [ln for ln in plan.split("\n") if "FileScan parquet" in ln and "event_time" in ln][0]
+    assert "In(meter_number" in scan or "EqualTo(meter_number" in scan
+    assert page.count() == 20
