@@ -41,8 +41,7 @@ def customers_from_tpch(customer: DataFrame, nation: DataFrame, region: DataFram
         (F.lit(700000000) + group).cast("string").alias("accountnumber"),
         F.when(k % 53 == 52, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("Customer#"), _lpad_str(group, 9))).alias("fullname"),
-        F.when(k % 31 == 30, F.lit(None).cast("string"))
-         .otherwise(F.concat(F.lit("02"), _lpad_str(group % 100000000, 8))).alias("phonenumber"),
+        F.concat(F.lit("02"), _lpad_str(group % 100000000, 8)).alias("phonenumber"),
         region_code.alias("regioncode"),
         F.col("r_name").alias("regionname"),
         F.when(k % 97 == 96, F.lit(None).cast("string"))

@@ -9,8 +9,7 @@ customers AS (
   CAST(700000000 + c_nationkey * 1000000 + c_custkey - c_custkey % 100 AS VARCHAR) AS accountnumber,
   CASE WHEN c_custkey % 53 = 52 THEN NULL
        ELSE 'Customer#' || lpad(CAST(c_nationkey * 1000000 + c_custkey - c_custkey % 100 AS VARCHAR), 9, '0') END AS fullname,
-  CASE WHEN c_custkey % 31 = 30 THEN NULL
-       ELSE '02' || lpad(CAST((c_nationkey * 1000000 + c_custkey - c_custkey % 100) % 100000000 AS VARCHAR), 8, '0') END AS phonenumber,
+  '02' || lpad(CAST((c_nationkey * 1000000 + c_custkey - c_custkey % 100) % 100000000 AS VARCHAR), 8, '0') AS phonenumber,
   lpad(CAST(r_regionkey AS VARCHAR), 2, '0') AS regioncode, r_name AS regionname,
   CASE WHEN c_custkey % 97 = 96 THEN NULL
        ELSE lpad(CAST(r_regionkey AS VARCHAR), 2, '0') || '-' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') END AS districtcode,
