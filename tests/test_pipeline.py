@@ -166,3 +166,25 @@ def test_event_envelope(spark):
     empty = json.loads(X.event_envelope(C.event_page(ev, "M9", f), C.count_events(ev, "M9", f), 1, 2,
                                         "M9").collect()[0]["json"])
     assert empty["events"] == [] and empty["total"] == 0 and "account_number" not in empty
+
+
+def test_export_records_and_tile_index_write(spark, scratch):
+    from gridwatch.operators import joins as J
+    from gridwatch.operators import spatial as K
+    from gridwatch.operators import summaries as S
+    cust = customers(spark, [{"ecgkey": str(i), "meternumber": f"M{i}", "fullname": f"N{i}",
+                              "latitude": -0.2 + i / 100, "longitude": 5.6} for i in range(30)])
+    ev = events(spark, [{"meter_number": "M1", "event_time": "2024-01-01 00:00:00"}])
+    dto = C.customer_dto(J.with_latest_event(cust, ev))
+    out = os.path.join(scratch, "export")
+    X.export_records(dto, out, "json")
+    back = spark.read.json(out)
+    assert back.count() == 30 and "latest_tamper_event" in back.columns
+    X.export_records(C.flatten_dto(dto), os.path.join(scratch, "export_csv"), "csv")
+    assert spark.read.option("header", True).csv(os.path.join(scratch, "export_csv")).count() == 30
+    idx = K.tile_index(S.with_geom(cust), 5, 7)
+    K.write_tile_index(idx, os.path.join(scratch, "tiles"))
+    z6 = spark.read.parquet(os.path.join(scratch, "tiles")).filter(F.col("tile_z") == 6)
+    assert z6.agg(F.sum("features")).collect()[0][0] == 30
+    X.write_geojson_seq(X.geojson_features(dto), os.path.join(scratch, "geo"))
+    assert spark.read.text(os.path.join(scratch, "geo")).count() == 30
