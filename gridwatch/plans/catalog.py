@@ -41,7 +41,7 @@ _BASE_CACHE: dict[tuple[int, str, str], tuple[DataFrame, DataFrame]] = {}
 def _base(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The two fixture relations; built (and analysed) once per session and
     folder, since DataFrames are immutable plans and can be shared."""
-    key = (id(spark), spark.sparkContext.applicationId, sf)
+    key = (id(spark), spark.conf.get("spark.app.id", ""), sf)
     if key not in _BASE_CACHE:
         _BASE_CACHE[key] = (X.customers(spark, sf), X.tamper_events(spark, sf))
     return _BASE_CACHE[key]
