@@ -38,9 +38,13 @@ def left_join_nullable(left: DataFrame, right: DataFrame, left_key: str, right_k
                   F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(NULL_KEY_BUCKETS)))
     lk = F.struct(F.col(left_key).alias("k"), F.coalesce(salt, F.lit(0)).cast("int").alias("s"))
     rk = F.struct(F.col(right_key).alias("k"), F.lit(0).alias("s"))
-    lhs = left.withColumn(SALT, lk)
-    rhs = right.filter(F.col(right_key).isNotNull()).withColumn(SALT + "_r", rk)
-    return lhs.join(rhs, lhs[SALT] == rhs[SALT + "_r"], "left").drop(SALT, SALT + "_r")
+    # the key travels once, inside the struct, and is restored after the join
+    lhs = left.withColumn(SALT, lk).drop(left_key)
+    rhs = right.filter(F.col(right_key).isNotNull()).withColumn(SALT + "_r", rk).drop(right_key)
+    j = lhs.join(rhs, lhs[SALT] == rhs[SALT + "_r"], "left")
+    restored = {left_key: F.col(SALT + ".k"), right_key: F.col(SALT + "_r.k")}
+    return j.select(*[restored.get(c, F.col(c)).alias(c) for c in left.columns],
+                    *[restored.get(c, F.col(c)).alias(c) for c in right.columns])
 
 
 def latest_per_key(df: DataFrame, key: str, order: Sequence[str],
