@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridwatch.functions.params import (CustomerFilter, EventFilter, normalise_customer_filter,
-                                        normalise_event_filter)
+from gridwatch.functions.params import (DEFAULT_PAGE_SIZE, MAX_CUSTOMER_PAGE, CustomerFilter,
+                                        EventFilter, normalise_customer_filter, normalise_event_filter)
 from gridwatch.functions.text import contains_pattern
 from gridwatch.operators.joins import (TAMPER_ALIASES, event_order, latest_event_per_meter,
                                        left_join_nullable, semi_join)
@@ -266,8 +266,11 @@ def customer_page(customers: DataFrame, events: DataFrame, f: CustomerFilter,
     return dto
 
 
-def page_meta(total: DataFrame, page: int, page_size: int) -> DataFrame:
-    """``total, page, page_size, total_pages`` from a one-row count."""
+def page_meta(total: DataFrame, page: int, page_size: int, max_size: int = MAX_CUSTOMER_PAGE) -> DataFrame:
+    """``total, page, page_size, total_pages`` from a one-row count; page and
+    size are clamped first, and the clamped size is what is reported."""
+    page = page if page >= 1 else 1
+    page_size = min(page_size if page_size >= 1 else DEFAULT_PAGE_SIZE, max_size)
     return total.select(
         F.col("total"), F.lit(page).alias("page"), F.lit(page_size).alias("page_size"),
         F.ceil(F.col("total") / F.lit(page_size)).cast("long").alias("total_pages"))

@@ -222,3 +222,15 @@ def test_latest_methods_agree(spark):
     b = J.latest_event_per_meter(ev, "row_number").select(*J.latest_event_per_meter(ev).columns) \
         .orderBy("meter_number").collect()
     assert a == b
+
+
+def test_page_size_is_clamped_and_reported(spark):
+    from gridwatch.functions.params import normalise_customer_filter, normalise_event_filter
+    f = normalise_customer_filter(CustomerFilter(page=0, page_size=1000, search="  x "))
+    assert (f.page, f.page_size, f.search) == (1, 200, "x")
+    e = normalise_event_filter(EventFilter(page=-3, page_size=0, event_code=" 3.1 "))
+    assert (e.page, e.page_size, e.event_code) == (1, 50, "3.1")
+    assert normalise_event_filter(EventFilter(page_size=9999)).page_size == 500
+    total = spark.createDataFrame([(401,)], "total long")
+    m = C.page_meta(total, 0, 1000).collect()[0]
+    assert (m["page"], m["page_size"], m["total_pages"]) == (1, 200, 3)
