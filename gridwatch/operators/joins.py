@@ -3,7 +3,7 @@
 * ``left_join_nullable`` — left equi-join whose NULL keys are spread over
   reducers instead of all hashing to one (a NULL meter number may be common).
 * ``latest_per_key`` — top-1 row per key (the lateral ``ORDER BY … LIMIT 1``),
-  as a partially aggregated ``max_by`` so a hot key collapses map-side.
+  limited per map task before the shuffle so a hot key collapses map-side.
 """
 
 from __future__ import annotations
@@ -33,6 +33,9 @@ def left_join_nullable(left: DataFrame, right: DataFrame, left_key: str, right_k
     the left join.  Hot non-NULL keys are left to AQE's skew-join split (the
     right side is one row per key here).
     """
+    shared = set(left.columns) & set(right.columns)
+    if shared:
+        raise ValueError(f"left and right share column names {sorted(shared)}; rename one side")
     cols = list(spread_by) if spread_by else left.columns
     salt = F.when(F.col(left_key).isNull(),
                   F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(NULL_KEY_BUCKETS)))
