@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gridwatch.functions.geo import both_present
 from gridwatch.operators import summaries as S
+from gridwatch.operators.joins import left_join_nullable
 
 
 def read_stream(spark: SparkSession, folder: str, schema, file_glob: str | None = None,
@@ -72,7 +73,8 @@ def coordinate_meter_stream(events: DataFrame, out_dir: str, checkpoint: str,
 def flags_from_coordinate_meters(customers: DataFrame, coordinate_meters: DataFrame) -> DataFrame:
     """'any'-variant flags from the streamed meter set."""
     right = coordinate_meters.select(F.col("meternumber").alias("_f_key"), F.lit(True).alias("_f_ev"))
-    j = customers.join(right, customers["meternumber"] == right["_f_key"], "left")
+    spread = ["ecgkey"] if "ecgkey" in customers.columns else None
+    j = left_join_nullable(customers, right, "meternumber", "_f_key", spread)
     own = both_present("latitude", "longitude")
     ev = F.coalesce(F.col("_f_ev"), F.lit(False))
     return (j.withColumns({"has_own_coordinates": own, "has_event_coordinates": ev,
