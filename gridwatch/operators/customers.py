@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from gridwatch.functions.params import (DEFAULT_PAGE_SIZE, MAX_CUSTOMER_PAGE, CustomerFilter,
                                         EventFilter, normalise_customer_filter, normalise_event_filter)
 from gridwatch.functions.text import contains_pattern
+from gridwatch.session import checkpoint_dir
 from gridwatch.operators.joins import (TAMPER_ALIASES, event_order, latest_event_per_meter,
                                        left_join_nullable, semi_join)
 
@@ -233,6 +234,10 @@ def with_latest_event_for(rows: DataFrame, events: DataFrame, bound: int) -> Dat
     """
     if bound > 10000:
         raise ValueError("with_latest_event_for is for bounded row sets; use with_latest_event")
+    # the rows are used twice (key list, output): materialise them once in the
+    # shared checkpoint folder instead of re-running the filtered top-K scan
+    checkpoint_dir(rows.sparkSession)
+    rows = rows.checkpoint(eager=True)
     meters = bounded_keys(rows, "meternumber", bound)
     ev = events.filter(F.col("meter_number").isin(meters)) if meters else events.limit(0)
     latest = latest_event_per_meter(ev)
