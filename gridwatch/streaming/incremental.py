@@ -50,12 +50,44 @@ def meter_summary_stream(events: DataFrame, state_dir: str, checkpoint: str,
     return w.start()
 
 
+def _newest_per_meter(log: DataFrame) -> DataFrame:
+    return (log.groupBy("meter_number")
+            .agg(F.max_by(F.struct("_n", "_le"), "batch_id").alias("s"), F.max("batch_id").alias("batch_id"))
+            .select("meter_number", "s._n", "s._le", "batch_id"))
+
+
+def _base_version(spark: SparkSession, state_dir: str) -> tuple[str | None, int]:
+    """Newest compacted base (path, batch id) of a state log, if any."""
+    from gridwatch.sources.sinks import SnapshotStore
+    path = SnapshotStore(spark, f"{state_dir}_base").current("meters")
+    if path is None:
+        return None, -1
+    return path, int(spark.read.parquet(path).agg(F.max("batch_id")).collect()[0][0])
+
+
 def read_meter_state(spark: SparkSession, state_dir: str) -> DataFrame:
-    """Newest row per meter across the micro-batch log (``events_per_meter`` shape)."""
+    """Newest row per meter (``events_per_meter`` shape): the compacted base,
+    if any, plus the micro-batch outputs written after it."""
+    base, upto = _base_version(spark, state_dir)
     log = spark.read.option("basePath", state_dir).parquet(state_dir)
-    return (log.groupBy("meter_number")
-            .agg(F.max_by(F.struct("_n", "_le"), "batch_id").alias("s"))
-            .select("meter_number", "s._n", "s._le"))
+    log = log.filter(F.col("batch_id") > upto).select("meter_number", "_n", "_le", "batch_id")
+    if base is not None:
+        log = spark.read.parquet(base).select("meter_number", "_n", "_le", "batch_id").unionByName(log)
+    return _newest_per_meter(log).drop("batch_id")
+
+
+def compact_meter_state(spark: SparkSession, state_dir: str) -> str:
+    """Fold the base and all later micro-batch outputs into a new base
+    version (published only when written).  Batch folders up to its batch id
+    are no longer read and may be removed by retention; a replayed batch is
+    always newer than the base, so it is still picked up."""
+    from gridwatch.sources.sinks import SnapshotStore
+    base, upto = _base_version(spark, state_dir)
+    log = spark.read.option("basePath", state_dir).parquet(state_dir)
+    log = log.filter(F.col("batch_id") > upto).select("meter_number", "_n", "_le", "batch_id")
+    if base is not None:
+        log = spark.read.parquet(base).select("meter_number", "_n", "_le", "batch_id").unionByName(log)
+    return SnapshotStore(spark, f"{state_dir}_base").write("meters", _newest_per_meter(log))
 
 
 def coordinate_meter_stream(events: DataFrame, out_dir: str, checkpoint: str,

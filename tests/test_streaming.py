@@ -54,3 +54,21 @@ def test_lockout_stream_equals_batch(spark, scratch):
         os.path.join(scratch, "lo")).collect())
     want = sorted((r["attempt_id"], r["counter"], r["result"]) for r in LO.attempt_lockouts(df).collect())
     assert got == want
+
+
+def test_meter_state_compaction(spark, scratch):
+    base = datetime(2024, 1, 1)
+    ev = events(spark, [{"meter_number": f"M{i % 3}", "event_time": base + timedelta(hours=i)} for i in range(30)])
+    src = os.path.join(scratch, "src")
+    state, chk = os.path.join(scratch, "state"), os.path.join(scratch, "chk")
+    ev.filter("event_id < 10").write.parquet(src)
+    INC.meter_summary_stream(INC.read_stream(spark, src, ev.schema), state, chk).awaitTermination()
+    INC.compact_meter_state(spark, state)
+    ev.filter("event_id >= 10 AND event_id < 20").write.mode("append").parquet(src)
+    INC.meter_summary_stream(INC.read_stream(spark, src, ev.schema), state, chk).awaitTermination()
+    INC.compact_meter_state(spark, state)
+    ev.filter("event_id >= 20").write.mode("append").parquet(src)
+    INC.meter_summary_stream(INC.read_stream(spark, src, ev.schema), state, chk).awaitTermination()
+    got = sorted(INC.read_meter_state(spark, state).collect())
+    want = sorted(S.events_per_meter(spark.read.parquet(src), "max_by").collect())
+    assert got == want and len(got) == 3
