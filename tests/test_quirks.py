@@ -234,3 +234,20 @@ def test_page_size_is_clamped_and_reported(spark):
     total = spark.createDataFrame([(401,)], "total long")
     m = C.page_meta(total, 0, 1000).collect()[0]
     assert (m["page"], m["page_size"], m["total_pages"]) == (1, 200, 3)
+
+
+def test_batch_step_orientation_switch(spark):
+    cust = customers(spark, [{"ecgkey": "1", "latitude": -0.06, "longitude": 5.69}])
+    a = S.with_geom(cust).collect()[0]
+    b = S.with_geom(cust, swap=False).collect()[0]
+    assert (a["geom_x"], a["geom_y"]) == (-0.06, 5.69)
+    assert (b["geom_x"], b["geom_y"]) == (5.69, -0.06)
+    ms = spark.createDataFrame([("M1", 0.5, 6.5, 1)], "meternumber string, latest_event_lat double, "
+                               "latest_event_lng double, event_count long")
+    c2 = customers(spark, [{"ecgkey": "2", "meternumber": "M1"}])
+    ms = ms.selectExpr("*", "cast(null as timestamp) latest_event_time", "'c' latest_event_code",
+                       "'d' latest_event_desc", "true has_event_coordinates")
+    v = K.customer_map_view(c2, ms).collect()[0]
+    assert (v["geom_x"], v["geom_y"]) == (6.5, 0.5)          # fallback: x = event lng column
+    w = K.customer_map_view(c2, ms, swap=True).collect()[0]
+    assert (w["geom_x"], w["geom_y"]) == (0.5, 6.5)
