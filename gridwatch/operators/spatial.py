@@ -46,7 +46,10 @@ def customer_map_view(customers: DataFrame, meter_summary_df: DataFrame, swap: b
             "districtname", "metermake", "metermodel", "metertype"]
     carried = [c for c in ("has_any_coordinates", "geom_x", "geom_y", "latitude", "longitude")
                if c in customers.columns]
-    j = S.join_meter_summary(customers.select(*keep, *carried), meter_summary_df,
+    have = set(customers.columns)
+    base = customers.select(*[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in keep],
+                            *carried)
+    j = S.join_meter_summary(base, meter_summary_df,
                              S.summary_columns(customers, [
                                  "latest_event_time", "latest_event_code", "latest_event_desc",
                                  "latest_event_lat", "latest_event_lng", "event_count"]))
