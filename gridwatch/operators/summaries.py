@@ -217,9 +217,9 @@ def district_event_summary(customers: DataFrame, meter_summary_df: DataFrame,
     rows = _district_meter_rows(customers, meter_summary_df)
     has_any = F.coalesce(F.col("has_any_coordinates"), F.lit(False))
     kind = F.upper(F.col("servicetype"))
+    # only fixed-width aggregation buffers here, so both levels run as hash
+    # aggregates; the text columns are resolved separately below
     per_meter = (rows.groupBy("districtcode", "meternumber").agg(
-        F.max("districtname").alias("_dn"), F.max("regioncode").alias("_rc"),
-        F.max("regionname").alias("_rn"),
         F.sum("geom_x").alias("_sx"), F.sum("geom_y").alias("_sy"),
         F.count("geom_x").alias("_np"),
         F.max(F.col("_ms_key").isNotNull() & (F.col("_ms_events") > 0)).alias("_ev"),
@@ -235,9 +235,7 @@ def district_event_summary(customers: DataFrame, meter_summary_df: DataFrame,
 
     npts = F.sum("_np")
     zero = F.lit(0).cast("long")
-    out = per_meter.groupBy("districtcode").agg(
-        F.max("_dn").alias("districtname"), F.max("_rc").alias("regioncode"),
-        F.max("_rn").alias("regionname"),
+    numbers = per_meter.groupBy("districtcode").agg(
         F.when(npts > 0, F.sum("_sx") / npts).alias("geom_x"),
         F.when(npts > 0, F.sum("_sy") / npts).alias("geom_y"),
         F.count("meternumber").alias("total_meters"),
@@ -250,6 +248,16 @@ def district_event_summary(customers: DataFrame, meter_summary_df: DataFrame,
         (count_meters("_act") if service_mix else zero).alias("active_contracts"),
         F.max("_latest").alias("latest_event_time"),
     )
+    # MAX of each name per code: first the distinct name combinations (a hash
+    # aggregate on the four text columns, small), then the maximum per code
+    names = (customers.filter(F.col("districtcode").isNotNull())
+             .select("districtcode", "districtname", "regioncode", "regionname").distinct()
+             .groupBy("districtcode")
+             .agg(F.max("districtname").alias("districtname"), F.max("regioncode").alias("regioncode"),
+                  F.max("regionname").alias("regionname")))
+    out = numbers.join(names, "districtcode").select(
+        "districtcode", "districtname", "regioncode", "regionname", *[c for c in numbers.columns
+                                                                      if c != "districtcode"])
     if as_of is not None:
         out = out.withColumn("updated_at", F.lit(as_of).cast("timestamp"))
     return out
