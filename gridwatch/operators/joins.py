@@ -51,7 +51,8 @@ def left_join_nullable(left: DataFrame, right: DataFrame, left_key: str, right_k
 
 
 def latest_per_key(df: DataFrame, key: str, order: Sequence[str],
-                   columns: Sequence[str] | None = None, method: str = "row_number") -> DataFrame:
+                   columns: Sequence[str] | None = None, method: str = "row_number",
+                   descending: bool = True) -> DataFrame:
     """One row per ``key``: the row with the greatest ``order`` tuple.
 
     ``row_number`` (default) is planned with a partial ``WindowGroupLimit``:
@@ -60,14 +61,17 @@ def latest_per_key(df: DataFrame, key: str, order: Sequence[str],
     ``max_by`` gives the same rows as a partial sort-based aggregate; it is
     the form streaming needs (no windows on streams) and measured ~25 %
     slower in batch on 5M events with one meter holding a third of them.
+    ``descending=False`` keeps the row with the smallest ``order`` tuple.
     """
     cols = [c for c in (columns or df.columns) if c != key]
     if method == "max_by":
-        best = F.max_by(F.struct(*[F.col(c) for c in cols]),
-                        F.struct(*[F.col(c) for c in order])).alias("_best")
+        pick = F.max_by if descending else F.min_by
+        best = pick(F.struct(*[F.col(c) for c in cols]),
+                    F.struct(*[F.col(c) for c in order])).alias("_best")
         return df.groupBy(key).agg(best).select(key, *[F.col("_best." + c).alias(c) for c in cols])
     if method == "row_number":
-        w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
+        w = Window.partitionBy(key).orderBy(*[F.col(c).desc() if descending else F.col(c).asc()
+                                              for c in order])
         return (df.select(key, *cols).withColumn("_rn", F.row_number().over(w))
                 .filter(F.col("_rn") == 1).drop("_rn"))
     raise ValueError(f"unknown method {method!r}")

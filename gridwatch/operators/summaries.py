@@ -55,7 +55,12 @@ def events_per_meter(events: DataFrame, method: str = "row_number") -> DataFrame
 
 def finish_meter_summary(per_meter: DataFrame, customers: DataFrame, fanout: bool = True,
                          as_of: datetime | None = None) -> DataFrame:
-    """Meter summary rows from ``events_per_meter`` output plus customers."""
+    """Meter summary rows from ``events_per_meter`` output plus customers.
+
+    Customer side per meter: count and the account of the smallest ``ecgkey``
+    in one partial aggregate (measured faster on 3M customers than a hash
+    count joined with a window-limited first row, which sorts as well).
+    """
     cust = (customers.filter(F.col("meternumber").isNotNull())
             .groupBy("meternumber")
             .agg(F.count(F.lit(1)).alias("_nc"),
