@@ -251,3 +251,22 @@ def test_batch_step_orientation_switch(spark):
     assert (v["geom_x"], v["geom_y"]) == (6.5, 0.5)          # fallback: x = event lng column
     w = K.customer_map_view(c2, ms, swap=True).collect()[0]
     assert (w["geom_x"], w["geom_y"]) == (0.5, 6.5)
+
+
+def test_account_meters_large_group_split_into_ordered_parts(spark):
+    meters = ["M5", None, "M1", "M3", "M3", "M2", "M4", None, "M6"]
+    rows = [{"ecgkey": str(i), "accountnumber": "A1", "fullname": "N", "meternumber": m}
+            for i, m in enumerate(meters)]
+    rows += [{"ecgkey": "s1", "accountnumber": "A2", "fullname": "S", "meternumber": "X1"}]
+    cust = S.with_coordinate_flags(customers(spark, rows), variant="any", events=events(spark, [
+        {"meter_number": "M9", "event_time": "2024-01-01 00:00:00"}]))
+    ms = spark.createDataFrame([("M3", 4, datetime(2024, 1, 3))],
+                               "meternumber string, event_count long, latest_event_time timestamp")
+    out = D.account_meters(cust, ms, part_size=3).collect()
+    assert D.account_meters(cust, ms, part_size=100).filter("part > 0").count() == 0
+    big = sorted([r for r in out if r["accountnumber"] == "A1"], key=lambda r: r["part"])
+    small = [r for r in out if r["accountnumber"] == "A2"]
+    assert len(small) == 1 and small[0]["part"] == 0 and small[0]["meters"] == ["X1"]
+    assert all(r["part"] > 0 for r in big)
+    assert [m for r in big for m in r["meters"]] == ["M1", "M2", "M3", "M3", "M4", "M5", "M6", None, None]
+    assert {(r["meter_count"], r["total_events"]) for r in big} == {(9, 8)}
