@@ -188,3 +188,14 @@ def test_export_records_and_tile_index_write(spark, scratch):
     assert z6.agg(F.sum("features")).collect()[0][0] == 30
     X.write_geojson_seq(X.geojson_features(dto), os.path.join(scratch, "geo"))
     assert spark.read.text(os.path.join(scratch, "geo")).count() == 30
+
+
+def test_sql_views(spark):
+    from gridwatch.plans.views import register_views
+    from gridwatch.sources import fixtures as FX
+    sf = "/root/testdata/sf0.01"
+    register_views(FX.customers(spark, sf), FX.tamper_events(spark, sf), prefix="t_")
+    assert spark.sql("SELECT COUNT(*) FROM t_customer_map_view").collect()[0][0] == 984
+    assert spark.sql("SELECT SUM(total_events) FROM t_district_event_summary").collect()[0][0] == 11448
+    top = spark.sql("SELECT meternumber FROM t_meter_summary ORDER BY event_count DESC, meternumber LIMIT 1")
+    assert top.count() == 1
