@@ -163,7 +163,7 @@ def load_and_refresh(spark: SparkSession, customers_csv: str, events_csv: str, r
     from gridwatch.sources import readers
     store = SnapshotStore(spark, root)
     store.write("customer_records", readers.read_customers_csv(spark, customers_csv))
-    events_path = store.write("tamper_events", readers.with_event_month(
+    events_path = store.write("tamper_events", readers.clustered_events(
         readers.read_events_csv(spark, events_csv)), partition_by=["event_month"])
     return Refresh(spark, root, run_id).run(store.read("customer_records"),
                                             readers.read_events(spark, events_path), as_of)

@@ -92,6 +92,12 @@ def with_event_month(events: DataFrame) -> DataFrame:
     return events.withColumn("event_month", F.date_format("event_time", "yyyy-MM"))
 
 
+def clustered_events(events: DataFrame) -> DataFrame:
+    """Events with ``event_month``, each task's rows ordered by (month,
+    meter, time) for the partitioned, meter-clustered layout."""
+    return with_event_month(events).sortWithinPartitions("event_month", "meter_number", "event_time")
+
+
 def write_events(events: DataFrame, path: str, mode: str = "overwrite",
                  max_records_per_file: int = 5_000_000) -> None:
     """Store events partitioned by month, clustered by meter.
@@ -102,7 +108,7 @@ def write_events(events: DataFrame, path: str, mode: str = "overwrite",
     narrow meter range, so meter lookups skip row groups by their min/max
     statistics.
     """
-    (with_event_month(events).sortWithinPartitions("event_month", "meter_number", "event_time")
+    (clustered_events(events)
      .write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
      .partitionBy("event_month").parquet(path))
 
