@@ -358,14 +358,18 @@ def merge_meter_summary(spark, sf):
 
 
 def merge_district_sticky(spark, sf):
-    """District snapshot with lower-case names, upserted with a fresh summary:
-    names and region stay as first inserted, counters move."""
+    """A district snapshot from the first load (events of the first half of
+    January, names lower-cased, service counters filled) upserted with the
+    summary of the full data: names and region stay as first inserted,
+    counters move, the columns outside the insert list keep their values."""
     from gridwatch.plans.refresh import STICKY_DISTRICT, UNTOUCHED_DISTRICT
     from gridwatch.sources.sinks import merge_sticky
-    cust, _, ms = _cust_ms(spark, sf)
-    old = (S.district_event_summary(cust.filter(F.col("ecgkey") < "000000700"), ms, service_mix=True)
+    cust, ev = _base(spark, sf)
+    cut = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    first_ms = S.meter_summary(ev.filter(F.col("event_time") < cut), cust)
+    old = (S.district_event_summary(cust, first_ms, service_mix=True)
            .withColumn("districtname", F.lower("districtname")))
-    new = S.district_event_summary(cust.filter(F.col("ecgkey") >= "000000300"), ms)
+    new = S.district_event_summary(cust, S.meter_summary(ev, cust))
     out = merge_sticky(old, new, ["districtcode"], sticky=STICKY_DISTRICT,
                        untouched=UNTOUCHED_DISTRICT, defaults={c: 0 for c in UNTOUCHED_DISTRICT})
     return _round_geom(out)
