@@ -95,3 +95,52 @@ def parse_query_time(text: str) -> datetime:
     if _DATE.match(text):
         return datetime.fromisoformat(text)
     raise ValueError(f"invalid time {text!r}: use ISO 8601, e.g. 2026-04-01T00:00:00Z or 2026-04-01")
+
+
+def _int(text: str | None) -> int:
+    """Integer parameter; anything unparsable is 0 (then normalised)."""
+    try:
+        return int(text or "")
+    except ValueError:
+        return 0
+
+
+def _flag(text: str | None) -> bool:
+    return (text or "").lower() == "true"
+
+
+# Query parameter names of the customer list and their filter fields.
+CUSTOMER_PARAMS = [
+    ("search", "search"), ("region_code", "region_code"), ("region_name", "region_name"),
+    ("district_code", "district_code"), ("district_name", "district_name"),
+    ("service_type", "service_type"), ("service_class", "service_class"),
+    ("service_point_number", "service_point_number"), ("customer_type", "customer_type"),
+    ("contract_status", "contract_status"), ("cms_contract_status", "cms_contract_status"),
+    ("meter_make", "meter_make"), ("meter_model", "meter_model"), ("account_type", "account_type"),
+]
+
+
+def customer_filter_from_query(params: dict[str, str]) -> CustomerFilter:
+    """The customer list's query string as a filter (``has_*`` true only for 'true')."""
+    return CustomerFilter(
+        **{field: params.get(name, "") or "" for name, field in CUSTOMER_PARAMS},
+        has_tamper=_flag(params.get("has_tamper")), has_coordinates=_flag(params.get("has_coordinates")),
+        no_coordinates=_flag(params.get("no_coordinates")),
+        page=_int(params.get("page")), page_size=_int(params.get("page_size")))
+
+
+def no_coordinates_filter_from_query(params: dict[str, str]) -> CustomerFilter:
+    """The no-coordinates route: same parameters, except ``no_coordinates`` is
+    always on and ``has_coordinates`` / ``service_point_number`` are not read."""
+    f = customer_filter_from_query(params)
+    return replace(f, no_coordinates=True, has_coordinates=False, service_point_number="")
+
+
+def event_filter_from_query(params: dict[str, str]) -> EventFilter:
+    """The event routes' query string; a bad ``from``/``to`` raises ``ValueError``."""
+    def when(name: str) -> datetime | None:
+        raw = params.get(name) or ""
+        return parse_query_time(raw) if raw else None
+    return EventFilter(event_desc=params.get("event_desc", "") or "", event_code=params.get("event_code", "") or "",
+                       from_=when("from"), to=when("to"), page=_int(params.get("page")),
+                       page_size=_int(params.get("page_size")))

@@ -58,3 +58,21 @@ def test_contains_pattern():
     assert contains_pattern("a\\b") == "%AB%"
     assert contains_pattern("a\\%") == "%A\\%%"
     assert contains_pattern("a\\") == "%A\\%"
+
+
+def test_query_string_filters():
+    from datetime import datetime
+
+    from gridwatch.functions.params import (customer_filter_from_query, event_filter_from_query,
+                                            no_coordinates_filter_from_query)
+    q = {"search": "ab", "has_tamper": "TRUE", "has_coordinates": "yes", "page": "x", "page_size": "20",
+         "service_point_number": "SP1"}
+    f = customer_filter_from_query(q)
+    assert f.has_tamper and not f.has_coordinates and f.page == 0 and f.page_size == 20
+    assert f.service_point_number == "SP1"
+    g = no_coordinates_filter_from_query({**q, "has_coordinates": "true"})
+    assert g.no_coordinates and not g.has_coordinates and g.service_point_number == ""
+    e = event_filter_from_query({"from": "2024-01-02", "to": "2024-01-03T10:00:00+01:00", "event_code": " x "})
+    assert e.from_ == datetime(2024, 1, 2) and e.to == datetime(2024, 1, 3, 9) and e.event_code == " x "
+    with pytest.raises(ValueError):
+        event_filter_from_query({"from": "02/01/2024"})
