@@ -15,8 +15,7 @@ from gridwatch.functions.params import (DEFAULT_PAGE_SIZE, MAX_CUSTOMER_PAGE, Cu
                                         EventFilter, normalise_customer_filter, normalise_event_filter)
 from gridwatch.functions.text import contains_pattern
 from gridwatch.session import checkpoint_dir
-from gridwatch.operators.joins import (TAMPER_ALIASES, event_order, latest_event_per_meter,
-                                       left_join_nullable, semi_join)
+from gridwatch.operators.joins import TAMPER_ALIASES, event_order, latest_event_per_meter, semi_join
 
 FLAG = "has_any_coordinates"
 

@@ -104,10 +104,6 @@ def event_coordinate_meters(events: DataFrame) -> DataFrame:
             .select(F.col("meter_number").alias("meternumber")).distinct())
 
 
-def own_coordinates(df: DataFrame) -> Column:
-    return both_present("latitude", "longitude")
-
-
 def join_meter_summary(customers: DataFrame, meter_summary_df: DataFrame,
                        columns: list[str]) -> DataFrame:
     """Customers left-joined (NULL-key salted) with the listed meter-summary

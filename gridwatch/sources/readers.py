@@ -115,11 +115,8 @@ def write_events(events: DataFrame, path: str, mode: str = "overwrite",
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Month-partitioned events; ``event_month`` is read back as text."""
-    schema = T.StructType([T.StructField(n, t, True) for n, t in EVENT_COLUMNS]
-                          + [T.StructField("event_id", T.LongType(), True),
-                             T.StructField("event_month", T.StringType(), True)])
     df = spark.read.option("basePath", path).parquet(path)
-    keep = [f.name for f in schema.fields if f.name in df.columns]
+    keep = [n for n in [c for c, _ in EVENT_COLUMNS] + ["event_id", "event_month"] if n in df.columns]
     return df.select(*keep)
 
 
