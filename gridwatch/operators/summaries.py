@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gridwatch.functions.geo import both_present
 from gridwatch.operators.joins import (anti_join_not_in, event_order, latest_per_key,
-                                       left_join_nullable, semi_join)
+                                       left_join_checked, left_join_nullable, semi_join)
 
 # Latest-event columns kept by the meter summary.
 _LATEST = [("event_time", "latest_event_time"), ("event_code", "latest_event_code"),
@@ -161,7 +161,7 @@ def with_coordinate_flags(customers: DataFrame, meter_summary_df: DataFrame | No
         right = event_coordinate_meters(events).select(F.col("meternumber").alias("_f_key"),
                                                        F.lit(True).alias("_f_ev"))
         spread = ["ecgkey"] if "ecgkey" in base.columns else None
-        j = left_join_nullable(base, right, "meternumber", "_f_key", spread)
+        j = left_join_checked(base, right, "meternumber", "_f_key", spread)
         return j.withColumns(_flag_columns(F.col("_f_ev"))).drop("_f_key", "_f_ev")
     raise ValueError(f"unknown variant {variant!r}")
 

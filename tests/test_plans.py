@@ -34,12 +34,28 @@ def test_null_key_salt_is_a_shuffle_key(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         cust, ev = X.customers(spark, SF), X.tamper_events(spark, SF)
-        plan = plan_of(J.with_latest_event(cust, ev))
+        right = J.latest_event_per_meter(ev).select(F.col("meter_number").alias("_k"), "event_time")
+        plan = plan_of(J.left_join_nullable(cust, right, "meternumber", "_k", ["ecgkey"]))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "hashpartitioning(__gw_salt" in plan
 
 
+def test_checked_join_broadcasts_small_sides_only(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cust, ev = X.customers(spark, SF), X.tamper_events(spark, SF)
+        right = J.latest_event_per_meter(ev).select(F.col("meter_number").alias("_k"), "event_time")
+        small = J.left_join_checked(cust, right, "meternumber", "_k", ["ecgkey"])
+        large = J.left_join_checked(cust, right, "meternumber", "_k", ["ecgkey"], max_rows=10)
+        assert "BroadcastHashJoin" in plan_of(small) and "__gw_salt" not in plan_of(small)
+        assert "hashpartitioning(__gw_salt" in plan_of(large)
+        assert sorted(small.collect()) == sorted(large.collect())
+        assert small.columns == large.columns == cust.columns + ["_k", "event_time"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_latest_event_is_limited_before_the_shuffle(spark):
     plan = plan_of(J.latest_event_per_meter(X.tamper_events(spark, SF)))
     assert "WindowGroupLimit" in plan and "Partial" in plan
