@@ -106,12 +106,14 @@ def event_coordinate_meters(events: DataFrame) -> DataFrame:
 
 def join_meter_summary(customers: DataFrame, meter_summary_df: DataFrame,
                        columns: list[str]) -> DataFrame:
-    """Customers left-joined (NULL-key salted) with the listed meter-summary
-    columns, renamed ``ms_<column>``; ``ms_meternumber`` marks a match."""
+    """Customers left-joined with the listed meter-summary columns, renamed
+    ``ms_<column>``; ``ms_meternumber`` marks a match.  The per-meter side is
+    broadcast only after its size is checked, else the NULL-key-salted
+    shuffle join runs (``left_join_checked``)."""
     right = meter_summary_df.select(F.col("meternumber").alias("ms_meternumber"),
                                     *[F.col(c).alias("ms_" + c) for c in columns])
     spread = ["ecgkey"] if "ecgkey" in customers.columns else None
-    return left_join_nullable(customers, right, "meternumber", "ms_meternumber", spread)
+    return left_join_checked(customers, right, "meternumber", "ms_meternumber", spread)
 
 
 def _flag_columns(event_flag: Column) -> dict[str, Column]:
