@@ -70,6 +70,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("GRIDWATCH_DRIVER_MEM", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # remove checkpointed relations once no DataFrame refers to them
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in {**DEFAULTS, **STREAMING_DEFAULTS}.items():
         builder = builder.config(key, value)
