@@ -36,13 +36,16 @@ def read_stream(spark: SparkSession, folder: str, schema, file_glob: str | None
 
 
 def meter_summary_stream(events: DataFrame, state_dir: str, checkpoint: str,
-                         available_now: bool = True) -> StreamingQuery:
-    """Start the per-meter aggregate; update mode into a batch-keyed log."""
+                         available_now: bool = True, compact_every: int = 100) -> StreamingQuery:
+    """Start the per-meter aggregate; update mode into a batch-keyed log,
+    folded into a new base version every ``compact_every`` micro-batches."""
     per_meter = S.events_per_meter(events)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         (batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
          .write.mode("overwrite").parquet(f"{state_dir}/batch_id={batch_id}"))
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            compact_meter_state(batch.sparkSession, state_dir)
 
     w = (per_meter.writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", checkpoint))

@@ -72,3 +72,19 @@ def test_meter_state_compaction(spark, scratch):
     got = sorted(INC.read_meter_state(spark, state).collect())
     want = sorted(S.events_per_meter(spark.read.parquet(src), "max_by").collect())
     assert got == want and len(got) == 3
+
+
+def test_meter_state_compacts_inside_the_sink(spark, scratch):
+    base = datetime(2024, 1, 1)
+    ev = events(spark, [{"meter_number": f"M{i % 4}", "event_time": base + timedelta(hours=i)} for i in range(24)])
+    src = os.path.join(scratch, "src")
+    for k in range(3):
+        ev.filter(f"event_id >= {8 * k} AND event_id < {8 * (k + 1)}").write.mode("append").parquet(src)
+    state = os.path.join(scratch, "state")
+    q = INC.meter_summary_stream(INC.read_stream(spark, src, ev.schema, max_files_per_trigger=1), state,
+                                 os.path.join(scratch, "chk"), compact_every=2)
+    q.awaitTermination()
+    assert INC._base_version(spark, state)[1] >= 1          # a base was published by the sink
+    got = sorted(INC.read_meter_state(spark, state).collect())
+    want = sorted(S.events_per_meter(spark.read.parquet(src), "max_by").collect())
+    assert got == want
