@@ -120,3 +120,16 @@ def test_page_lookup_pushes_meter_list_into_event_scan(spark, tmp_path):
     scan = [ln for ln in plan.split("\n") if "FileScan parquet" in ln and "event_time" in ln][0]
     assert "In(meter_number" in scan or "EqualTo(meter_number" in scan
     assert page.count() == 20
+
+
+def test_spatial_layer_splits_a_crowded_tile(spark, tmp_path):
+    from gridwatch.operators import spatial as K
+    pts = spark.range(4000).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("ecgkey"),
+                                   (F.lit(-0.2) + F.col("id") / 1e7).alias("geom_x"),
+                                   (F.lit(5.6) + F.col("id") / 1e7).alias("geom_y"))
+    path = str(tmp_path / "crowded")
+    K.write_spatial_layer(pts, path, partitions=4)
+    files = [f for f in os.listdir(path) if f.endswith(".parquet")]
+    assert len(files) >= 3                       # one tile, several tasks
+    back = spark.read.parquet(path)
+    assert back.select("cluster_x", "cluster_y").distinct().count() == 1 and back.count() == 4000
