@@ -199,3 +199,20 @@ def test_sql_views(spark):
     assert spark.sql("SELECT SUM(total_events) FROM t_district_event_summary").collect()[0][0] == 11448
     top = spark.sql("SELECT meternumber FROM t_meter_summary ORDER BY event_count DESC, meternumber LIMIT 1")
     assert top.count() == 1
+
+
+def test_refresh_recovers_after_a_failed_step(spark, scratch):
+    cust = customers(spark, [{"ecgkey": "1", "meternumber": "M1", "latitude": -0.2, "longitude": 5.6},
+                             {"ecgkey": "2", "meternumber": None, "districtcode": "01-02"}])
+    ev = events(spark, [{"meter_number": "M1", "event_time": "2024-01-01 00:00:00"}])
+    r = Refresh(spark, os.path.join(scratch, "rec"), run_id="t")
+    try:
+        r.run(cust, spark.createDataFrame([("M1",)], "meter_number string"))
+    except Exception:  # noqa: BLE001 - the failed first attempt
+        pass
+    r.run(cust, ev, as_of=datetime(2024, 2, 1))
+    fresh = Refresh(spark, os.path.join(scratch, "fresh"), run_id="t")
+    fresh.run(cust, ev, as_of=datetime(2024, 2, 1))
+    for name in ("meter_summary", "customers", "district_event_summary"):
+        assert sorted(r.table(name).collect()) == sorted(fresh.table(name).collect()), name
+    assert {x["status"] for x in r.status().collect()} == {"✓ done"}
