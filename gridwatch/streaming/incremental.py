@@ -131,3 +131,35 @@ def recompute_meters(events: DataFrame, touched: DataFrame) -> DataFrame:
     return (t.join(has, t["_t"] == has["meter_number"], "left")
             .select(F.col("_t").alias("meternumber"),
                     F.coalesce("has_event_coordinates", F.lit(False)).alias("has_event_coordinates")))
+
+
+def event_change_flag_stream(changes: DataFrame, events_path: str, state_dir: str, checkpoint: str,
+                             available_now: bool = True) -> StreamingQuery:
+    """Any-event coordinate flags kept current under inserts, updates and
+    deletes of events.
+
+    ``changes`` is a stream of change records carrying ``meter_number``
+    (one per inserted, updated or deleted event); ``events_path`` holds the
+    stored events after those changes.  Each micro-batch recomputes the flag
+    of the touched meters only (a semi join restricts the event scan to
+    them) and writes it keyed by batch id; ``read_event_flags`` resolves the
+    newest value per meter.
+    """
+    from gridwatch.sources.readers import read_events
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        touched = batch.select(F.col("meter_number").alias("meternumber")).distinct()
+        stored = read_events(batch.sparkSession, events_path)
+        (recompute_meters(stored, touched).withColumn("batch_id", F.lit(batch_id).cast("long"))
+         .write.mode("overwrite").parquet(f"{state_dir}/batch_id={batch_id}"))
+
+    w = changes.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()
+
+
+def read_event_flags(spark: SparkSession, state_dir: str) -> DataFrame:
+    """Newest any-event flag per meter from ``event_change_flag_stream``."""
+    log = spark.read.option("basePath", state_dir).parquet(state_dir)
+    return (log.groupBy("meternumber")
+            .agg(F.max_by("has_event_coordinates", "batch_id").alias("has_event_coordinates")))

@@ -88,3 +88,27 @@ def test_meter_state_compacts_inside_the_sink(spark, scratch):
     got = sorted(INC.read_meter_state(spark, state).collect())
     want = sorted(S.events_per_meter(spark.read.parquet(src), "max_by").collect())
     assert got == want
+
+
+def test_event_changes_update_and_clear_flags(spark, scratch):
+    from gridwatch.sources.readers import write_events
+    stored = os.path.join(scratch, "events")
+    changes = os.path.join(scratch, "changes")
+    state, chk = os.path.join(scratch, "flags"), os.path.join(scratch, "chk")
+    e1 = events(spark, [{"meter_number": "M1", "event_time": "2024-01-01 00:00:00", "latitude": 1.0, "longitude": 2.0},
+                        {"meter_number": "M2", "event_time": "2024-01-01 00:00:00"}])
+    write_events(e1, stored)
+    schema = "meter_number string, op string"
+    spark.createDataFrame([("M1", "insert"), ("M2", "insert")], schema).write.mode("append").parquet(changes)
+    stream = lambda: spark.readStream.schema(schema).parquet(changes)
+    INC.event_change_flag_stream(stream(), stored, state, chk).awaitTermination()
+    got = {r["meternumber"]: r["has_event_coordinates"] for r in INC.read_event_flags(spark, state).collect()}
+    assert got == {"M1": True, "M2": False}
+    # the event with coordinates is deleted, M2 gets one with coordinates
+    e2 = events(spark, [{"meter_number": "M1", "event_time": "2024-01-02 00:00:00"},
+                        {"meter_number": "M2", "event_time": "2024-01-01 00:00:00", "latitude": 3.0, "longitude": 4.0}])
+    write_events(e2, stored)
+    spark.createDataFrame([("M1", "delete"), ("M2", "update")], schema).write.mode("append").parquet(changes)
+    INC.event_change_flag_stream(stream(), stored, state, chk).awaitTermination()
+    got = {r["meternumber"]: r["has_event_coordinates"] for r in INC.read_event_flags(spark, state).collect()}
+    assert got == {"M1": False, "M2": True}
