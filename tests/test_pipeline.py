@@ -216,3 +216,19 @@ def test_refresh_recovers_after_a_failed_step(spark, scratch):
     for name in ("meter_summary", "customers", "district_event_summary"):
         assert sorted(r.table(name).collect()) == sorted(fresh.table(name).collect()), name
     assert {x["status"] for x in r.status().collect()} == {"✓ done"}
+
+
+def test_cli_load_status_reset_summary(spark, scratch, capsys):
+    from gridwatch.plans import cli
+    cp, ep = os.path.join(scratch, "c.csv"), os.path.join(scratch, "e.csv")
+    _write_csv(cp, ["ecgkey", "meternumber", "districtcode", "latitude", "longitude"],
+               [["1", "M1", "01-01", "-0.2", "5.6"], ["2", "M2", "01-01", "", ""]])
+    _write_csv(ep, ["meter_number", "event_time"], [["M2", "2024-01-02 10:00:00"]])
+    root = os.path.join(scratch, "cli")
+    assert cli.main(["load", "--root", root, "--customers-csv", cp, "--events-csv", ep]) == 0
+    assert cli.main(["summary", "--root", root]) == 0
+    assert cli.main(["reset", "--root", root]) == 0
+    assert cli.main(["status", "--root", root]) == 0
+    assert cli.main(["stats", "--table", f"customers={root}/customer_records"]) == 0
+    out = capsys.readouterr().out
+    assert "✓ done" in out and "○ pending" in out and "total_customers" in out and "customers" in out
