@@ -112,3 +112,23 @@ def test_event_changes_update_and_clear_flags(spark, scratch):
     INC.event_change_flag_stream(stream(), stored, state, chk).awaitTermination()
     got = {r["meternumber"]: r["has_event_coordinates"] for r in INC.read_event_flags(spark, state).collect()}
     assert got == {"M1": False, "M2": True}
+
+
+def test_lockout_stream_across_micro_batches(spark, scratch):
+    base = datetime(2024, 1, 1)
+    rows = [(f"u{i % 2}", base + timedelta(minutes=3 * i), i, i % 9 == 0) for i in range(90)]
+    df = spark.createDataFrame(rows, "user string, ts timestamp, attempt_id long, success boolean")
+    src = os.path.join(scratch, "att")
+    for k in range(6):                                     # six files, in time order
+        df.filter(f"attempt_id >= {15 * k} AND attempt_id < {15 * (k + 1)}").coalesce(1) \
+          .write.mode("append").parquet(src)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = lockout_stream(stream, timedelta(minutes=15), 3, watermark="5 minutes")
+    q = (out.writeStream.outputMode("append").format("parquet").option("path", os.path.join(scratch, "lo"))
+         .option("checkpointLocation", os.path.join(scratch, "lochk")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = sorted((r["attempt_id"], r["counter"], r["result"]) for r in spark.read.parquet(
+        os.path.join(scratch, "lo")).collect())
+    want = sorted((r["attempt_id"], r["counter"], r["result"])
+                  for r in LO.attempt_lockouts(df, timedelta(minutes=15), 3).collect())
+    assert got == want and len(got) == 90
