@@ -116,6 +116,8 @@ def write_events(events: DataFrame, path: str, mode: str = "overwrite",
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Month-partitioned events; ``event_month`` is read back as text."""
     df = spark.read.option("basePath", path).parquet(path)
+    if "event_month" in df.columns:   # text whatever the partition-type inference says
+        df = df.withColumn("event_month", F.col("event_month").cast("string"))
     keep = [n for n in [c for c, _ in EVENT_COLUMNS] + ["event_id", "event_month"] if n in df.columns]
     return df.select(*keep)
 
