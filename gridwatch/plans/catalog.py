@@ -263,8 +263,6 @@ def table_stats(spark, sf):
     return R.table_stats(spark, {t: f"{sf}/{t}.parquet" for t in ("customer", "events", "nation", "region")})
 
 
-
-
 # ── ingest typing, months, lock-outs, merges, pipeline, streams ──────────────
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -440,11 +438,6 @@ def customer_page_envelope(spark, sf):
     return customer_envelope(page, C.count_customers(cust, f), f.page, f.page_size)
 
 
-QUERIES: dict[str, Query] = {name: fn for name, fn in list(globals().items())
-           if callable(fn) and getattr(fn, "__module__", None) == __name__
-           and not name.startswith("_")}
-
-
 def customer_page_meta(spark, sf):
     """Paging metadata of the searched customer list (count without the event join)."""
     cust, _ = _base(spark, sf)
@@ -472,11 +465,6 @@ def stream_customer_flags(spark, sf):
     return spark.read.parquet(f"{root}/out")
 
 
-QUERIES = {name: fn for name, fn in list(globals().items())
-           if callable(fn) and getattr(fn, "__module__", None) == __name__
-           and not name.startswith("_")}
-
-
 def stream_attempt_lockouts(spark, sf):
     """The lock-out counter as a stateful stream over the event files
     (available-now trigger), written to the shared folder and read back."""
@@ -495,11 +483,6 @@ def stream_attempt_lockouts(spark, sf):
     return spark.read.parquet(f"{root}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-QUERIES = {name: fn for name, fn in list(globals().items())
-           if callable(fn) and getattr(fn, "__module__", None) == __name__
-           and not name.startswith("_")}
-
-
 def _write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("timestampNTZFormat",
                                                                "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
@@ -543,6 +526,7 @@ def csv_load_refresh(spark, sf):
     return _round_geom(spark.read.parquet(paths["district_event_summary"]).drop("updated_at"))
 
 
-QUERIES = {name: fn for name, fn in list(globals().items())
-           if callable(fn) and getattr(fn, "__module__", None) == __name__
-           and not name.startswith("_")}
+# Every public function above, by name.
+QUERIES: dict[str, Query] = {name: fn for name, fn in list(globals().items())
+                             if callable(fn) and getattr(fn, "__module__", None) == __name__
+                             and not name.startswith("_")}
