@@ -526,6 +526,11 @@ def csv_load_refresh(spark, sf):
     return _round_geom(spark.read.parquet(paths["district_event_summary"]).drop("updated_at"))
 
 
+
+def table_row_counts(spark, sf):
+    """The row-count part of the table report (sizes are in ``table_stats``)."""
+    return table_stats(spark, sf).select("table_name", "row_count", "row_count_text")
+
 # Every public function above, by name.
 QUERIES: dict[str, Query] = {name: fn for name, fn in list(globals().items())
                              if callable(fn) and getattr(fn, "__module__", None) == __name__
