@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwatch.session import checkpoint_dir
+from gridwatch.session import checkpoint_dir, ship_package
 
 # Default limits.
 DEFAULT_WINDOW = timedelta(minutes=15)
@@ -91,6 +91,7 @@ def attempt_lockouts(attempts: DataFrame, window: timedelta = DEFAULT_WINDOW,
                     .unionByName(attempt_lockouts_parallel(hot_rows, window, max_failed, partitions)))
     elif method != "sequential":
         raise ValueError(f"unknown method {method!r}")
+    ship_package(attempts.sparkSession)
     window_us = int(window / timedelta(microseconds=1))
     src = attempts.select(F.col("user").cast("string"), F.col("ts").cast("timestamp"),
                           F.col("attempt_id").cast("long"), F.col("success").cast("boolean"))

@@ -80,3 +80,30 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     apply_defaults(spark)
     checkpoint_dir(spark)
     return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``gridwatch`` importable in the Python workers (``addPyFile`` of a
+    zip of this package, as ``--py-files`` would), for the operators that run
+    Python inside tasks.  Once per application; a no-op where the session
+    exposes no SparkContext."""
+    key = spark.conf.get("spark.app.id", "")
+    if key in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="gridwatch-pyfiles-"), "gridwatch.zip")
+    with zipfile.ZipFile(path, "w") as zf:
+        for root, _, files in os.walk(pkg):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(root, name)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    try:
+        spark.sparkContext.addPyFile(path)
+    except Exception:  # noqa: BLE001 - remote session: install the package on the cluster instead
+        return
+    _SHIPPED.add(key)

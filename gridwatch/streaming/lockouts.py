@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from gridwatch.session import ship_package
 from gridwatch.operators.lockouts import DEFAULT_MAX_FAILED, DEFAULT_WINDOW, RESULT_SCHEMA, _as_micros, _fold
 
 STATE_SCHEMA = "count long, expires long"
@@ -23,6 +24,7 @@ STATE_SCHEMA = "count long, expires long"
 
 def lockout_stream(attempts: DataFrame, window: timedelta = DEFAULT_WINDOW,
                    max_failed: int = DEFAULT_MAX_FAILED, watermark: str = "1 hour") -> DataFrame:
+    ship_package(attempts.sparkSession)
     window_us = int(window / timedelta(microseconds=1))
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

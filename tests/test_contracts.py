@@ -69,3 +69,23 @@ def test_backfill_any_flags(spark):
                          "longitude": 2.0}, {"meter_number": "M1", "event_time": "2024-01-02 00:00:00"}])
     got = {r["ecgkey"]: r["has_any_coordinates"] for r in backfill_any_flags(cust, ev).collect()}
     assert got == {"1": True, "2": False}
+
+
+def test_lockouts_run_from_another_working_directory(tmp_path):
+    """Python workers must import the package even when the caller's working
+    directory is not the repository (the package is shipped with addPyFile)."""
+    import subprocess
+    import sys as _sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from datetime import datetime\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "from gridwatch.operators.lockouts import attempt_lockouts\n"
+        "df = s.createDataFrame([('u', datetime(2024, 1, 1), 1, False)], "
+        "'user string, ts timestamp, attempt_id long, success boolean')\n"
+        "print('RESULT', attempt_lockouts(df).collect()[0]['result'])\n" % repo)
+    out = subprocess.run([_sys.executable, "-c", code], cwd=str(tmp_path), capture_output=True, text=True,
+                         timeout=300)
+    assert "RESULT failed" in out.stdout, out.stderr[-2000:]
