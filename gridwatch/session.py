@@ -95,6 +95,8 @@ def ship_package(spark: SparkSession) -> None:
         return
     import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
+    # the zip only needs to exist on the driver: Spark serves it to the
+    # executors, exactly as it does for --py-files
     path = os.path.join(tempfile.mkdtemp(prefix="gridwatch-pyfiles-"), "gridwatch.zip")
     with zipfile.ZipFile(path, "w") as zf:
         for root, _, files in os.walk(pkg):
