@@ -8,6 +8,7 @@ keeps at most offset+size rows) → latest events of the page's meters only.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -185,6 +186,7 @@ def customer_dto(df: DataFrame) -> DataFrame:
         F.date_format(_opt("lastpaymentdate", have, "date"), "yyyy-MM-dd").alias("last_payment_date"),
         _opt("lastpaymentamount", have, "double").alias("last_payment_amount"),
         event.alias("latest_tamper_event"),
+        *([F.col(POSITION)] if POSITION in have else []),
     )
 
 
@@ -198,13 +200,13 @@ def flatten_dto(dto: DataFrame) -> DataFrame:
     )
 
 
-def event_rows(events: DataFrame) -> DataFrame:
+def event_rows(events: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Raw event projection as the API returns it (no coordinate swap)."""
     return events.select(
         _text("period").alias("period"), F.col("meter_number"),
         _text("customer_name").alias("customer_name"), _text("event_code").alias("event_code"),
         _text("event_desc").alias("event_desc"), F.col("event_time"),
-        F.col("latitude"), F.col("longitude"), F.col("counting"))
+        F.col("latitude"), F.col("longitude"), F.col("counting"), *(keep or []))
 
 
 # ── latest event for a bounded set of customers ─────────────────────────────
@@ -259,15 +261,28 @@ def count_customers(customers: DataFrame, f: CustomerFilter,
     return filter_customers(customers, f, meter_summary_df).agg(F.count(F.lit(1)).alias("total"))
 
 
+POSITION = "page_position"
+
+
+def _with_position(page: DataFrame, order: list[Column]) -> DataFrame:
+    """1-based position in the page order.  A page holds at most 500 rows, so
+    the one-partition window is bounded."""
+    return page.withColumn(POSITION, F.row_number().over(Window.orderBy(*order)))
+
+
 def customer_page(customers: DataFrame, events: DataFrame, f: CustomerFilter,
-                  meter_summary_df: DataFrame | None = None) -> DataFrame:
-    """One page of filtered customers as DTO rows, ordered by name."""
+                  meter_summary_df: DataFrame | None = None, with_position: bool = False) -> DataFrame:
+    """One page of filtered customers as DTO rows, ordered by name.
+
+    Row order of a DataFrame is not kept by later shuffles; ``with_position``
+    adds ``page_position`` so a consumer (the envelope) can restore it."""
     f = normalise_customer_filter(f)
     rows = (filter_customers(customers, f, meter_summary_df)
             .orderBy(*customer_order())
             .offset((f.page - 1) * f.page_size).limit(f.page_size))
-    dto = customer_dto(with_latest_event_for(rows, events, f.page_size))
-    return dto
+    if with_position:
+        rows = _with_position(rows, customer_order())
+    return customer_dto(with_latest_event_for(rows, events, f.page_size))
 
 
 def page_meta(total: DataFrame, page: int, page_size: int, max_size: int = MAX_CUSTOMER_PAGE) -> DataFrame:
@@ -280,12 +295,16 @@ def page_meta(total: DataFrame, page: int, page_size: int, max_size: int = MAX_C
         F.ceil(F.col("total") / F.lit(page_size)).cast("long").alias("total_pages"))
 
 
-def event_page(events: DataFrame, meter_number: str, f: EventFilter) -> DataFrame:
-    """Newest-first page of one meter's filtered events."""
+def event_page(events: DataFrame, meter_number: str, f: EventFilter,
+               with_position: bool = False) -> DataFrame:
+    """Newest-first page of one meter's filtered events (``with_position``
+    adds ``page_position``, as for ``customer_page``)."""
     f = normalise_event_filter(f)
     order = [F.col(c).desc() for c in event_order(events)]
-    return event_rows(filter_events(events, f, meter_number).orderBy(*order)
-                      .offset((f.page - 1) * f.page_size).limit(f.page_size))
+    page = filter_events(events, f, meter_number).orderBy(*order).offset((f.page - 1) * f.page_size).limit(f.page_size)
+    if with_position:
+        return event_rows(_with_position(page, order), keep=[POSITION])
+    return event_rows(page)
 
 
 def count_events(events: DataFrame, meter_number: str, f: EventFilter) -> DataFrame:

@@ -434,7 +434,7 @@ def customer_page_envelope(spark, sf):
     from gridwatch.sources.exports import customer_envelope
     cust, ev = _base(spark, sf)
     f = CustomerFilter(search=SEARCH, page=2, page_size=20)
-    page = C.flatten_dto(C.customer_page(cust, ev, f))
+    page = C.flatten_dto(C.customer_page(cust, ev, f, with_position=True))
     return customer_envelope(page, C.count_customers(cust, f), f.page, f.page_size)
 
 

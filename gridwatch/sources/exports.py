@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwatch.functions.params import MAX_EVENT_PAGE
+from gridwatch.operators.customers import POSITION
 
 # JSON rendering: keep NULL fields, ISO-8601 times (UTC shown as Z).
 JSON_OPTIONS = {"ignoreNullFields": "false",
@@ -27,11 +28,16 @@ def _page_json(rows: DataFrame, total: DataFrame, page: int, page_size: int, dat
     aggregate (no join)."""
     if page_size > MAX_EVENT_PAGE:
         raise ValueError("an envelope holds one bounded page")
-    row = F.struct(*[F.col(c) for c in rows.columns])
-    u = (rows.select(row.alias("_r"), F.lit(None).cast("long").alias("_t"))
-         .unionByName(total.select(F.lit(None).cast(row_type(rows)).alias("_r"),
+    fields = [c for c in rows.columns if c != POSITION]
+    pos = F.col(POSITION) if POSITION in rows.columns else F.lit(0)
+    # position first, so sorting the collected entries restores the page order
+    entry = F.struct(pos.cast("long").alias("p"), F.struct(*[F.col(c) for c in fields]).alias("r"))
+    etype = rows.select(entry.alias("e")).schema["e"].dataType.simpleString()
+    u = (rows.select(entry.alias("_r"), F.lit(None).cast("long").alias("_t"))
+         .unionByName(total.select(F.lit(None).cast(etype).alias("_r"),
                                    F.col("total").cast("long").alias("_t"))))
-    folded = u.agg(F.collect_list("_r").alias(data_field), F.max("_t").alias("total"))
+    folded = (u.agg(F.array_sort(F.collect_list("_r")).alias("_sorted"), F.max("_t").alias("total"))
+              .withColumn(data_field, F.transform("_sorted", lambda e: e["r"])))
     fields = [F.lit(v).alias(k) for k, v in (extra or {}).items()]
     return folded.select(F.to_json(F.struct(
         *fields, F.col("total"), F.lit(page).alias("page"), F.lit(page_size).alias("page_size"),
@@ -39,10 +45,6 @@ def _page_json(rows: DataFrame, total: DataFrame, page: int, page_size: int, dat
         F.col(data_field)), JSON_OPTIONS).alias("json"))
 
 
-def row_type(df: DataFrame) -> str:
-    return df.select(F.struct(*[F.col(c) for c in df.columns]).alias("s")).schema["s"].dataType.simpleString()
-
-
 def customer_envelope(page_rows: DataFrame, total: DataFrame, page: int, page_size: int) -> DataFrame:
     """``{"data": [...], "total", "page", "page_size", "total_pages"}``."""
     return _page_json(page_rows, total, page, page_size, "data")

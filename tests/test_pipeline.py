@@ -121,7 +121,7 @@ def test_geojson_and_envelope(spark):
     assert doc["properties"]["event_desc"] == "STDEVT:tamper"
     from gridwatch.functions.params import CustomerFilter
     f = CustomerFilter(page=1, page_size=1)
-    env = json.loads(X.customer_envelope(C.customer_page(cust, ev, f), C.count_customers(cust, f),
+    env = json.loads(X.customer_envelope(C.customer_page(cust, ev, f, with_position=True), C.count_customers(cust, f),
                                          1, 1).collect()[0]["json"])
     assert env["total"] == 2 and env["total_pages"] == 2 and len(env["data"]) == 1
     assert env["data"][0]["latest_tamper_event"]["event_time"].startswith("2024-01-01T00:00:00")
@@ -158,7 +158,7 @@ def test_lockout_rules(spark):
 def test_event_envelope(spark):
     ev = events(spark, [{"meter_number": "M1", "event_time": f"2024-01-0{i} 10:00:00"} for i in (1, 2, 3)])
     f = EventFilter(page=1, page_size=2)
-    env = json.loads(X.event_envelope(C.event_page(ev, "M1", f), C.count_events(ev, "M1", f), 1, 2, "M1",
+    env = json.loads(X.event_envelope(C.event_page(ev, "M1", f, with_position=True), C.count_events(ev, "M1", f), 1, 2, "M1",
                                       "A1").collect()[0]["json"])
     assert env["meter_number"] == "M1" and env["account_number"] == "A1"
     assert env["total"] == 3 and env["total_pages"] == 2
@@ -232,3 +232,18 @@ def test_cli_load_status_reset_summary(spark, scratch, capsys):
     assert cli.main(["stats", "--table", f"customers={root}/customer_records"]) == 0
     out = capsys.readouterr().out
     assert "✓ done" in out and "○ pending" in out and "total_customers" in out and "customers" in out
+
+
+def test_envelope_keeps_page_order(spark):
+    from gridwatch.functions.params import CustomerFilter
+    names = [None if i % 7 == 0 else f"N{(i * 37) % 101:03d}" for i in range(60)]
+    cust = customers(spark, [{"ecgkey": f"{i:03d}", "meternumber": f"M{i % 5}", "fullname": n}
+                             for i, n in enumerate(names)]).repartition(6)
+    ev = events(spark, [{"meter_number": f"M{i}", "event_time": "2024-01-01 00:00:00"} for i in range(5)])
+    f = CustomerFilter(page=1, page_size=60)
+    env = json.loads(X.customer_envelope(C.customer_page(cust, ev, f, with_position=True),
+                                         C.count_customers(cust, f), 1, 60).collect()[0]["json"])
+    got = [(r["full_name"], r["ecgkey"]) for r in env["data"]]
+    want = sorted(((n or "", f"{i:03d}") for i, n in enumerate(names)),
+                  key=lambda t: (t[0] == "", t[0], t[1]))
+    assert got == want and "page_position" not in env["data"][0]
