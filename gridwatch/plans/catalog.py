@@ -531,6 +531,16 @@ def table_row_counts(spark, sf):
     """The row-count part of the table report (sizes are in ``table_stats``)."""
     return table_stats(spark, sf).select("table_name", "row_count", "row_count_text")
 
+
+def event_page_envelope(spark, sf):
+    """Events of the account's meter, one page, as the events envelope."""
+    from gridwatch.sources.exports import event_envelope
+    cust, ev = _base(spark, sf)
+    f = EventFilter(page=2, page_size=10)
+    meter = C.bounded_keys(C.account_meter(cust, EVENT_ACCOUNT), "meter_number", 1)[0]
+    return event_envelope(C.event_page(ev, meter, f, with_position=True), C.count_events(ev, meter, f),
+                          f.page, f.page_size, meter, EVENT_ACCOUNT)
+
 # Every public function above, by name.
 QUERIES: dict[str, Query] = {name: fn for name, fn in list(globals().items())
                              if callable(fn) and getattr(fn, "__module__", None) == __name__
