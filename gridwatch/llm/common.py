@@ -54,6 +54,10 @@ def fresh(base: str, taken: Iterable[str]) -> str:
     return name
 
 
+def fresh_folder(base: str, name: str) -> str:
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def training_rows(id_col: str | Column) -> Column:
     """Documents that models may learn from: crc32(id as text) mod 3 is not 1."""
     return ~held_out(id_col)

@@ -9,10 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwatch.llm.common import read
+from gridwatch.llm.langid import identify
+from gridwatch.llm.mixing import mix_sizes
+from gridwatch.llm.packing import pack
 from gridwatch.llm.simhash_dedup import simhash_components
 from gridwatch.llm.substring_dedup import dedup_substrings
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and score of every document."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify(rows).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    return pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that the mix takes."""
+    mixed = mix_sizes(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -25,6 +45,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
+    "op4_packing": op4_packing,
+    "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
     "op10_substring_dedup": op10_substring_dedup,
 }
