@@ -40,10 +40,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def groups_for(spark: SparkSession, amount: int, each: int) -> int:
+def groups_for(spark: SparkSession, amount: int, each: int, least: int = 2) -> int:
     """How many hash groups to deal rows into: ``each`` units of work per
-    group, and always several groups for every shuffle partition."""
-    return max(4 * shuffle_partitions(spark), -(-int(amount or 0) // each))
+    group, and always ``least`` groups for every shuffle partition."""
+    return max(least * shuffle_partitions(spark), -(-int(amount or 0) // each))
 
 
 def fresh(base: str, taken: Iterable[str]) -> str:

@@ -146,7 +146,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     df = df.drop("n_words", "n_removed", "kept_text")
     chars = df.agg(F.sum(F.length(text_col))).first()[0] or 0
     groups = groups_for(spark, chars, CHARS_PER_GROUP)
-    buckets = groups_for(spark, chars // 16, ANCHORS_PER_BUCKET)
+    buckets = groups_for(spark, chars // 16, ANCHORS_PER_BUCKET, least=1)
     part = fresh("__group", df.columns)
     dealt = df.withColumn(part, F.pmod(F.xxhash64(F.col(id_col)), F.lit(groups)))
 
