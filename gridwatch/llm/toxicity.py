@@ -1,187 +1,174 @@
-"""Toxicity by class-conditional Kneser-Ney models over bytes (operator 6).
-
-Two language models, one of toxic and one of ordinary labelled text.  Orders
-4 to ``ORDER`` keep counts of each class (continuation counts below the
-highest order, absolute discount); they back off to orders 1 to 3, whose
-continuation counts both classes share, so an expression that is rare in
-either class is smoothed by the same distribution.  A text's log-likelihood
-ratio per byte, over the whole text and over its most toxic stretch of
-``STRETCH`` bytes, is turned into a score by a logistic fit on labelled rows
-kept out of the counts.
-
-The counts cover all labelled rows and are made, summed and folded to the
-lower orders by Spark.  What a task holds is a hashed table of fixed size
-(``SLOTS``): grams that share a slot share their counts.
+"""Toxicity by class-conditional Kneser-Ney models (operator 6).
+
+Two models, one of toxic and one of ordinary labelled text, over expressions
+(words without the punctuation around them).  A word's count in a class is a
+continuation count, the number of documents it occurs in, less an absolute
+discount estimated from the numbers of words seen once and twice.  The mass
+that is left backs off to the word's stem (first ``STEM`` letters) by the
+class's number of different words of that stem, and from there to stem and
+word counts that both classes share, so an expression that is rare in either
+class is smoothed by the same distribution.
+
+The log-likelihood ratio is compared per word: its mean over the whole text,
+and its value at the two most toxic words; a logistic fit on labelled rows
+that are kept out of the counts turns these into a score.
+
+Counts cover all labelled rows and are made and summed by Spark.  What a task
+holds is a hashed table of fixed size (``WORD_SLOTS``, ``STEM_SLOTS``): words
+that share a slot share their counts.
 """
 
 from __future__ import annotations
 
 import math
+import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwatch.llm.common import cut, held_out, mix64, ready, training_rows
+from gridwatch.llm.common import cut, held_out, ready, training_rows
 
-ORDER, SHARED, DISCOUNT, STRETCH, THRESHOLD = 6, 3, 0.75, 64, 0.7
-#: log2 of the slots of grams and of contexts, by order.
-SLOTS = {3: (18, 16), 4: (18, 17), 5: (19, 18), 6: (20, 19)}
+STEM, THRESHOLD = 4, 0.7
+WORD_SLOTS, STEM_SLOTS = 1 << 21, 1 << 18
 #: One training row in so many calibrates; at most so many are fitted.
 CALIBRATE_ONE_IN, CALIBRATE_ROWS = 5, 20_000
-COUNT_BYTES, SCORE_BYTES = 1 << 22, 1 << 19
-_PAD = b"\n" * (ORDER - 1)
+#: Characters counted and scored at once.
+COUNT_CHARS, SCORE_CHARS = 1 << 22, 1 << 20
+FEATURES = 3
 
+_MARKS = string.punctuation + "\u00a1\u00ab\u00b7\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u2026"
+_digest = xxhash.xxh3_64_intdigest
 
-def _stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the ORDER-grams that end at each byte of each text, joined, and
-    the number of bytes of each text.  A text starts behind line ends."""
-    raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
-    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-    b = np.frombuffer(b"".join(_PAD + r for r in raw), np.uint8).astype(np.int64)
-    key = np.zeros(max(0, len(b) - ORDER + 1), np.int64)
-    for k in range(ORDER):
-        key = (key << 8) | b[k:len(b) - ORDER + 1 + k]
-    # grams that would span two texts end in the padding of the later one
-    begin = np.cumsum(sizes + ORDER - 1) - sizes - (ORDER - 1)
-    at = np.arange(int(sizes.sum())) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
-    return key[at], sizes
 
+def expressions(text: str) -> list[str]:
+    return [w for w in (x.strip(_MARKS) for x in text.lower().split()) if w]
 
-def _slot(key: np.ndarray, bits: int) -> np.ndarray:
-    return (mix64(key.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
-
-def gram_counts(labelled: DataFrame) -> DataFrame:
-    """``(key, toxic, ordinary)`` of all grams of ``labelled(text, toxic)``."""
+def word_counts(labelled: DataFrame) -> DataFrame:
+    """``(word, stem, toxic, ordinary)``: hash slots' keys and in how many
+    documents of each class a word occurs, over ``labelled(text, toxic)``.  A
+    task adds up its own documents before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: tuple[list[str], list[str]] = ([], [])
+        seen: tuple[dict, dict] = ({}, {})
         held = 0
 
         def flush() -> pa.RecordBatch:
-            found = [np.unique(_stream(t)[0], return_counts=True) if t else (np.empty(0, np.int64),) * 2 for t in texts]
-            keys = np.concatenate([f[0] for f in found])
-            zero = [np.zeros(len(f[0]), np.int64) for f in found]
-            texts[0].clear()
-            texts[1].clear()
-            return pa.RecordBatch.from_arrays([
-                pa.array(keys), pa.array(np.concatenate([zero[0], found[1][1]])),
-                pa.array(np.concatenate([found[0][1], zero[1]]))], names=["key", "toxic", "ordinary"])
+            words = list(seen[0].keys() | seen[1].keys())
+            out = pa.RecordBatch.from_arrays([
+                pa.array(np.fromiter((_digest(w) for w in words), np.uint64, len(words)).view(np.int64)),
+                pa.array(np.fromiter((_digest(w[:STEM]) for w in words), np.uint64, len(words)).view(np.int64)),
+                pa.array([seen[1].get(w, 0) for w in words], pa.int64()),
+                pa.array([seen[0].get(w, 0) for w in words], pa.int64())], names=["word", "stem", "toxic", "ordinary"])
+            seen[0].clear()
+            seen[1].clear()
+            return out
 
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
-                texts[toxic.as_py()].append(text.as_py())
-                held += len(texts[toxic.as_py()][-1])
-                if held >= COUNT_BYTES:
+                counts, text = seen[toxic.as_py()], text.as_py()
+                for w in set(expressions(text)):
+                    counts[w] = counts.get(w, 0) + 1
+                held += len(text)
+                if held >= COUNT_CHARS:
                     yield flush()
                     held = 0
         yield flush()
 
-    return (labelled.select("text", F.col("toxic").cast("int")).mapInArrow(count, "key long, toxic long, ordinary long")
-            .groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
+    return (labelled.select("text", F.col("toxic").cast("int"))
+            .mapInArrow(count, "word long, stem long, toxic long, ordinary long")
+            .groupBy("word", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
 
 
 class Model:
-    """Hashed tables; see ``log_ratio`` for how they combine."""
-
-    def __init__(self) -> None:
-        self.grams: dict[int, np.ndarray] = {}       # order: discounted counts, (slots, 2) or (slots,)
-        self.contexts: dict[int, np.ndarray] = {}    # order: 1 / total and back-off mass per class
-        self.fit = np.zeros(3)
-        self.bias = 0.0
-
-    def log_ratio(self, key: np.ndarray) -> np.ndarray:
-        """log p(byte | toxic) - log p(byte | ordinary) for each gram key."""
-        low = lambda n: key & ((1 << (8 * n)) - 1)                                  # noqa: E731
-        p = self.grams[1][low(1)]
-        for n in range(2, SHARED + 1):
-            context = self.contexts[n][low(n) >> 8 if n == 2 else _slot(low(n) >> 8, SLOTS[n][1])]
-            gram = self.grams[n][low(n) if n == 2 else _slot(low(n), SLOTS[n][0])]
-            p = gram * context[:, 0] + context[:, 1] * p
-        p = np.repeat(p[:, None], 2, axis=1)
-        for n in range(SHARED + 1, ORDER + 1):
-            context = self.contexts[n][_slot(low(n) >> 8, SLOTS[n][1])]
-            p *= context[:, 2:]
-            gram = self.grams[n][_slot(low(n), SLOTS[n][0])]
-            gram *= context[:, :2]
-            p += gram
-        return np.log((p[:, 0] + 1e-9) / (p[:, 1] + 1e-9))
+    """Tables by slot, class columns toxic and ordinary: ``words`` discounted
+    counts / total, and the shared count; ``stems`` likewise, the shared
+    count of different words and that of all occurrences."""
+
+    def __init__(self, words: np.ndarray, stems: np.ndarray, back: np.ndarray, stem_back: np.ndarray):
+        self.words, self.stems, self.back, self.stem_back = words, stems, back, stem_back
+        self.kinds = float(stems[:, 2].sum())
+        self.fit, self.bias = np.zeros(FEATURES), 0.0
+
+    def log_ratios(self, words: list[str]) -> np.ndarray:
+        """log p(word | toxic) - log p(word | ordinary)."""
+        n = len(words)
+        w = self.words[np.fromiter(map(_digest, words), np.uint64, n) % np.uint64(len(self.words))].astype(np.float64)
+        s = self.stems[np.fromiter((_digest(x[:STEM]) for x in words), np.uint64, n) % np.uint64(len(self.stems))].astype(np.float64)
+        shared_stem = (s[:, 2] + .5) / (self.kinds + 1000)
+        shared_word = (w[:, 2] + .5) / (s[:, 3] + 5)
+        stem = s[:, :2] + self.stem_back * shared_stem[:, None]
+        p = w[:, :2] + self.back * stem * shared_word[:, None]
+        return np.log(p[:, 0] / p[:, 1])
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """Per text: ratio per byte, the same of its most toxic stretch, and 1
-        for a text with bytes."""
-        key, sizes = _stream(texts)
-        ratio = self.log_ratio(key).astype(np.float64)
-        sums = np.concatenate([[0.0], np.cumsum(ratio)])
-        end = np.cumsum(sizes)
-        begin = end - sizes
-        out = np.zeros((len(texts), 3))
-        some = sizes > 0
-        out[some, 0] = (sums[end] - sums[begin])[some] / sizes[some]
-        stop = np.minimum(np.arange(len(ratio)) + STRETCH, np.repeat(end, sizes))
-        # near its end a text's stretch is shorter but still counts as whole
-        stretch = (sums[stop] - sums[:-1]) / np.minimum(STRETCH, np.repeat(sizes, sizes))
-        if len(stretch):
-            out[some, 1] = np.maximum.reduceat(stretch, begin[some])
-        out[:, 2] = some
+        """Per text: mean ratio per word, second highest, highest; 0 without words."""
+        order: dict[str, int] = {}
+        at = [[order.setdefault(w, len(order)) for w in expressions(t)] for t in texts]
+        ratio = self.log_ratios(list(order)) if order else np.empty(0)
+        out = np.zeros((len(texts), FEATURES))
+        for k, words in enumerate(at):
+            if words:
+                r = ratio[words]
+                top = np.partition(r, -2)[-2:] if len(r) > 1 else np.array([min(r[0], 0.0), r[0]])
+                out[k] = r.mean(), top[0], top[1]
         return out
 
-    def scores(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(features @ self.fit + self.bias, -40, 40)))
-
-
-def _table(rows: DataFrame, bits: int | None, columns: list[str]) -> np.ndarray:
-    """Sums of ``columns`` by hash slot of ``key`` (``bits`` None: two bytes at
-    most, by the key itself); at most as many rows as slots reach the driver."""
-
-    def slot(key: pa.Array) -> pa.Array:
-        return pa.array(_slot(key.to_numpy(zero_copy_only=False).astype(np.int64), bits))
 
-    slot.__annotations__ = {"key": pa.Array, "return": pa.Array}
-    at = F.col("key") if bits is None else F.arrow_udf(slot, "long")(F.col("key"))
-    got = rows.groupBy(at.alias("slot")).agg(*[F.sum(c).cast("double").alias(c) for c in columns]).toArrow()
-    out = np.zeros((1 << (16 if bits is None else bits), len(columns)), np.float32)
+def _table(rows: DataFrame, key: str, slots: int, columns: list[str]) -> np.ndarray:
+    """Sums of ``columns`` by slot; at most ``slots`` rows reach the driver."""
+    at = F.expr(f"cast(mod(mod(cast({key} as decimal(20, 0)) + 18446744073709551616, 18446744073709551616), {slots}) as long)")
+    got = (rows.groupBy(at.alias("slot")).agg(*[F.sum(c).cast("float").alias(c) for c in columns])
+           .withColumn("slot", F.col("slot").cast("int")).toArrow())
+    out = np.zeros((slots, len(columns)), np.float32)
     for k, c in enumerate(columns):
         out[got.column("slot").to_numpy(), k] = got.column(c).to_numpy()
     return out
 
 
+def _discounts(rows: DataFrame) -> tuple[list[float], list[float], list[int]]:
+    """Per class of ``rows(toxic, ordinary)``: discount n1 / (n1 + 2 n2), the
+    share of mass that it takes, and the total."""
+    sums = [x for c in ("toxic", "ordinary") for x in (
+        F.sum((F.col(c) == 1).cast("long")), F.sum((F.col(c) == 2).cast("long")),
+        F.sum((F.col(c) > 0).cast("long")), F.sum(c))]
+    got = [int(x or 0) for x in rows.agg(*sums).first()]
+    discount, back, total = [], [], []
+    for n1, n2, kinds, n in (got[:4], got[4:]):
+        d = min(.98, max(.5, n1 / (n1 + 2 * n2))) if n1 else .5
+        discount.append(d)
+        back.append(d * kinds / n if n else 1.0)
+        total.append(max(1, n))
+    return discount, back, total
+
+
+def _discounted(discount: list[float], total: list[int]) -> list:
+    return [(F.greatest(F.col(c) - F.lit(d), F.lit(0.0)) / F.lit(float(n))).alias(c)
+            for c, d, n in zip(("toxic", "ordinary"), discount, total, strict=True)]
+
+
 def train(spark: SparkSession, labelled: DataFrame) -> Model:
-    """Counts over all rows of ``labelled(text, toxic, calibrates)`` that do
-    not calibrate, then the logistic fit on those that do."""
-    model = Model()
-    grams = cut(gram_counts(labelled.where("not calibrates")))
-    for n in range(ORDER, 0, -1):
-        if n == SHARED:      # from here on one count for both classes
-            grams = grams.select("key", (F.col("toxic") + F.col("ordinary")).alias("both"))
-        classes = ["toxic", "ordinary"] if n > SHARED else ["both"]
-        slots = SLOTS.get(n, (None, None))
-        less = [F.greatest(F.col(c) - F.lit(DISCOUNT), F.lit(0.0)).alias(c) for c in classes]
-        discounted = _table(grams.select("key", *less), slots[0], classes)
-        kinds = [(F.col(c) > 0).cast("long").alias(f"kinds_{c}") for c in classes]
-        context = _table(grams.select(F.shiftright("key", 8).alias("key"), *classes, *kinds), slots[1],
-                         [*classes, *(f"kinds_{c}" for c in classes)])
-        total, number = context[:, :len(classes)], context[:, len(classes):]
-        seen = total > 0
-        inverse = np.divide(1, total, out=np.zeros_like(total), where=seen)
-        back = np.where(seen, np.float32(DISCOUNT) * number * inverse, np.float32(1))
-        model.contexts[n] = np.concatenate([inverse, back], axis=1).astype(np.float32)
-        model.grams[n] = discounted if n > SHARED else discounted[:, 0]
-        if n == 1:           # the mass that is left goes evenly to all bytes
-            first = model.contexts[1][0]
-            model.grams[1] = discounted[:, 0] * first[0] + first[1] / np.float32(256)
-        else:
-            # continuation counts: how many bytes precede each shorter gram
-            grams = cut(grams.select(F.col("key").bitwiseAND(F.lit((1 << (8 * (n - 1))) - 1)).alias("key"),
-                                     *[(F.col(c) > 0).cast("long").alias(c) for c in classes])
-                        .groupBy("key").agg(*[F.sum(c).alias(c) for c in classes]))
+    """Counts over all rows of ``labelled(text, toxic, calibrates, order)``
+    that do not calibrate, then the logistic fit on those that do."""
+    words = cut(word_counts(labelled.where("not calibrates")))
+    stems = cut(words.groupBy("stem").agg(F.sum((F.col("toxic") > 0).cast("long")).alias("toxic"),
+                                          F.sum((F.col("ordinary") > 0).cast("long")).alias("ordinary"),
+                                          F.sum(F.col("toxic") + F.col("ordinary")).alias("uses")))
+    d, back, total = _discounts(words)
+    sd, stem_back, stem_total = _discounts(stems)
+    both = (F.col("toxic") + F.col("ordinary")).alias("both")
+    model = Model(
+        _table(words.select("word", *_discounted(d, total), both), "word", WORD_SLOTS, ["toxic", "ordinary", "both"]),
+        _table(stems.select("stem", *_discounted(sd, stem_total), both, "uses"), "stem", STEM_SLOTS,
+               ["toxic", "ordinary", "both", "uses"]), np.array(back), np.array(stem_back))
     sample = (features(spark, labelled.where("calibrates"), model, "text").orderBy("order").limit(CALIBRATE_ROWS)
               .select("toxic", "features").collect())
     y = np.array([r[0] for r in sample], np.float64)
-    x = np.array([r[1] for r in sample], np.float64).reshape(-1, 3)
+    x = np.array([r[1] for r in sample], np.float64).reshape(-1, FEATURES)
     model.fit, model.bias = logistic(x, y)
     return model
 
@@ -211,17 +198,17 @@ def features(spark: SparkSession, df: DataFrame, model: Model, text_col: str, ou
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for batch in batches:
-            rows, texts, held = [np.zeros((0, 3))], [], 0
+            rows, texts, held = [np.zeros((0, FEATURES))], [], 0
             for text in batch:
                 texts.append(text.as_py() or "")
                 held += len(texts[-1])
-                if held >= SCORE_BYTES:
+                if held >= SCORE_CHARS:
                     rows.append(m.features(texts))
                     texts, held = [], 0
             if texts:
                 rows.append(m.features(texts))
             flat = np.concatenate(rows).reshape(-1)
-            yield pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 3), pa.int32()), pa.array(flat))
+            yield pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, FEATURES), pa.int32()), pa.array(flat))
 
     return df.withColumn(out, F.arrow_udf(of, "array<double>")(F.col(text_col))).drop(text_col)
 
