@@ -8,12 +8,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridwatch.llm import chat
 from gridwatch.llm.common import read
+from gridwatch.llm.embedding_dedup import embedding_components
+from gridwatch.llm.html_text import extract_text
 from gridwatch.llm.langid import identify
+from gridwatch.llm.lz_fingerprint import neighbour_fingerprints
 from gridwatch.llm.mixing import mix_sizes
 from gridwatch.llm.packing import pack
 from gridwatch.llm.simhash_dedup import simhash_components
 from gridwatch.llm.substring_dedup import dedup_substrings
+from gridwatch.llm.toxicity import toxicity
+
+#: What both turns of conversation -1 say.
+CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
+
+
+def op1_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and likenesses."""
+    return neighbour_fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,11 +35,29 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(rows).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return embedding_components(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence."""
     return pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its formatted text."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], rows.schema)
+    return chat.digests(chat.format_conversations(rows.unionByName(more)))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity(documents, read(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that the mix takes."""
     mixed = mix_sizes(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -38,6 +69,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    out = extract_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, removed words and a digest of the kept words of every document."""
     out = dedup_substrings(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -45,10 +82,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lz_fingerprint": op1_lz_fingerprint,
     "op2_language_id": op2_language_id,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_packing": op4_packing,
+    "op5_chat_format": op5_chat_format,
+    "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
+    "op9_html_text": op9_html_text,
     "op10_substring_dedup": op10_substring_dedup,
 }
 

@@ -210,10 +210,18 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``df`` that stay: of each component the one with the
-    smallest id (of rows that share that id, all but one go too).  Rows
-    without an id stay.  All columns are kept."""
-    found = simhash_components(df, id_col, text_col, shingle, max_bits)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    rest = df.join(gone, df[id_col] == F.col("__gone"), "left_anti")
-    return rest
+    """The rows of ``df`` that stay, all columns: of each component the row with
+    the smallest id.  Rows that share an id count as one document: it goes if
+    any of them reaches a smaller id, and else its least row stays.  Rows
+    without an id stay.
+    """
+    found = cut(simhash_components(df, id_col, text_col, shingle, max_bits).select(F.col(id_col).alias("__id"), "component_id"))
+    gone = found.where(F.col("__id") > F.col("component_id")).select("__id").distinct()
+    rest = df.join(gone, df[id_col] == F.col("__id"), "left_anti")
+    repeated = cut(found.where("__id is not null").groupBy("__id").count().where("count > 1").select("__id"))
+    if repeated.isEmpty():
+        return rest
+    same = df[id_col] == F.col("__id")
+    least = (rest.join(repeated, same, "left_semi").groupBy(F.col(id_col).alias("__id"))
+             .agg(F.min(F.struct(*df.columns)).alias("__row")).select("__row.*"))
+    return rest.join(repeated, same, "left_anti").unionByName(least)

@@ -9,9 +9,9 @@ class's number of different words of that stem, and from there to stem and
 word counts that both classes share, so an expression that is rare in either
 class is smoothed by the same distribution.
 
-The log-likelihood ratio is compared per word: its mean over the whole text,
-and its value at the two most toxic words; a logistic fit on labelled rows
-that are kept out of the counts turns these into a score.
+The log-likelihood ratio is compared per word over the whole text (see
+``FEATURES``); a logistic fit on labelled rows that are kept out of the counts
+turns these length-normalised figures into a score.
 
 Counts cover all labelled rows and are made and summed by Spark.  What a task
 holds is a hashed table of fixed size (``WORD_SLOTS``, ``STEM_SLOTS``): words
@@ -38,7 +38,10 @@ WORD_SLOTS, STEM_SLOTS = 1 << 21, 1 << 18
 CALIBRATE_ONE_IN, CALIBRATE_ROWS = 5, 20_000
 #: Characters counted and scored at once.
 COUNT_CHARS, SCORE_CHARS = 1 << 22, 1 << 20
-FEATURES = 3
+#: Of the ratios of a text's words: mean, second highest, mean of the highest
+#: ``TOP``, the part above ``STRONG`` (sum and mean) and above half of it
+#: (mean), and how many are above; sums and means on a log or root scale.
+FEATURES, TOP, STRONG = 7, 16, 2.0
 
 _MARKS = string.punctuation + "\u00a1\u00ab\u00b7\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u2026"
 _digest = xxhash.xxh3_64_intdigest
@@ -106,7 +109,7 @@ class Model:
         return np.log(p[:, 0] / p[:, 1])
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """Per text: mean ratio per word, second highest, highest; 0 without words."""
+        """``FEATURES`` per text; all 0 without words."""
         order: dict[str, int] = {}
         at = [[order.setdefault(w, len(order)) for w in expressions(t)] for t in texts]
         ratio = self.log_ratios(list(order)) if order else np.empty(0)
@@ -114,8 +117,11 @@ class Model:
         for k, words in enumerate(at):
             if words:
                 r = ratio[words]
-                top = np.partition(r, -2)[-2:] if len(r) > 1 else np.array([min(r[0], 0.0), r[0]])
-                out[k] = r.mean(), top[0], top[1]
+                n = min(TOP, len(r))
+                top = np.sort(np.partition(r, len(r) - n)[len(r) - n:])
+                over, half = np.clip(r - STRONG, 0, None), np.clip(r - STRONG / 2, 0, None)
+                out[k] = (r.mean(), top[-min(2, n)], math.log1p(over.sum()), math.sqrt(half.mean()),
+                          math.sqrt(over.mean()), math.log1p((over > 0).sum()), top.mean())
         return out
 
 
