@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwatch.llm import chat
+from gridwatch.llm import chat, oracle
 from gridwatch.llm.common import read
 from gridwatch.llm.embedding_dedup import embedding_components
 from gridwatch.llm.html_text import extract_text
@@ -94,4 +94,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracle.SQL
