@@ -13,21 +13,29 @@ def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``edges(u, v)``: component is
     the smallest node reachable.
 
-    Each round maps every node to the least of itself and its neighbours
+    Each round points every node at the least of itself and its neighbours
     (an aggregate with map-side combine, so a hub costs one row per task),
-    renames both ends of every edge and drops loops and repeats.  A round at
-    least halves the nodes of each unfinished component; the maps of all
-    rounds are composed at the end.  Nothing but a row count reaches the
-    driver.  Null ends and loops are ignored; an empty table gives no rows.
+    follows the pointers to their ends by doubling, renames both ends of every
+    edge to these and drops loops and repeats.  What is left of a component is
+    its local minima, at most half of its nodes; a star whose centre is its
+    least node is done in one round, a chain of n nodes takes log2(n)
+    doublings.  The maps of all rounds are composed at the end.  Nothing but
+    emptiness reaches the driver.  Null ends and loops are ignored; an empty
+    table gives no rows.
     """
     e = cut(edges.select("u", "v").where("u <> v")
             .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     maps: list[DataFrame] = []
     while not e.isEmpty():
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        step = cut(both.groupBy(F.col("u").alias("node"))
-                   .agg(F.min("v").alias("near"))
+        step = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("near"))
                    .select("node", F.least("node", "near").alias("to")))
+        while True:
+            ahead = step.select(F.col("node").alias("to"), F.col("to").alias("next"))
+            doubled = cut(step.join(ahead, "to").select("node", "next", (F.col("next") != F.col("to")).alias("moved")))
+            step = doubled.select("node", F.col("next").alias("to"))
+            if doubled.where("moved").isEmpty():
+                break
         maps.append(step)
         left = step.select(F.col("node").alias("u"), F.col("to").alias("tu"))
         right = step.select(F.col("node").alias("v"), F.col("to").alias("tv"))

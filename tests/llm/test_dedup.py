@@ -17,6 +17,7 @@ from gridwatch.llm.components import components, spanning
 
 
 def groups(n, pairs):
+    pairs = list(pairs)
     label = list(range(n))
     changed = True
     while changed:
