@@ -11,6 +11,10 @@ import re
 from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 # Page size default and limits.
 DEFAULT_PAGE_SIZE = 50
 MAX_CUSTOMER_PAGE = 200
@@ -97,6 +101,16 @@ def parse_query_time(text: str) -> datetime:
     raise ValueError(f"invalid time {text!r}: use ISO 8601, e.g. 2026-04-01T00:00:00Z or 2026-04-01")
 
 
+def utc_literal(value: datetime, dtype: T.DataType | None = None) -> Column:
+    """A UTC time (naive means UTC) as a literal: ``timestamp``, or
+    ``timestamp_ntz`` where the compared column is one.  The zone travels with
+    the value, so the driver's own time zone plays no part."""
+    aware = value.replace(tzinfo=timezone.utc) if value.tzinfo is None else value.astimezone(timezone.utc)
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.lit(aware.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.lit(aware)
+
+
 def _int(text: str | None) -> int:
     """Integer parameter; anything unparsable is 0 (then normalised)."""
     try:

@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridwatch.functions.params import (DEFAULT_PAGE_SIZE, MAX_CUSTOMER_PAGE, CustomerFilter,
-                                        EventFilter, normalise_customer_filter, normalise_event_filter)
+                                        EventFilter, normalise_customer_filter, normalise_event_filter,
+                                        utc_literal)
 from gridwatch.functions.text import contains_pattern
 from gridwatch.session import checkpoint_dir
 from gridwatch.operators.joins import TAMPER_ALIASES, event_order, latest_event_per_meter, semi_join
@@ -76,13 +76,6 @@ def filter_customers(customers: DataFrame, f: CustomerFilter,
     return out
 
 
-def _time_lit(value, dtype) -> Column:
-    """A time bound typed like the compared column (no cast on the column,
-    so the predicate can reach the Parquet scan)."""
-    lit = F.lit(value)
-    return lit.cast("timestamp_ntz") if isinstance(dtype, T.TimestampNTZType) else lit
-
-
 def event_predicates(f: EventFilter, time_type=None) -> list[Column]:
     preds: list[Column] = []
     if f.event_desc:
@@ -90,9 +83,9 @@ def event_predicates(f: EventFilter, time_type=None) -> list[Column]:
     if f.event_code:
         preds.append(F.col("event_code") == F.lit(f.event_code))
     if f.from_ is not None:
-        preds.append(F.col("event_time") >= _time_lit(f.from_, time_type))
+        preds.append(F.col("event_time") >= utc_literal(f.from_, time_type))
     if f.to is not None:
-        preds.append(F.col("event_time") <= _time_lit(f.to, time_type))
+        preds.append(F.col("event_time") <= utc_literal(f.to, time_type))
     return preds
 
 
@@ -270,6 +263,13 @@ def _with_position(page: DataFrame, order: list[Column]) -> DataFrame:
     return page.withColumn(POSITION, F.row_number().over(Window.orderBy(*order)))
 
 
+def page_rows(customers: DataFrame, f: CustomerFilter, meter_summary_df: DataFrame | None = None) -> DataFrame:
+    """The filtered customer records of one page."""
+    f = normalise_customer_filter(f)
+    return (filter_customers(customers, f, meter_summary_df).orderBy(*customer_order())
+            .offset((f.page - 1) * f.page_size).limit(f.page_size))
+
+
 def customer_page(customers: DataFrame, events: DataFrame, f: CustomerFilter,
                   meter_summary_df: DataFrame | None = None, with_position: bool = False) -> DataFrame:
     """One page of filtered customers as DTO rows, ordered by name.
@@ -277,9 +277,7 @@ def customer_page(customers: DataFrame, events: DataFrame, f: CustomerFilter,
     Row order of a DataFrame is not kept by later shuffles; ``with_position``
     adds ``page_position`` so a consumer (the envelope) can restore it."""
     f = normalise_customer_filter(f)
-    rows = (filter_customers(customers, f, meter_summary_df)
-            .orderBy(*customer_order())
-            .offset((f.page - 1) * f.page_size).limit(f.page_size))
+    rows = page_rows(customers, f, meter_summary_df)
     if with_position:
         rows = _with_position(rows, customer_order())
     return customer_dto(with_latest_event_for(rows, events, f.page_size))

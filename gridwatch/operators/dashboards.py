@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwatch.operators import summaries as S
-from gridwatch.session import checkpoint_dir
 
 
 def coverage_pct(with_col: str, total_col: str) -> Column:
@@ -79,39 +78,22 @@ def dashboard_regions(des: DataFrame) -> DataFrame:
 ACCOUNT_KEYS = ["accountnumber", "fullname", "phonenumber", "regionname", "districtname"]
 
 
-# List length (customers) above which one account group's list is split into parts.
-PART_SIZE = 100_000
-# Largest number of oversized groups whose keys are broadcast.
-MAX_BROADCAST_GROUPS = 100_000
+def account_meters(customers: DataFrame, meter_summary_df: DataFrame, account: str | None = None) -> DataFrame:
+    """Meters of an account in totals: one row per group (account, name,
+    phone, region, district; NULL keys form their own groups), whatever its
+    size.  ``account_meter_list`` is the list in long form.
 
+    With ``account``, only that account's groups, and ``meters`` lists the
+    meter numbers ascending with NULLs last, duplicates kept (its length is
+    ``meter_count``): a single account's list is what the caller asked for,
+    so it is built in one row.
 
-def _null_safe_on(left: DataFrame, right: DataFrame, keys: list[str], prefix: str) -> Column:
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(right[prefix + k])
-        cond = c if cond is None else cond & c
-    return cond
-
-
-def account_meters(customers: DataFrame, meter_summary_df: DataFrame,
-                   part_size: int = PART_SIZE) -> DataFrame:
-    """All meters of an account (grouped by account, name, phone, region,
-    district; NULL keys form their own groups).
-
-    ``meters`` lists the meter numbers ascending with NULLs last, keeping
-    duplicates, so its length is the group's customer count.  Rows are first
-    reduced to one per (group, meter) with a multiplicity, so a meter
-    repeated many times travels as one row.
-
-    A group with at most ``part_size`` customers gives one row with
-    ``part = 0`` (the whole list).  A larger group is never gathered into one
-    task: its (group, meter) rows are range-partitioned by meter and each
-    range becomes one row; ``part`` (ascending) orders the pieces, whose
-    concatenation is the full list.  Totals are repeated on every piece.
-    Whether any group is that large is decided first by a narrow count over
-    the customers (one number); without such groups the plan is the plain
-    two-level aggregation.
+    Rows are first reduced to one per (group, meter) with a multiplicity, so a
+    meter repeated many times travels as one row; totals are partial
+    aggregates over those.
     """
+    if account is not None:
+        customers = customers.filter(F.col("accountnumber") == F.lit(account))
     j = S.join_meter_summary(customers, meter_summary_df,
                              S.summary_columns(customers, ["event_count", "latest_event_time"]))
     j = S.ensure_flags_and_geom(j).withColumnsRenamed(
@@ -121,46 +103,16 @@ def account_meters(customers: DataFrame, meter_summary_df: DataFrame,
         F.sum(F.coalesce(F.col("_ms_events"), F.lit(0))).alias("_events"),
         F.max("_ms_latest").alias("_latest"),
         F.max(F.coalesce(F.col("has_any_coordinates"), F.lit(False))).alias("_any"))
-    entry = F.struct(F.col("meternumber").isNull().alias("n"), F.col("meternumber").alias("m"),
-                     F.col("_n").alias("k"))
-    totals = [F.sum("_n").alias("meter_count"), F.sum("_events").cast("long").alias("total_events"),
-              F.max("_latest").alias("latest_event_time"), F.max("_any").alias("any_meter_has_coordinates")]
-    hot = (customers.groupBy(*ACCOUNT_KEYS).agg(F.count(F.lit(1)).alias("_rows"))
-           .filter(F.col("_rows") > part_size)
-           .select(*[F.col(k).alias("_h_" + k) for k in ACCOUNT_KEYS], F.lit(True).alias("_hot")))
-    n_hot = hot.count()          # at most (customer rows / part_size) groups
-    if n_hot == 0:
-        grouped = (per_meter.groupBy(*ACCOUNT_KEYS)
-                   .agg(F.array_sort(F.collect_list(entry)).alias("_list"), *totals)
-                   .withColumn("part", F.lit(0)))
-    else:
-        # three branches read the (group, meter) rows: materialise them once
-        checkpoint_dir(customers.sparkSession)
-        per_meter = per_meter.checkpoint(eager=True)
-        tagged = (per_meter.join(F.broadcast(hot) if n_hot <= MAX_BROADCAST_GROUPS else hot,
-                                 _null_safe_on(per_meter, hot, ACCOUNT_KEYS, "_h_"), "left")
-                  .select(*per_meter.columns, F.coalesce(F.col("_hot"), F.lit(False)).alias("_hot")))
-        whole = (tagged.filter(~F.col("_hot")).groupBy(*ACCOUNT_KEYS)
-                 .agg(F.array_sort(F.collect_list(entry)).alias("_list"), *totals)
-                 .withColumn("part", F.lit(0)))
-        hot_rows = tagged.filter(F.col("_hot"))
-        # contiguous meter ranges; AQE may merge neighbouring ranges, which
-        # keeps them contiguous and their ids ordered
-        ranged = (hot_rows.repartitionByRange(*ACCOUNT_KEYS, F.col("meternumber").asc_nulls_last())
-                  .withColumn("part", F.spark_partition_id() + 1))
-        pieces = ranged.groupBy(*ACCOUNT_KEYS, "part").agg(
-            F.array_sort(F.collect_list(entry)).alias("_list"))
-        hot_totals = hot_rows.groupBy(*ACCOUNT_KEYS).agg(*totals)
-        hot_totals = hot_totals.select(*[F.col(k).alias("_h_" + k) for k in ACCOUNT_KEYS],
-                                       *[c for c in hot_totals.columns if c not in ACCOUNT_KEYS])
-        split = (pieces.join(hot_totals, _null_safe_on(pieces, hot_totals, ACCOUNT_KEYS, "_h_"))
-                 .drop(*["_h_" + k for k in ACCOUNT_KEYS]))
-        grouped = whole.unionByName(split)
-    meters = F.flatten(F.transform("_list", lambda e: F.array_repeat(e["m"], e["k"].cast("int"))))
-    return grouped.select(
-        F.col("accountnumber"), F.col("fullname").alias("customer_name"),
-        F.col("phonenumber").alias("phone"), "regionname", "districtname", "part",
-        "meter_count", meters.alias("meters"), "total_events", "latest_event_time",
+    aggs = [F.sum("_n").alias("meter_count"), F.sum("_events").cast("long").alias("total_events"),
+            F.max("_latest").alias("latest_event_time"), F.max("_any").alias("any_meter_has_coordinates")]
+    extra = []
+    if account is not None:
+        entry = F.struct(F.col("meternumber").isNull().alias("n"), F.col("meternumber").alias("m"), F.col("_n").alias("k"))
+        aggs.append(F.array_sort(F.collect_list(entry)).alias("_list"))
+        extra.append(F.flatten(F.transform("_list", lambda e: F.array_repeat(e["m"], e["k"].cast("int")))).alias("meters"))
+    return per_meter.groupBy(*ACCOUNT_KEYS).agg(*aggs).select(
+        F.col("accountnumber"), F.col("fullname").alias("customer_name"), F.col("phonenumber").alias("phone"),
+        "regionname", "districtname", "meter_count", *extra, "total_events", "latest_event_time",
         "any_meter_has_coordinates")
 
 

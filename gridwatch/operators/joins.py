@@ -14,14 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from gridwatch.session import checkpoint_dir
-
 SALT = "__gw_salt"
 # Number of reducers rows with a NULL join key are spread over.
 NULL_KEY_BUCKETS = 1024
-# Largest per-key relation (rows) that ``left_join_checked`` broadcasts; rows
-# of the per-meter relations here are well under 100 bytes.
-BROADCAST_MAX_ROWS = 250_000
 
 
 def left_join_nullable(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
@@ -36,7 +31,8 @@ def left_join_nullable(left: DataFrame, right: DataFrame, left_key: str, right_k
     Right rows with a NULL key are dropped first (they can never match), so
     the struct comparison cannot pair NULL with NULL: the result is exactly
     the left join.  Hot non-NULL keys are left to AQE's skew-join split (the
-    right side is one row per key here).
+    right side is one row per key here), and so is the broadcast of a right
+    side that turns out small in bytes: building the plan runs no job.
     """
     shared = set(left.columns) & set(right.columns)
     if shared:
@@ -55,29 +51,6 @@ def left_join_nullable(left: DataFrame, right: DataFrame, left_key: str, right_k
                     *[restored.get(c, F.col(c)).alias(c) for c in right.columns])
 
 
-def left_join_checked(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                      spread_by: Sequence[str] | None = None,
-                      max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Left join whose right side is broadcast only after its size is checked.
-
-    ``right`` is a relation derived from the big tables (one row per key),
-    whose size the planner cannot know.  It is materialised once in the
-    shared checkpoint folder (cutting its lineage) and counted: with at most
-    ``max_rows`` rows it is broadcast, so the left side is not shuffled at
-    all; above that the NULL-key-salted shuffle join is used.
-    """
-    checkpoint_dir(right.sparkSession)
-    right = right.checkpoint(eager=True)
-    if right.count() <= max_rows:
-        r = right.filter(F.col(right_key).isNotNull())
-        shared = set(left.columns) & set(r.columns)
-        if shared:
-            raise ValueError(f"left and right share column names {sorted(shared)}; rename one side")
-        return (left.join(F.broadcast(r), left[left_key] == r[right_key], "left")
-                .select(*[left[c] for c in left.columns], *[r[c] for c in r.columns]))
-    return left_join_nullable(left, right, left_key, right_key, spread_by)
-
-
 def latest_per_key(df: DataFrame, key: str, order: Sequence[str],
                    columns: Sequence[str] | None = None, method: str = "row_number",
                    descending: bool = True) -> DataFrame:
@@ -131,14 +104,13 @@ def with_latest_event(customers: DataFrame, events: DataFrame, method: str = "ro
 
     Left join on the meter number; customers without a meter or without
     events get NULLs.  Shared meters give every customer the same event.
-    The per-meter side is size-checked before it is broadcast
-    (``left_join_checked``).
+    Whether the per-meter side is broadcast is AQE's choice, by its size.
     """
     latest = latest_event_per_meter(events, method=method)
     right = latest.select(F.col("meter_number").alias("_le_key"),
                           *[F.col(src).alias(dst) for src, dst in TAMPER_ALIASES])
     spread = ["ecgkey"] if "ecgkey" in customers.columns else None
-    return left_join_checked(customers, right, "meternumber", "_le_key", spread).drop("_le_key")
+    return left_join_nullable(customers, right, "meternumber", "_le_key", spread).drop("_le_key")
 
 
 def semi_join(df: DataFrame, keys: DataFrame, df_key: str, keys_key: str) -> DataFrame:

@@ -8,15 +8,13 @@ Rule per user, in attempt order (time, then id):
   * else a successful attempt clears the counter -> ``success``;
   * else -> ``failed``.
 
-Batch form: attempts are hash-partitioned by user and sorted within each
-partition; one pass over each partition carries a two-number state per
-user.  Memory is constant per task: a user's attempts stream through and
-are never gathered into one list.
+Batch form: ``attempt_lockouts``, joins and range-partitioned prefix sums, no
+Python.  ``_fold`` is the rule itself, used by the stream for one micro-batch
+of one user.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import timedelta
 
 import numpy as np
@@ -24,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwatch.session import checkpoint_dir, ship_package
+from gridwatch.session import checkpoint_dir
 
 # Default limits.
 DEFAULT_WINDOW = timedelta(minutes=15)
@@ -63,76 +61,6 @@ def _as_micros(s: pd.Series) -> np.ndarray:
     return s.astype("datetime64[us]").astype("int64").to_numpy()
 
 
-def attempt_lockouts(attempts: DataFrame, window: timedelta = DEFAULT_WINDOW,
-                     max_failed: int = DEFAULT_MAX_FAILED, partitions: int | None = None,
-                     method: str = "auto", hot_user_attempts: int | None = None) -> DataFrame:
-    """Per attempt: the counter value and ``locked``/``success``/``failed``.
-
-    ``attempts`` columns: ``user``, ``ts`` (timestamp), ``attempt_id``,
-    ``success`` (boolean).
-
-    ``method="auto"``: users with more than ``hot_user_attempts`` attempts
-    (default ``HOT_USER_ATTEMPTS``) go through ``attempt_lockouts_parallel``,
-    so no task holds such a user; all others through the sequential pass.
-    ``"sequential"`` / ``"parallel"`` force one form.
-    """
-    if method == "parallel":
-        return attempt_lockouts_parallel(attempts, window, max_failed, partitions)
-    if method == "auto":
-        limit = HOT_USER_ATTEMPTS if hot_user_attempts is None else hot_user_attempts
-        hot = attempts.groupBy("user").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-        n_hot = hot.count()       # users above the limit: at most rows / limit of them
-        if n_hot:
-            keys = hot.select(F.col("user").alias("_hu"))
-            keys = F.broadcast(keys) if n_hot <= 100_000 else keys
-            hot_rows = attempts.join(keys, attempts["user"] == keys["_hu"], "left_semi")
-            cold_rows = attempts.join(keys, attempts["user"] == keys["_hu"], "left_anti")
-            return (attempt_lockouts(cold_rows, window, max_failed, partitions, method="sequential")
-                    .unionByName(attempt_lockouts_parallel(hot_rows, window, max_failed, partitions)))
-    elif method != "sequential":
-        raise ValueError(f"unknown method {method!r}")
-    ship_package(attempts.sparkSession)
-    window_us = int(window / timedelta(microseconds=1))
-    src = attempts.select(F.col("user").cast("string"), F.col("ts").cast("timestamp"),
-                          F.col("attempt_id").cast("long"), F.col("success").cast("boolean"))
-    parts = (src.repartition(partitions, "user") if partitions else src.repartition("user"))
-    ordered = parts.sortWithinPartitions("user", "ts", "attempt_id")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict = {}           # carried across Arrow batches of one partition
-        last_user = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            users = pdf["user"].to_numpy()
-            # users arrive grouped; only the most recent user can continue
-            keep = {last_user: state[last_user]} if last_user in state else {}
-            state = keep
-            counter, result = _fold(users, _as_micros(pdf["ts"]), pdf["success"].fillna(False).to_numpy(),
-                                    window_us, max_failed, state)
-            last_user = users[-1]
-            yield pdf.assign(counter=counter, result=result)
-
-    return ordered.mapInPandas(run, RESULT_SCHEMA)
-
-
-def attempts_from_events(events: DataFrame) -> DataFrame:
-    """Login attempts derived from the driver's event stream: one attempt per
-    event, by user, successful for ``purchase``/``signup`` events."""
-    return events.select(
-        F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("user"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.col("event_id").alias("attempt_id"),
-        F.col("event_type").isin("purchase", "signup").alias("success"))
-
-
-# ── parallel form for users with very many attempts ──────────────────────────
-
-# Attempts of one user above which ``attempt_lockouts(method="auto")`` uses the
-# parallel form (the sequential pass would run that user in one task).
-HOT_USER_ATTEMPTS = 1_000_000
-
-
 def _prefix(df: DataFrame, key: str, order: list[str], col: str, how: str, partitions: int) -> DataFrame:
     """Adds ``_prefix``: sum or max of ``col`` over the rows of the same
     ``key`` strictly before each row in ``order``, computed without putting a
@@ -156,62 +84,75 @@ def _prefix(df: DataFrame, key: str, order: list[str], col: str, how: str, parti
     return j.withColumn("_prefix", value).drop("_pid", "_loc", "_carry")
 
 
-def attempt_lockouts_parallel(attempts: DataFrame, window: timedelta = DEFAULT_WINDOW,
-                              max_failed: int = DEFAULT_MAX_FAILED, partitions: int | None = None) -> DataFrame:
-    """The same results as ``attempt_lockouts`` with no user processed in one task.
+def attempt_lockouts(attempts: DataFrame, window: timedelta = DEFAULT_WINDOW,
+                     max_failed: int = DEFAULT_MAX_FAILED, partitions: int | None = None) -> DataFrame:
+    """Per attempt: the counter value and ``locked``/``success``/``failed``.
 
-    Counting positions p = 0, 1, … per user in attempt order, a counter that
-    starts at p runs until the next restart nxt(p): the first attempt at or
-    after t_p + window, or the attempt after a success with counter ≤ limit.
-    The counters actually started form the chain 0, nxt(0), nxt(nxt(0)), …,
-    found by pointer doubling (about log2(attempts per user) rounds of joins);
-    each attempt's counter is its position minus the last chain start at or
-    before it, plus one.
+    ``attempts`` columns: ``user``, ``ts`` (timestamp), ``attempt_id``,
+    ``success`` (boolean, NULL counts as a failure).  Attempts without a user
+    count as one user.
+
+    One algorithm for every size; no user is processed in one task.  Counting
+    positions p = 0, 1, … per user in attempt order, a counter that starts at
+    p runs until the next restart nxt(p): the first attempt at or after
+    t_p + window, or the attempt after a success with counter ≤ limit.  The
+    counters actually started form the chain 0, nxt(0), nxt(nxt(0)), …, found
+    by pointer doubling; a pointer that has left the user's attempts is
+    finished and dropped, so every round joins fewer rows.  Each attempt's
+    counter is its position minus the last chain start at or before it, plus
+    one.
     """
     spark = attempts.sparkSession
+    checkpoint_dir(spark)
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     window_us = int(window / timedelta(microseconds=1))
-    a = attempts.select(F.col("user").cast("string").alias("user"), F.col("ts").cast("timestamp").alias("ts"),
+    span = F.expr(f"make_dt_interval(0, 0, 0, {window_us} / 1000000.0)")
+    # the user as a never-NULL key: equal for all attempts without a user
+    key = F.when(F.col("user").isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col("user").cast("string")))
+    a = attempts.select(key.alias("u"), F.col("ts").cast("timestamp").alias("ts"),
                         F.col("attempt_id").cast("long").alias("attempt_id"),
                         F.coalesce(F.col("success").cast("boolean"), F.lit(False)).alias("success"))
-    order = ["ts", "attempt_id"]
-    pos = (_prefix(a.withColumn("_one", F.lit(1)), "user", order, "_one", "sum", parts)
+    pos = (_prefix(a.withColumn("_one", F.lit(1)), "u", ["ts", "attempt_id"], "_one", "sum", parts)
            .withColumnRenamed("_prefix", "pos").drop("_one"))
     pos = pos.checkpoint(eager=True)
     # expiry restart e(p): number of the user's attempts earlier than t_p + window
-    queries = pos.select("user", (F.col("ts") + F.expr(f"make_dt_interval(0, 0, 0, {window_us} / 1000000.0)"))
-                         .alias("t"), F.lit(0).alias("kind"), F.col("pos").alias("qpos"), F.lit(0).alias("_d"))
-    data = pos.select("user", F.col("ts").alias("t"), F.lit(1).alias("kind"), F.col("pos").alias("qpos"),
-                      F.lit(1).alias("_d"))
-    cnt = _prefix(queries.unionByName(data), "user", ["t", "kind", "qpos"], "_d", "sum", parts)
-    expiry = cnt.filter(F.col("kind") == 0).select("user", F.col("qpos").alias("pos"), F.col("_prefix").alias("e"))
+    queries = pos.select("u", (F.col("ts") + span).alias("t"), F.lit(0).alias("kind"), F.col("pos").alias("qpos"),
+                         F.lit(0).alias("_d"))
+    data = pos.select("u", F.col("ts").alias("t"), F.lit(1).alias("kind"), F.col("pos").alias("qpos"), F.lit(1).alias("_d"))
+    cnt = _prefix(queries.unionByName(data), "u", ["t", "kind", "qpos"], "_d", "sum", parts)
+    expiry = cnt.filter(F.col("kind") == 0).select("u", F.col("qpos").alias("pos"), F.col("_prefix").alias("e"))
     # clearing success: a success at q clears the counter started at r when
     # q - r < limit and t_q < t_r + window; then the restart is q + 1
-    succ = (pos.filter("success").select("user", F.col("pos").alias("q"), F.col("ts").alias("tq"))
+    succ = (pos.filter("success").select("u", F.col("pos").alias("q"), F.col("ts").alias("tq"))
             .withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(max_failed - 1))))
             .withColumn("pos", F.col("q") - F.col("k")).filter(F.col("pos") >= 0))
-    starts = pos.select("user", "pos", F.col("ts").alias("tr"))
-    clear = (succ.join(starts, ["user", "pos"])
-             .filter(F.col("tq") < F.col("tr") + F.expr(f"make_dt_interval(0, 0, 0, {window_us} / 1000000.0)"))
-             .groupBy("user", "pos").agg((F.min("q") + 1).alias("c")))
-    n = pos.groupBy("user").agg(F.count(F.lit(1)).alias("n"))
-    nxt = (expiry.join(clear, ["user", "pos"], "left")
-           .select("user", "pos", F.least(F.col("e"), F.coalesce(F.col("c"), F.col("e"))).alias("j")))
-    jump = nxt.unionByName(n.select("user", F.col("n").alias("pos"), F.col("n").alias("j")))  # terminal node
-    jump = jump.checkpoint(eager=True)
-    longest = n.agg(F.max("n")).collect()[0][0] or 0
-    path = n.select("user", F.lit(0).cast("long").alias("pos"))
-    rounds = max(1, int(longest).bit_length() + 1)
-    for _ in range(rounds):
-        step = path.join(jump, ["user", "pos"]).select("user", F.col("j").alias("pos"))
+    starts = pos.select("u", "pos", F.col("ts").alias("tr"))
+    clear = (succ.join(starts, ["u", "pos"]).filter(F.col("tq") < F.col("tr") + span)
+             .groupBy("u", "pos").agg((F.min("q") + 1).alias("c")))
+    n = pos.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    jump = (expiry.join(clear, ["u", "pos"], "left")
+            .select("u", "pos", F.least(F.col("e"), F.coalesce(F.col("c"), F.col("e"))).alias("j"))
+            .join(n, "u").filter(F.col("j") < F.col("n")).drop("n").checkpoint(eager=True))
+    path = n.select("u", F.lit(0).cast("long").alias("pos")).checkpoint(eager=True)
+    while not jump.isEmpty():
+        step = path.join(jump, ["u", "pos"]).select("u", F.col("j").alias("pos"))
         path = path.unionByName(step).distinct().checkpoint(eager=True)
-        b = jump.select(F.col("user").alias("_bu"), F.col("pos").alias("_bp"), F.col("j").alias("_bj"))
-        jump = (jump.join(b, (F.col("user") == F.col("_bu")) & (F.col("j") == F.col("_bp")))
-                .select("user", "pos", F.col("_bj").alias("j")).checkpoint(eager=True))
-    restarts = path.withColumn("_start", F.col("pos"))
-    marked = pos.join(restarts, ["user", "pos"], "left")
-    owner = (_prefix(marked.withColumn("_s", F.col("_start")), "user", ["pos"], "_s", "max", parts)
+        ahead = jump.select("u", F.col("pos").alias("j"), F.col("j").alias("jj"))
+        jump = jump.join(ahead, ["u", "j"]).select("u", "pos", F.col("jj").alias("j")).checkpoint(eager=True)
+    marked = pos.join(path.withColumn("_start", F.col("pos")), ["u", "pos"], "left")
+    owner = (_prefix(marked.withColumn("_s", F.col("_start")), "u", ["pos"], "_s", "max", parts)
              .withColumn("start", F.greatest(F.col("_prefix"), F.col("_start"))))
     counter = (F.col("pos") - F.col("start") + 1).cast("long")
-    result = (F.when(counter > max_failed, "locked").when(F.col("success"), "success").otherwise("failed"))
-    return owner.select("user", "ts", "attempt_id", "success", counter.alias("counter"), result.alias("result"))
+    result = F.when(counter > max_failed, "locked").when(F.col("success"), "success").otherwise("failed")
+    user = F.when(F.col("u") != "-", F.substring("u", 2, 2147483647))
+    return owner.select(user.alias("user"), "ts", "attempt_id", "success", counter.alias("counter"), result.alias("result"))
+
+
+def attempts_from_events(events: DataFrame) -> DataFrame:
+    """Login attempts derived from the driver's event stream: one attempt per
+    event, by user, successful for ``purchase``/``signup`` events."""
+    return events.select(
+        F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("user"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_id").alias("attempt_id"),
+        F.col("event_type").isin("purchase", "signup").alias("success"))

@@ -111,24 +111,25 @@ def tile_index(df: DataFrame, zmin: int = MAP_MIN_ZOOM, zmax: int = MAP_MAX_ZOOM
     """Feature count (and optional weight sum) per tile for every zoom in
     [zmin, zmax].
 
-    Each point expands to at most zmax-zmin+1 rows, and the grouped count is
-    partially aggregated before the shuffle, so the one tile that holds every
-    point at low zoom costs one row per input partition.
+    A tile's parent is its number shifted right, so points are counted once,
+    in their tile at zmax; the coarser zooms add up those tiles.  Both counts
+    are partially aggregated before the shuffle, so the one tile that holds
+    every point at low zoom costs one row per input partition.
     """
     pts = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & in_mercator(y))
-    # the trigonometry runs once per point; each zoom only scales the fraction
-    cols = [tile_fraction_x(x).alias("_fx"), tile_fraction_y(y).alias("_fy")]
-    if weight:
-        cols.append(F.col(weight).alias("_w"))
+    at = [tile_of_fraction(tile_fraction_x(x), F.lit(zmax)).alias("_x"),
+          tile_of_fraction(tile_fraction_y(y), F.lit(zmax)).alias("_y")]
+    w = F.col(weight) if weight else F.lit(0)
+    finest = (pts.select(*at, w.alias("_w")).groupBy("_x", "_y")
+              .agg(F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_w")))
     z = F.explode(F.sequence(F.lit(zmin), F.lit(zmax))).alias("tile_z")
-    zz = pts.select(*cols).select("*", z)
-    keyed = zz.select(F.col("tile_z"), tile_of_fraction(F.col("_fx"), F.col("tile_z")).alias("tile_x"),
-                      tile_of_fraction(F.col("_fy"), F.col("tile_z")).alias("tile_y"),
-                      *([F.col("_w")] if weight else []))
-    aggs = [F.count(F.lit(1)).alias("features")]
+    up = finest.select("*", z).select("tile_z", *[
+        F.floor(F.col(c) / F.pow(F.lit(2.0), F.lit(zmax) - F.col("tile_z"))).cast("int").alias(name)
+        for c, name in (("_x", "tile_x"), ("_y", "tile_y"))], "_n", "_w")
+    aggs = [F.sum("_n").alias("features")]
     if weight:
         aggs.append(F.sum("_w").cast("long").alias("weight"))
-    return keyed.groupBy("tile_z", "tile_x", "tile_y").agg(*aggs)
+    return up.groupBy("tile_z", "tile_x", "tile_y").agg(*aggs)
 
 
 def write_tile_index(index: DataFrame, path: str) -> None:

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwatch.functions.geo import both_present
+from gridwatch.functions.params import utc_literal
 from gridwatch.operators.joins import (anti_join_not_in, event_order, latest_per_key,
-                                       left_join_checked, left_join_nullable, semi_join)
+                                       left_join_nullable, semi_join)
 
 # Latest-event columns kept by the meter summary.
 _LATEST = [("event_time", "latest_event_time"), ("event_code", "latest_event_code"),
@@ -75,7 +76,7 @@ def finish_meter_summary(per_meter: DataFrame, customers: DataFrame, fanout: boo
         both_present("_le.latitude", "_le.longitude").alias("has_event_coordinates"),
     )
     if as_of is not None:
-        out = out.withColumn("updated_at", F.lit(as_of).cast("timestamp"))
+        out = out.withColumn("updated_at", utc_literal(as_of))
     return out
 
 
@@ -98,6 +99,11 @@ def meter_summary(events: DataFrame, customers: DataFrame, fanout: bool = True,
     return finish_meter_summary(events_per_meter(events), customers, fanout, as_of)
 
 
+def event_meters(events: DataFrame) -> DataFrame:
+    """Distinct meters that have an event: the keys of the meter summary."""
+    return events.select(F.col("meter_number").alias("meternumber")).distinct()
+
+
 def event_coordinate_meters(events: DataFrame) -> DataFrame:
     """Distinct meters having at least one event with both coordinates."""
     return (events.filter(both_present("latitude", "longitude"))
@@ -107,13 +113,11 @@ def event_coordinate_meters(events: DataFrame) -> DataFrame:
 def join_meter_summary(customers: DataFrame, meter_summary_df: DataFrame,
                        columns: list[str]) -> DataFrame:
     """Customers left-joined with the listed meter-summary columns, renamed
-    ``ms_<column>``; ``ms_meternumber`` marks a match.  The per-meter side is
-    broadcast only after its size is checked, else the NULL-key-salted
-    shuffle join runs (``left_join_checked``)."""
+    ``ms_<column>``; ``ms_meternumber`` marks a match (``left_join_nullable``)."""
     right = meter_summary_df.select(F.col("meternumber").alias("ms_meternumber"),
                                     *[F.col(c).alias("ms_" + c) for c in columns])
     spread = ["ecgkey"] if "ecgkey" in customers.columns else None
-    return left_join_checked(customers, right, "meternumber", "ms_meternumber", spread)
+    return left_join_nullable(customers, right, "meternumber", "ms_meternumber", spread)
 
 
 def _flag_columns(event_flag: Column) -> dict[str, Column]:
@@ -163,7 +167,7 @@ def with_coordinate_flags(customers: DataFrame, meter_summary_df: DataFrame | No
         right = event_coordinate_meters(events).select(F.col("meternumber").alias("_f_key"),
                                                        F.lit(True).alias("_f_ev"))
         spread = ["ecgkey"] if "ecgkey" in base.columns else None
-        j = left_join_checked(base, right, "meternumber", "_f_key", spread)
+        j = left_join_nullable(base, right, "meternumber", "_f_key", spread)
         return j.withColumns(_flag_columns(F.col("_f_ev"))).drop("_f_key", "_f_ev")
     raise ValueError(f"unknown variant {variant!r}")
 
@@ -262,7 +266,7 @@ def district_event_summary(customers: DataFrame, meter_summary_df: DataFrame,
         "districtcode", "districtname", "regioncode", "regionname", *[c for c in numbers.columns
                                                                       if c != "districtcode"])
     if as_of is not None:
-        out = out.withColumn("updated_at", F.lit(as_of).cast("timestamp"))
+        out = out.withColumn("updated_at", utc_literal(as_of))
     return out
 
 

@@ -31,6 +31,7 @@ EVENT_ACCOUNT = "705000000"
 LOOKUP_METER = "12"
 EVENT_FILTER = EventFilter(event_desc="stdevt:", from_=parse_query_time("2024-01-05T00:00:00Z"),
                            to=parse_query_time("2024-01-20"))
+AS_OF = datetime(2024, 2, 1, 6, 30)
 BBOX = (-2.0, 5.0, 0.5, 8.0)
 TILE = (7, 63, 61)
 
@@ -114,12 +115,12 @@ def customers_geom(spark, sf):
 
 def customers_with_events(spark, sf):
     cust, ev = _base(spark, sf)
-    return S.customers_with_events(cust, S.meter_summary(ev, cust)).select("ecgkey", "meternumber")
+    return S.customers_with_events(cust, S.event_meters(ev)).select("ecgkey", "meternumber")
 
 
 def customers_without_events(spark, sf):
     cust, ev = _base(spark, sf)
-    return S.customers_without_events(cust, S.meter_summary(ev, cust)).select("ecgkey", "meternumber")
+    return S.customers_without_events(cust, S.event_meters(ev)).select("ecgkey", "meternumber")
 
 
 def event_coordinate_meters(spark, sf):
@@ -140,6 +141,13 @@ def dashboard_summary(spark, sf):
     return D.dashboard_summary(_des(spark, sf))
 
 
+def dashboard_last_refreshed(spark, sf):
+    """National totals of a refreshed snapshot, with the time of the refresh."""
+    cust, _, ms = _cust_ms(spark, sf)
+    out = D.dashboard_summary(S.district_event_summary(cust, ms, as_of=AS_OF))
+    return out.select("total_meters", "total_events", F.col("last_refreshed").cast("timestamp_ntz").alias("last_refreshed"))
+
+
 def dashboard_regions(spark, sf):
     return D.dashboard_regions(_des(spark, sf))
 
@@ -154,7 +162,13 @@ def dashboard_districts_region(spark, sf):
 
 def account_meters(spark, sf):
     cust, _, ms = _cust_ms(spark, sf)
-    out = D.account_meters(cust, ms)
+    return D.account_meters(cust, ms)
+
+
+def account_meters_of(spark, sf):
+    """One account's groups with the list of meters."""
+    cust, _, ms = _cust_ms(spark, sf)
+    out = D.account_meters(cust, ms, account=EVENT_ACCOUNT)
     return out.withColumn("meters", F.array_join("meters", ",", "NULL"))
 
 
@@ -197,11 +211,29 @@ def customer_search_page(spark, sf):
 
 def customers_filtered(spark, sf):
     cust, ev = _base(spark, sf)
-    ms = S.meter_summary(ev, cust)
     f = CustomerFilter(region_name="a", service_type="Prepaid", meter_make="am",
                        contract_status="Active", cms_contract_status="Live",
                        customer_type="Domestic", account_type="Private", has_tamper=True)
-    return C.filter_customers(cust, f, ms).select("ecgkey", "fullname", "meternumber", "regionname")
+    return C.filter_customers(cust, f, S.event_meters(ev)).select("ecgkey", "fullname", "meternumber", "regionname")
+
+
+def customers_by_codes(spark, sf):
+    cust, _ = _base(spark, sf)
+    f = CustomerFilter(region_code="02", district_code="02-12", service_class="NonResidential", meter_model="e65")
+    return C.filter_customers(cust, f).select("ecgkey", "meternumber", "regioncode", "districtcode", "metermodel")
+
+
+def customers_by_service_point(spark, sf):
+    cust, _ = _base(spark, sf)
+    return C.filter_customers(cust, CustomerFilter(service_point_number="SPN-0000077")).select("ecgkey", "servicepointnumber")
+
+
+def customer_page_clamped(spark, sf):
+    """Page 0 of 10,000 rows, a search with blanks around: the first page of
+    the largest size."""
+    cust, _ = _base(spark, sf)
+    f = CustomerFilter(search="  customer#00 ", page=0, page_size=10_000)
+    return C.page_rows(cust, f).select("ecgkey", "fullname")
 
 
 def customers_count(spark, sf):
@@ -376,35 +408,62 @@ def merge_district_sticky(spark, sf):
 def refresh_pipeline(spark, sf):
     """The four-step refresh into a fresh snapshot root; returns the
     published district summary."""
-    from datetime import datetime
+    from gridwatch.plans.refresh import Refresh
+    cust, ev = _base(spark, sf)
+    r = Refresh(spark, _scratch(spark, "refresh"), run_id="catalog")
+    r.run(cust, ev, as_of=AS_OF)
+    return _round_geom(r.table("district_event_summary")).withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+
 
+def refresh_rerun(spark, sf):
+    """Run, reset, run again on later events: meters of the first run stay,
+    and the flags and geometry of the published customers follow."""
     from gridwatch.plans.refresh import Refresh
     cust, ev = _base(spark, sf)
     r = Refresh(spark, _scratch(spark, "refresh"), run_id="catalog")
-    r.run(cust, ev, as_of=datetime(2024, 2, 1))
-    return _round_geom(r.table("district_event_summary").drop("updated_at"))
+    cut = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    r.run(cust, ev.filter(F.col("event_time") < cut), as_of=AS_OF)
+    r.reset()
+    r.run(cust, ev.filter(F.col("event_time") >= cut), as_of=AS_OF)
+    return r.table("customers").select("ecgkey", "meternumber", "has_own_coordinates", "has_event_coordinates",
+                                       "has_any_coordinates", "geom_x", "geom_y")
 
 
 def pipeline_status(spark, sf):
-    from datetime import datetime
-
     from gridwatch.plans.refresh import Refresh
     cust, ev = _base(spark, sf)
     r = Refresh(spark, _scratch(spark, "refresh"), run_id="catalog")
-    r.run(cust, ev, as_of=datetime(2024, 2, 1))
+    r.run(cust, ev, as_of=AS_OF)
     return r.status(final=True).drop("finished_at")
 
 
+# Slices in which the stream queries receive their table.
+STREAM_SLICES = 3
+
+
+def _arrivals(spark: SparkSession, sf: str, table: str, order: str, root: str):
+    """The table as a folder that fills up slice by slice (ascending
+    ``order``); yields after each arrival, so a stream over the folder runs
+    several times and carries its state and its place from run to run."""
+    df = spark.read.parquet(f"{sf}/{table}.parquet")
+    key = F.unix_micros(F.col(order).cast("timestamp")) if dict(df.dtypes)[order].startswith("timestamp") else F.col(order)
+    marks = [k / STREAM_SLICES for k in range(1, STREAM_SLICES)]
+    bounds = df.agg(F.percentile_approx(key, marks)).first()[0] or []
+    nth = sum((F.when(key > b, 1).otherwise(0) for b in bounds), F.lit(0))
+    for k in range(STREAM_SLICES):
+        df.filter(F.coalesce(nth, F.lit(0)) == k).write.mode("append").parquet(f"{root}/in")
+        yield f"{root}/in", df.schema
+
+
 def stream_meter_summary(spark, sf):
     """Meter summary maintained by a streaming aggregate over the event
     files (available-now trigger), finished with the customer join."""
     from gridwatch.sources.fixtures import events_from_stream
     from gridwatch.streaming.incremental import meter_summary_stream, read_meter_state, read_stream
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    raw = read_stream(spark, sf, schema, file_glob="events.parquet")
     root = _scratch(spark, "stream_ms")
-    q = meter_summary_stream(events_from_stream(raw), f"{root}/state", f"{root}/_chk")
-    q.awaitTermination()
+    for path, schema in _arrivals(spark, sf, "events", "ts", root):
+        raw = read_stream(spark, path, schema)
+        meter_summary_stream(events_from_stream(raw), f"{root}/state", f"{root}/_chk", compact_every=2).awaitTermination()
     cust, _ = _base(spark, sf)
     return S.finish_meter_summary(read_meter_state(spark, f"{root}/state"), cust)
 
@@ -414,11 +473,10 @@ def stream_event_flags(spark, sf):
     from gridwatch.sources.fixtures import events_from_stream
     from gridwatch.streaming.incremental import (coordinate_meter_stream, flags_from_coordinate_meters,
                                                  read_stream)
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    raw = read_stream(spark, sf, schema, file_glob="events.parquet")
     root = _scratch(spark, "stream_flags")
-    q = coordinate_meter_stream(events_from_stream(raw), f"{root}/meters", f"{root}/_chk")
-    q.awaitTermination()
+    for path, schema in _arrivals(spark, sf, "events", "ts", root):
+        raw = read_stream(spark, path, schema)
+        coordinate_meter_stream(events_from_stream(raw), f"{root}/meters", f"{root}/_chk").awaitTermination()
     cust, _ = _base(spark, sf)
     return flags_from_coordinate_meters(cust, spark.read.parquet(f"{root}/meters")).select(
         "ecgkey", "meternumber", "has_own_coordinates", "has_event_coordinates", "has_any_coordinates")
@@ -451,17 +509,15 @@ def stream_customer_flags(spark, sf):
     from gridwatch.sources.fixtures import customers_from_tpch
     from gridwatch.streaming.incremental import customer_flag_stream, read_stream
     root = _scratch(spark, "stream_customers")
-    schema = spark.read.parquet(f"{sf}/customer.parquet").schema
-    raw = read_stream(spark, sf, schema, file_glob="customer.parquet")
-    changes = customers_from_tpch(raw, spark.read.parquet(f"{sf}/nation.parquet"),
-                                  spark.read.parquet(f"{sf}/region.parquet"))
     _, ev = _base(spark, sf)
-    out = customer_flag_stream(changes, S.event_coordinate_meters(ev))
-    q = (out.select("ecgkey", "meternumber", "has_own_coordinates", "has_event_coordinates",
+    for path, schema in _arrivals(spark, sf, "customer", "c_custkey", root):
+        changes = customers_from_tpch(read_stream(spark, path, schema), spark.read.parquet(f"{sf}/nation.parquet"),
+                                      spark.read.parquet(f"{sf}/region.parquet"))
+        out = customer_flag_stream(changes, S.event_coordinate_meters(ev))
+        (out.select("ecgkey", "meternumber", "has_own_coordinates", "has_event_coordinates",
                     "has_any_coordinates", "geom_x", "geom_y")
          .writeStream.outputMode("append").format("parquet").option("path", f"{root}/out")
-         .option("checkpointLocation", f"{root}/_chk").trigger(availableNow=True).start())
-    q.awaitTermination()
+         .option("checkpointLocation", f"{root}/_chk").trigger(availableNow=True).start().awaitTermination())
     return spark.read.parquet(f"{root}/out")
 
 
@@ -474,18 +530,22 @@ def stream_attempt_lockouts(spark, sf):
     from gridwatch.streaming.incremental import read_stream
     from gridwatch.streaming.lockouts import lockout_stream
     root = _scratch(spark, "stream_lockouts")
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    attempts = attempts_from_events(read_stream(spark, sf, schema, file_glob="events.parquet"))
-    out = lockout_stream(attempts, timedelta(days=LOCKOUT_WINDOW_DAYS), LOCKOUT_MAX, watermark="30 days")
-    q = (out.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out")
-         .option("checkpointLocation", f"{root}/_chk").trigger(availableNow=True).start())
-    q.awaitTermination()
+    for path, schema in _arrivals(spark, sf, "events", "ts", root):
+        attempts = attempts_from_events(read_stream(spark, path, schema))
+        out = lockout_stream(attempts, timedelta(days=LOCKOUT_WINDOW_DAYS), LOCKOUT_MAX)
+        (out.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out")
+         .option("checkpointLocation", f"{root}/_chk").trigger(availableNow=True).start().awaitTermination())
     return spark.read.parquet(f"{root}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def _write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("timestampNTZFormat",
-                                                               "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
+    """As databases export it: quotes doubled, line ends inside quotes."""
+    (df.write.mode("overwrite").option("header", True).option("escape", '"').option("quote", '"')
+     .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path))
+
+
+# Added to every third address: a line end, quotes and a comma.
+HARD_TEXT = '\nBlock "B", Accra'
 
 
 def csv_customers(spark, sf):
@@ -494,7 +554,8 @@ def csv_customers(spark, sf):
     from gridwatch.sources.readers import read_customers_csv
     cust, _ = _base(spark, sf)
     path = _scratch(spark, "csv_customers")
-    _write_csv(cust, path)
+    hard = F.when(F.col("ecgkey").cast("long") % 3 == 0, F.concat("address", F.lit(HARD_TEXT))).otherwise(F.col("address"))
+    _write_csv(cust.withColumn("address", hard), path)
     back = read_customers_csv(spark, path)
     return back.select("ecgkey", "meternumber", "accountnumber", "fullname", "districtcode", "address",
                        "latitude", "longitude", F.col("currentbalance").cast("double").alias("currentbalance"),
@@ -506,11 +567,27 @@ def csv_events(spark, sf):
     from gridwatch.sources.readers import read_events_csv
     _, ev = _base(spark, sf)
     path = _scratch(spark, "csv_events")
-    _write_csv(ev.drop("event_id"), path)
+    zoned = F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS'+00'")
+    _write_csv(ev.drop("event_id").withColumn("event_time", zoned), path)
     back = read_events_csv(spark, path)
     return back.withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
 
 
+def csv_rejects(spark, sf):
+    """Rows of an event export that can't be loaded, counted by reason, and
+    the loaded ones; together they are the whole file."""
+    from gridwatch.sources.readers import split_events_csv
+    _, ev = _base(spark, sf)
+    path = _scratch(spark, "csv_rejects")
+    k = F.col("event_id")
+    _write_csv(ev.withColumn("meter_number", F.when(k % 7 != 0, F.col("meter_number")))
+               .withColumn("event_time", F.when(k % 11 == 0, F.lit("yesterday")).otherwise(F.col("event_time").cast("string")))
+               .drop("event_id"), path)
+    loaded, rejects = split_events_csv(spark, path)
+    return (rejects.groupBy("reason").agg(F.count("*").alias("n"))
+            .unionByName(loaded.agg(F.lit("loaded").alias("reason"), F.count("*").alias("n"))))
+
+
 def csv_load_refresh(spark, sf):
     """CSV load (customers, month-partitioned events) followed by the
     four-step refresh; returns the published district summary."""

@@ -20,12 +20,11 @@ from pyspark.sql import types as T
 
 from gridwatch.operators import reports
 from gridwatch.operators import summaries as S
-from gridwatch.sources.sinks import SnapshotStore, merge_by_key, merge_sticky, rows_frame
+from gridwatch.sources.sinks import SnapshotStore, merge_by_key, merge_sticky, read_json_log, rows_frame
 
 
 def _now() -> datetime:
-    """Current UTC time as a naive datetime (the session time zone is UTC)."""
-    return datetime.now(timezone.utc).replace(tzinfo=None)
+    return datetime.now(timezone.utc)
 
 STEPS = reports.STEPS
 # District columns an update does not overwrite, and columns
@@ -53,10 +52,7 @@ class Refresh:
         rows_frame(self.spark, _LOG_SCHEMA, rows).write.mode("append").json(self.log_path)
 
     def _log(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(_LOG_SCHEMA).json(self.log_path)
-        except Exception:  # noqa: BLE001 - nothing logged yet
-            return None
+        return read_json_log(self.spark, _LOG_SCHEMA, self.log_path)
 
     def checkpoints(self) -> DataFrame:
         """Current state: the newest log row per step of this run; steps the
@@ -105,10 +101,12 @@ class Refresh:
         return new
 
     def _step_flags(self, customers: DataFrame, events: DataFrame, as_of: datetime) -> DataFrame:
-        return S.with_coordinate_flags(customers, self.store.read("meter_summary"), "latest")
+        # flags and geometry are columns of the same wide rows: written once,
+        # the geometry step publishes this snapshot as ``customers``
+        return S.with_geom(S.with_coordinate_flags(customers, self.store.read("meter_summary"), "latest"))
 
-    def _step_geom(self, customers: DataFrame, events: DataFrame, as_of: datetime) -> DataFrame:
-        return S.with_geom(self.store.read("customers_flagged"))
+    def _step_geom(self, customers: DataFrame, events: DataFrame, as_of: datetime) -> str:
+        return self.store.current("customers_flagged")
 
     def _step_district(self, customers: DataFrame, events: DataFrame, as_of: datetime) -> DataFrame:
         new = S.district_event_summary(self.store.read("customers"), self.store.read("meter_summary"),
@@ -136,9 +134,13 @@ class Refresh:
             seq = int(_now().timestamp() * 1e6) + 10 * i
             started = _now()
             try:
-                self.store.write(output, fn(customers, events, as_of))
+                made = fn(customers, events, as_of)
+                if isinstance(made, str):
+                    self.store.publish(output, made)
+                else:
+                    self.store.write(output, made)
             except Exception as exc:
-                msg = "".join(traceback.format_exception_only(type(exc), exc)).strip()[:2000]
+                msg = "".join(traceback.format_exception_only(type(exc), exc)).strip()
                 self._append([(self.run_id, step, False, started, None, msg, seq + 1)])
                 raise
             # one log row per outcome: the snapshot is published before the
@@ -158,12 +160,23 @@ def backfill_any_flags(customers: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def load_and_refresh(spark: SparkSession, customers_csv: str, events_csv: str, root: str,
-                     run_id: str = "default", as_of: datetime | None = None) -> dict[str, str]:
-    """CSV load (customers, month-partitioned events) then the refresh."""
+                     run_id: str = "default", as_of: datetime | None = None,
+                     max_rejects: int | None = None) -> dict[str, str]:
+    """CSV load (customers, month-partitioned events) then the refresh.
+
+    Rows that can't be loaded are published as ``rejects`` (source, record,
+    reason) before anything else happens; more than ``max_rejects`` of them
+    (None: any number) stop the load with an error.
+    """
     from gridwatch.sources import readers
     store = SnapshotStore(spark, root)
-    store.write("customer_records", readers.read_customers_csv(spark, customers_csv))
-    events_path = store.write("tamper_events", readers.clustered_events(
-        readers.read_events_csv(spark, events_csv)), partition_by=["event_month"])
-    return Refresh(spark, root, run_id).run(store.read("customer_records"),
-                                            readers.read_events(spark, events_path), as_of)
+    customers, bad_customers = readers.split_customers_csv(spark, customers_csv)
+    events, bad_events = readers.split_events_csv(spark, events_csv)
+    rejects = store.write("rejects", bad_customers.select(F.lit("customers").alias("source"), "record", "reason")
+                          .unionByName(bad_events.select(F.lit("events").alias("source"), "record", "reason")))
+    if max_rejects is not None and (n := spark.read.parquet(rejects).count()) > max_rejects:
+        raise ValueError(f"{n} rows can't be loaded, {max_rejects} allowed; see {rejects}")
+    store.write("customer_records", customers)
+    events_path = store.write("tamper_events", readers.clustered_events(events), partition_by=["event_month"])
+    paths = Refresh(spark, root, run_id).run(store.read("customer_records"), readers.read_events(spark, events_path), as_of)
+    return paths | {"rejects": rejects}

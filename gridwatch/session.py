@@ -31,11 +31,18 @@ STREAMING_DEFAULTS = {
 }
 
 
+# Spark's own default: state on the executor heap.
+_HEAP_STATE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+
+
 def apply_defaults(spark: SparkSession) -> SparkSession:
     """Set the defaults above on ``spark`` where the cluster left them unset."""
     for key, value in DEFAULTS.items():
         if spark.conf.get(key, None) in (None, ""):
             spark.conf.set(key, value)
+    for key, value in STREAMING_DEFAULTS.items():
+        if spark.conf.get(key, None) in (None, "", _HEAP_STATE):
+            spark.conf.set(key, value)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
@@ -48,6 +55,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local tests.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.conf.get("spark.master", "").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
     if not path:
         path = tempfile.mkdtemp(prefix="gridwatch-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)

@@ -44,12 +44,22 @@ def coerce_to(c: Column, dtype: T.DataType) -> Column:
     raise TypeError(f"no coercion for {dtype}")
 
 
+def _native(c: Column, source: T.DataType, dtype: T.DataType) -> Column:
+    """A column that is not text: numbers are true unless 0, else a cast."""
+    if isinstance(dtype, T.BooleanType) and isinstance(source, T.NumericType):
+        return F.coalesce(c != 0, F.lit(False))
+    if isinstance(dtype, T.BooleanType):
+        return F.coalesce(c.try_cast("boolean"), F.lit(False))
+    return c.try_cast(dtype)
+
+
 def _typed(df: DataFrame, columns: list[tuple[str, T.DataType]]) -> DataFrame:
-    present = set(df.columns)
     out = []
     for name, dtype in columns:
-        src = F.col(f"`{name}`").cast("string") if name in present else F.lit(None).cast("string")
-        out.append(coerce_to(src, dtype).alias(name))
+        source = df.schema[name].dataType if name in df.columns else T.StringType()
+        c = F.col(f"`{name}`") if name in df.columns else F.lit(None).cast("string")
+        typed = coerce_to(c, dtype) if isinstance(source, T.StringType) else _native(c, source, dtype)
+        out.append(typed.alias(name))
     return df.select(*out)
 
 
@@ -65,26 +75,65 @@ def typed_events(df: DataFrame) -> DataFrame:
     return _typed(df, EVENT_COLUMNS)
 
 
-def _read_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    return (spark.read.option("header", True).option("inferSchema", False)
-            .option("mode", "PERMISSIVE").option("multiLine", False).csv(path))
+# Column that keeps the text of a record that does not fit the header.
+CORRUPT = "_corrupt_record"
+
+
+def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
+    """All columns as text, plus ``CORRUPT``.  Quoted line ends and doubled
+    quotes are read as databases export them; a file with quoted line ends
+    can't be split, so large exports come as many files."""
+    reader = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", True)
+              .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
+              .option("columnPruning", False))
+    names = reader.csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
+    return reader.option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
+
+
+def _split(raw: DataFrame, columns: list[tuple[str, T.DataType]], required: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(typed rows, rejects): a row is rejected if its record is malformed or
+    a ``required`` column is missing or unreadable; rejects keep the record's
+    columns as JSON text and say why.  Every input row is in one of the two."""
+    names = [n for n, _ in columns]
+    row = F.struct(*[F.col(f"`{n}`").alias(n) for n in raw.columns])
+    typed = _typed(raw.select(*raw.columns, F.to_json(row).alias("_record")), [*columns, ("_record", T.StringType()), (CORRUPT, T.StringType())])
+    text = F.from_json("_record", T.StructType([T.StructField(n, T.StringType()) for n in required]))
+    why = [F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed record"))] + [
+        F.when(F.col(n).isNull(), F.when(F.coalesce(text[n], F.lit("")) == "", F.lit(f"missing {n}"))
+               .otherwise(F.lit(f"unreadable {n}"))) for n in required]
+    judged = typed.withColumn("reason", F.concat_ws("; ", *why))
+    return (judged.filter(F.col("reason") == "").select(*names),
+            judged.filter(F.col("reason") != "").select(F.col("_record").alias("record"), "reason"))
+
+
+# Columns without which a row can't be loaded.
+CUSTOMER_REQUIRED = ["ecgkey"]
+EVENT_REQUIRED = ["meter_number", "event_time"]
+
+
+def split_customers_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Loadable customers and rejects (``record``, ``reason``)."""
+    return _split(read_text_csv(spark, path), CUSTOMER_COLUMNS, CUSTOMER_REQUIRED)
+
+
+def split_events_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Loadable tamper events and rejects (``record``, ``reason``)."""
+    return _split(read_text_csv(spark, path), EVENT_COLUMNS, EVENT_REQUIRED)
 
 
 def read_customers_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Customer records from CSV files (header row, text read, then typed)."""
-    return typed_customers(_read_text_csv(spark, path))
+    """Loadable customer records; the others are in ``split_customers_csv``."""
+    return split_customers_csv(spark, path)[0]
 
 
 def read_events_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Tamper events from CSV.  Rows violating the NOT NULL columns
-    (``meter_number``, ``event_time``) are not loadable; see ``event_rejects``."""
-    ev = typed_events(_read_text_csv(spark, path))
-    return ev.filter(F.col("meter_number").isNotNull() & F.col("event_time").isNotNull())
+    """Loadable tamper events; the others are in ``event_rejects``."""
+    return split_events_csv(spark, path)[0]
 
 
 def event_rejects(spark: SparkSession, path: str) -> DataFrame:
-    ev = typed_events(_read_text_csv(spark, path))
-    return ev.filter(F.col("meter_number").isNull() | F.col("event_time").isNull())
+    return split_events_csv(spark, path)[1]
 
 
 def with_event_month(events: DataFrame) -> DataFrame:

@@ -13,14 +13,16 @@ import time
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridwatch.functions.params import utc_literal
+
 
 def _now() -> datetime:
-    """Current UTC time as a naive datetime (the session time zone is UTC)."""
-    return datetime.now(timezone.utc).replace(tzinfo=None)
+    return datetime.now(timezone.utc)
 
 
 def merge_by_key(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -66,7 +68,7 @@ def merge_sticky(old: DataFrame, new: DataFrame, keys: Sequence[str], sticky: Se
         elif c in untouched:
             v = F.when(has_o, oc).otherwise(F.lit(defaults.get(c)))
         elif c == "updated_at" and as_of is not None:
-            v = F.when(has_n, F.lit(as_of).cast("timestamp")).otherwise(oc)
+            v = F.when(has_n, utc_literal(as_of)).otherwise(oc)
         else:
             v = F.when(has_n, nc).otherwise(oc)
         dtype = (old.schema[c].dataType if c in old.columns else new.schema[c].dataType)
@@ -94,6 +96,17 @@ _POINTER_SCHEMA = T.StructType([T.StructField("version", T.LongType()),
                                 T.StructField("published_at", T.TimestampType())])
 
 
+def read_json_log(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame | None:
+    """An append-only log, or None if nothing was ever written there.  Any
+    other failure is raised: an outage must not look like an empty log."""
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 class SnapshotStore:
     """Named relations under ``root``, each a list of immutable versions."""
 
@@ -112,11 +125,10 @@ class SnapshotStore:
         ``refresh=True`` re-reads the published pointers."""
         if name in self._known and not refresh:
             return self._known[name]
-        try:
-            v = (self.spark.read.schema(_POINTER_SCHEMA).json(self._versions_dir(name))
-                 .orderBy(F.col("version").desc()).select("path").limit(1).collect())
-        except Exception:  # noqa: BLE001 - no version folder yet
+        log = read_json_log(self.spark, _POINTER_SCHEMA, self._versions_dir(name))
+        if log is None:
             return None
+        v = log.orderBy(F.col("version").desc()).select("path").limit(1).collect()
         if v:
             self._known[name] = v[0]["path"]
             return v[0]["path"]
@@ -139,6 +151,11 @@ class SnapshotStore:
         if partition_by:
             w = w.partitionBy(*partition_by)
         w.parquet(path)
+        return self.publish(name, path, version)
+
+    def publish(self, name: str, path: str, version: int | None = None) -> str:
+        """Make the written snapshot at ``path`` the newest version of ``name``."""
+        version = time.time_ns() if version is None else version
         pointer = rows_frame(self.spark, _POINTER_SCHEMA, [(version, path, _now())])
         pointer.write.mode("append").json(self._versions_dir(name))
         self._known[name] = path

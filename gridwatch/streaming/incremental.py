@@ -24,15 +24,10 @@ from gridwatch.operators import summaries as S
 from gridwatch.operators.joins import left_join_nullable
 
 
-def read_stream(spark: SparkSession, folder: str, schema, file_glob: str | None = None,
-                max_files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet file source with an explicit schema."""
-    r = spark.readStream.schema(schema)
-    if file_glob:
-        r = r.option("pathGlobFilter", file_glob)
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(folder)
+def read_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int = 1000) -> DataFrame:
+    """Parquet file source over the table at ``path``, a folder of part files,
+    with an explicit schema; a micro-batch takes a bounded number of files."""
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(path))
 
 
 def meter_summary_stream(events: DataFrame, state_dir: str, checkpoint: str,

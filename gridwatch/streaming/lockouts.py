@@ -1,10 +1,12 @@
 """Streaming lock-out counter: ``applyInPandasWithState`` keyed by user.
 
-State per user is (count, expires_at); an event-time timeout at the expiry
-drops the state once the watermark passes it.  Within a micro-batch a
-user's attempts are sorted by (time, id) before the fold; micro-batch size
-is bounded by the source's per-trigger limit.  Attempts older than the
-watermark are dropped by the watermark, as for any event-time operator.
+State per user is (count, expires, newest): three numbers in the state store,
+kept without a timeout, so no attempt is ever dropped.  Within a micro-batch a
+user's attempts are sorted by (time, id) before the fold; micro-batch size is
+bounded by the source's per-trigger limit.  An attempt earlier than one that
+an earlier micro-batch has already counted comes too late to be counted: it
+is returned with result ``late`` and counter 0.  Attempts without a user count
+as one user, as in the batch form.
 """
 
 from __future__ import annotations
@@ -19,34 +21,31 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from gridwatch.session import ship_package
 from gridwatch.operators.lockouts import DEFAULT_MAX_FAILED, DEFAULT_WINDOW, RESULT_SCHEMA, _as_micros, _fold
 
-STATE_SCHEMA = "count long, expires long"
+STATE_SCHEMA = "count long, expires long, newest long"
 
 
 def lockout_stream(attempts: DataFrame, window: timedelta = DEFAULT_WINDOW,
-                   max_failed: int = DEFAULT_MAX_FAILED, watermark: str = "1 hour") -> DataFrame:
+                   max_failed: int = DEFAULT_MAX_FAILED) -> DataFrame:
     ship_package(attempts.sparkSession)
     window_us = int(window / timedelta(microseconds=1))
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (user,) = key
-        if state.hasTimedOut:
-            state.remove()
-            return
         batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "attempt_id"])
         mem: dict = {}
+        newest = None
         if state.exists:
-            cnt, exp = state.get
-            mem[user] = (int(cnt), int(exp))
-        counter, result = _fold(batch["user"].to_numpy(), _as_micros(batch["ts"]),
-                                batch["success"].fillna(False).to_numpy(), window_us, max_failed, mem)
-        if user in mem:
-            cnt, exp = mem[user]
-            state.update((int(cnt), int(exp)))
-            state.setTimeoutTimestamp(int(exp) // 1000)
-        elif state.exists:
-            state.remove()
-        yield batch.assign(counter=counter, result=result)
-
-    return (attempts.withWatermark("ts", watermark).groupBy("user")
-            .applyInPandasWithState(step, RESULT_SCHEMA, STATE_SCHEMA, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+            cnt, exp, newest = state.get
+            if cnt:
+                mem[user] = (int(cnt), int(exp))
+        ts = _as_micros(batch["ts"])
+        late = ts < newest if newest is not None else ts != ts
+        on_time = batch[~late]
+        users = [user] * len(on_time)
+        counter, result = _fold(users, ts[~late], on_time["success"].fillna(False).to_numpy(), window_us, max_failed, mem)
+        cnt, exp = mem.get(user, (0, 0))
+        state.update((int(cnt), int(exp), int(max([*ts, *([newest] if newest is not None else [])]))))
+        yield pd.concat([on_time.assign(counter=counter, result=result), batch[late].assign(counter=0, result="late")])
+
+    return attempts.groupBy("user").applyInPandasWithState(
+        step, RESULT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
