@@ -110,23 +110,13 @@ def test_like_translation_matches_postgres_reading(spark, needle, texts):
     assert got == [_like_reference(raw, t) for t in texts]
 
 
-@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(attempt_lists, st.integers(1, 4), st.integers(1, 40))
-def test_parallel_lockouts_match_brute_force(spark, items, limit, window_min):
-    base = datetime(2024, 1, 1)
-    rows = [(u, base + timedelta(minutes=m), i, ok) for i, (u, m, ok) in enumerate(items)]
-    df = spark.createDataFrame(rows, "user string, ts timestamp, attempt_id long, success boolean")
-    got = {r["attempt_id"]: (r["counter"], r["result"])
-           for r in LO.attempt_lockouts_parallel(df, timedelta(minutes=window_min), limit, partitions=4).collect()}
-    assert got == _reference_lockouts(rows, timedelta(minutes=window_min), limit)
-
-
-def test_auto_routes_hot_users_to_the_parallel_form(spark):
+def test_lockouts_of_hot_and_missing_users(spark):
     base = datetime(2024, 1, 1)
     rows = [("hot", base + timedelta(minutes=i % 50, seconds=i), i, i % 7 == 0) for i in range(120)]
     rows += [("cold", base + timedelta(minutes=3 * i), 1000 + i, False) for i in range(10)]
+    rows += [(None, base + timedelta(minutes=2 * i), 2000 + i, i % 5 == 0) for i in range(20)]
     df = spark.createDataFrame(rows, "user string, ts timestamp, attempt_id long, success boolean")
-    got = {r["attempt_id"]: (r["counter"], r["result"])
-           for r in LO.attempt_lockouts(df, timedelta(minutes=15), 5, partitions=4,
-                                        hot_user_attempts=50).collect()}
-    assert got == _reference_lockouts(rows, timedelta(minutes=15), 5)
+    out = LO.attempt_lockouts(df, timedelta(minutes=15), 5, partitions=4).collect()
+    assert sum(r["user"] is None for r in out) == 20 and len(out) == len(rows)
+    assert {r["attempt_id"]: (r["counter"], r["result"]) for r in out} == _reference_lockouts(
+        [(u or "~none", *rest) for u, *rest in rows], timedelta(minutes=15), 5)

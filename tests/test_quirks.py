@@ -117,7 +117,7 @@ def test_account_meters_null_last_keeps_duplicates(spark):
         {"meter_number": "M9", "event_time": "2024-01-01 00:00:00"}]))
     ms = spark.createDataFrame([("M1", 4, datetime(2024, 1, 3))],
                                "meternumber string, event_count long, latest_event_time timestamp")
-    r = D.account_meters(cust, ms).collect()[0]
+    r = D.account_meters(cust, ms, account="A1").collect()[0]
     assert r["meters"] == ["M1", "M2", "M2", None]
     assert r["meter_count"] == 4 and r["total_events"] == 4
 
@@ -253,20 +253,24 @@ def test_batch_step_orientation_switch(spark):
     assert (w["geom_x"], w["geom_y"]) == (0.5, 6.5)
 
 
-def test_account_meters_large_group_split_into_ordered_parts(spark):
-    meters = ["M5", None, "M1", "M3", "M3", "M2", "M4", None, "M6"]
-    rows = [{"ecgkey": str(i), "accountnumber": "A1", "fullname": "N", "meternumber": m}
-            for i, m in enumerate(meters)]
-    rows += [{"ecgkey": "s1", "accountnumber": "A2", "fullname": "S", "meternumber": "X1"}]
-    cust = S.with_coordinate_flags(customers(spark, rows), variant="any", events=events(spark, [
-        {"meter_number": "M9", "event_time": "2024-01-01 00:00:00"}]))
-    ms = spark.createDataFrame([("M3", 4, datetime(2024, 1, 3))],
+def test_account_group_is_one_row_whatever_its_size(spark):
+    n = 100_500
+    rows = (spark.range(n).selectExpr("cast(id as string) ecgkey", "'A1' accountnumber", "'N' fullname",
+                                      "if(id % 3 = 0, null, concat('M', id % 40000)) meternumber")
+            .unionByName(spark.range(2).selectExpr("concat('s', id) ecgkey", "'A2' accountnumber", "'S' fullname", "'X1' meternumber")))
+    for c in ("phonenumber", "regionname", "districtname"):
+        rows = rows.withColumn(c, F.lit(None).cast("string"))
+    rows = rows.withColumn("has_any_coordinates", F.col("ecgkey") == "7").withColumn("geom_x", F.lit(0.0))
+    ms = spark.createDataFrame([("M1", 4, datetime(2024, 1, 3))],
                                "meternumber string, event_count long, latest_event_time timestamp")
-    out = D.account_meters(cust, ms, part_size=3).collect()
-    assert D.account_meters(cust, ms, part_size=100).filter("part > 0").count() == 0
-    big = sorted([r for r in out if r["accountnumber"] == "A1"], key=lambda r: r["part"])
-    small = [r for r in out if r["accountnumber"] == "A2"]
-    assert len(small) == 1 and small[0]["part"] == 0 and small[0]["meters"] == ["X1"]
-    assert all(r["part"] > 0 for r in big)
-    assert [m for r in big for m in r["meters"]] == ["M1", "M2", "M3", "M3", "M4", "M5", "M6", None, None]
-    assert {(r["meter_count"], r["total_events"]) for r in big} == {(9, 8)}
+    for partitions in ("3", "64"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            out = {r["accountnumber"]: r for r in D.account_meters(rows, ms).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+        users = sum(1 for i in range(n) if i % 3 and i % 40000 == 1)
+        assert len(out) == 2 and (out["A1"]["meter_count"], out["A1"]["total_events"]) == (n, 4 * users)
+        assert out["A1"]["any_meter_has_coordinates"] and out["A2"]["meter_count"] == 2
+    listed = D.account_meter_list(rows).groupBy("accountnumber").agg(F.sum("occurrences").alias("n")).collect()
+    assert {r["accountnumber"]: r["n"] for r in listed} == {"A1": n, "A2": 2}

@@ -46,7 +46,7 @@ def test_lockout_stream_equals_batch(spark, scratch):
     src = os.path.join(scratch, "att")
     df.write.parquet(src)
     stream = spark.readStream.schema(df.schema).parquet(src)
-    out = lockout_stream(stream, watermark="1 day")
+    out = lockout_stream(stream)
     q = (out.writeStream.outputMode("append").format("parquet").option("path", os.path.join(scratch, "lo"))
          .option("checkpointLocation", os.path.join(scratch, "lochk")).trigger(availableNow=True).start())
     q.awaitTermination()
@@ -123,7 +123,7 @@ def test_lockout_stream_across_micro_batches(spark, scratch):
         df.filter(f"attempt_id >= {15 * k} AND attempt_id < {15 * (k + 1)}").coalesce(1) \
           .write.mode("append").parquet(src)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    out = lockout_stream(stream, timedelta(minutes=15), 3, watermark="5 minutes")
+    out = lockout_stream(stream, timedelta(minutes=15), 3)
     q = (out.writeStream.outputMode("append").format("parquet").option("path", os.path.join(scratch, "lo"))
          .option("checkpointLocation", os.path.join(scratch, "lochk")).trigger(availableNow=True).start())
     q.awaitTermination()
@@ -132,3 +132,25 @@ def test_lockout_stream_across_micro_batches(spark, scratch):
     want = sorted((r["attempt_id"], r["counter"], r["result"])
                   for r in LO.attempt_lockouts(df, timedelta(minutes=15), 3).collect())
     assert got == want and len(got) == 90
+
+
+def test_late_attempts_get_an_outcome(spark, scratch):
+    base = datetime(2024, 1, 1)
+    schema = "user string, ts timestamp, attempt_id long, success boolean"
+    src, out_dir = os.path.join(scratch, "att"), os.path.join(scratch, "lo")
+    for part in ([("u", base + timedelta(minutes=9), 1, False), (None, base, 2, False)],
+                 [("u", base, 3, False), ("u", base + timedelta(minutes=10), 4, False), (None, base + timedelta(minutes=1), 5, False)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        out = lockout_stream(INC.read_stream(spark, src, spark.read.parquet(src).schema), timedelta(minutes=15), 3)
+        (out.writeStream.outputMode("append").format("parquet").option("path", out_dir)
+         .option("checkpointLocation", os.path.join(scratch, "chk")).trigger(availableNow=True).start().awaitTermination())
+    got = {r["attempt_id"]: (r["counter"], r["result"]) for r in spark.read.parquet(out_dir).collect()}
+    assert got == {1: (1, "failed"), 2: (1, "failed"), 3: (0, "late"), 4: (2, "failed"), 5: (2, "failed")}
+
+
+def test_state_is_kept_in_rocksdb_wherever_defaults_are_applied(spark):
+    from gridwatch.session import apply_defaults
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.unset(key)
+    apply_defaults(spark)
+    assert "RocksDB" in spark.conf.get(key)
