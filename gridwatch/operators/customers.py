@@ -263,11 +263,53 @@ def _with_position(page: DataFrame, order: list[Column]) -> DataFrame:
     return page.withColumn(POSITION, F.row_number().over(Window.orderBy(*order)))
 
 
+# Rows that a task may hold for a page: beyond, the page is found by counts.
+SHALLOW_ROWS = 10_000
+
+
+def ordered_page(df: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:
+    """Rows ``offset`` to ``offset + size`` of ``df`` in ``order`` (a total order).
+
+    A task of the plain top-K plan holds offset + size rows.  Deep pages
+    therefore range-partition the rows by the order, count each range (one
+    number per partition) and sort only the ranges that the page lies in.
+    """
+    if offset + size <= SHALLOW_ROWS:
+        return df.orderBy(*order).offset(offset).limit(size)
+    checkpoint_dir(df.sparkSession)
+    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    before, inside, skipped = 0, [], 0
+    for r in sorted(ranged.groupBy("_range").count().collect()):
+        if before + r["count"] > offset and before < offset + size:
+            skipped = before if not inside else skipped
+            inside.append(r["_range"])
+        before += r["count"]
+    part = ranged.filter(F.col("_range").isin(inside)).drop("_range")
+    return part.orderBy(*order).offset(max(0, offset - skipped)).limit(size)
+
+
 def page_rows(customers: DataFrame, f: CustomerFilter, meter_summary_df: DataFrame | None = None) -> DataFrame:
-    """The filtered customer records of one page."""
+    """The filtered customer records of one page.  A deep page is found on the
+    keys alone; its at most 200 keys then select the records."""
+    f = normalise_customer_filter(f)
+    rows, offset = filter_customers(customers, f, meter_summary_df), (f.page - 1) * f.page_size
+    if offset + f.page_size <= SHALLOW_ROWS:
+        return ordered_page(rows, customer_order(), offset, f.page_size)
+    keys = ordered_page(rows.select("fullname", "ecgkey"), customer_order(), offset, f.page_size)
+    return rows.filter(F.col("ecgkey").isin(bounded_keys(keys, "ecgkey", f.page_size))).orderBy(*customer_order())
+
+
+def customers_after(customers: DataFrame, f: CustomerFilter, fullname: str | None, ecgkey: str,
+                    meter_summary_df: DataFrame | None = None) -> DataFrame:
+    """The page that follows a customer (its name and key): no rows before it
+    are read into a sort, so the cost does not grow with the page number."""
     f = normalise_customer_filter(f)
-    return (filter_customers(customers, f, meter_summary_df).orderBy(*customer_order())
-            .offset((f.page - 1) * f.page_size).limit(f.page_size))
+    name, key = F.col("fullname"), F.col("ecgkey")
+    if fullname is None:
+        later = name.isNull() & (key > F.lit(ecgkey))
+    else:
+        later = name.isNull() | (name > F.lit(fullname)) | ((name == F.lit(fullname)) & (key > F.lit(ecgkey)))
+    return filter_customers(customers, f, meter_summary_df).filter(later).orderBy(*customer_order()).limit(f.page_size)
 
 
 def customer_page(customers: DataFrame, events: DataFrame, f: CustomerFilter,
@@ -299,7 +341,7 @@ def event_page(events: DataFrame, meter_number: str, f: EventFilter,
     adds ``page_position``, as for ``customer_page``)."""
     f = normalise_event_filter(f)
     order = [F.col(c).desc() for c in event_order(events)]
-    page = filter_events(events, f, meter_number).orderBy(*order).offset((f.page - 1) * f.page_size).limit(f.page_size)
+    page = ordered_page(filter_events(events, f, meter_number), order, (f.page - 1) * f.page_size, f.page_size)
     if with_position:
         return event_rows(_with_position(page, order), keep=[POSITION])
     return event_rows(page)

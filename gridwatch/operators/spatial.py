@@ -18,6 +18,9 @@ from gridwatch.operators import summaries as S
 # Zoom range of the map-view layer.
 MAP_MIN_ZOOM, MAP_MAX_ZOOM = 5, 20
 
+# Relations that have tiles.
+TILE_SOURCES = ("customer_map_view", "CustomerRecords", "district_event_summary")
+
 # Published properties of the map-view layer.
 MAP_LAYER_PROPERTIES = [
     "ecgkey", "meternumber", "accountnumber", "fullname", "servicetype", "serviceclass",
@@ -106,6 +109,17 @@ def tile_features(df: DataFrame, z: int, tx: int, ty: int,
             .filter((tile_x(x, z) == tx) & (tile_y(y, z) == ty)))
 
 
+def tile_of_source(source: str, layers: dict[str, DataFrame], z: int, tx: int, ty: int) -> DataFrame:
+    """Features of a tile of one of the published relations, by its name in
+    ``layers``.  Unknown names and, for the map view, zooms outside its range
+    are errors."""
+    if source not in TILE_SOURCES or source not in layers:
+        raise ValueError(f"unknown tile source {source!r}")
+    if source == TILE_SOURCES[0] and not MAP_MIN_ZOOM <= z <= MAP_MAX_ZOOM:
+        raise ValueError(f"{source} has tiles for zoom {MAP_MIN_ZOOM} to {MAP_MAX_ZOOM}")
+    return tile_features(layers[source], z, tx, ty)
+
+
 def tile_index(df: DataFrame, zmin: int = MAP_MIN_ZOOM, zmax: int = MAP_MAX_ZOOM,
                x: str = "geom_x", y: str = "geom_y", weight: str | None = None) -> DataFrame:
     """Feature count (and optional weight sum) per tile for every zoom in
@@ -126,7 +140,7 @@ def tile_index(df: DataFrame, zmin: int = MAP_MIN_ZOOM, zmax: int = MAP_MAX_ZOOM
     up = finest.select("*", z).select("tile_z", *[
         F.floor(F.col(c) / F.pow(F.lit(2.0), F.lit(zmax) - F.col("tile_z"))).cast("int").alias(name)
         for c, name in (("_x", "tile_x"), ("_y", "tile_y"))], "_n", "_w")
-    aggs = [F.sum("_n").alias("features")]
+    aggs = [F.sum("_n").cast("long").alias("features")]
     if weight:
         aggs.append(F.sum("_w").cast("long").alias("weight"))
     return up.groupBy("tile_z", "tile_x", "tile_y").agg(*aggs)

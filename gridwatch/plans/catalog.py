@@ -32,8 +32,11 @@ LOOKUP_METER = "12"
 EVENT_FILTER = EventFilter(event_desc="stdevt:", from_=parse_query_time("2024-01-05T00:00:00Z"),
                            to=parse_query_time("2024-01-20"))
 AS_OF = datetime(2024, 2, 1, 6, 30)
+AFTER = ("Customer#000000400", "000000450")
 BBOX = (-2.0, 5.0, 0.5, 8.0)
 TILE = (7, 63, 61)
+CUSTOMER_TILE = (7, 64, 60)
+DISTRICT_TILE = (2, 1, 1)
 
 
 _BASE_CACHE: dict[tuple[int, str, str], tuple[DataFrame, DataFrame]] = {}
@@ -190,13 +193,34 @@ def district_layer(spark, sf):
     return _round_geom(K.district_layer(_des(spark, sf)))
 
 
+def _stored_layer(spark: SparkSession, layer: DataFrame, tie_break: str = "ecgkey") -> DataFrame:
+    """The layer as a viewer reads it: stored clustered by tile, so that a box
+    reaches the scan."""
+    path = _scratch(spark, "layer")
+    K.write_spatial_layer(layer, path, tie_break=tie_break)
+    return spark.read.parquet(path).drop("cluster_x", "cluster_y")
+
+
 def bbox_customers(spark, sf):
-    return K.in_bbox(customer_map_view(spark, sf), *BBOX).select("ecgkey", "geom_x", "geom_y")
+    stored = _stored_layer(spark, K.map_layer(customer_map_view(spark, sf)))
+    return K.in_bbox(stored, *BBOX).select("ecgkey", "geom_x", "geom_y")
 
 
 def tile_features(spark, sf):
-    z, x, y = TILE
-    return K.tile_features(K.map_layer(customer_map_view(spark, sf)), z, x, y)
+    layers = {"customer_map_view": _stored_layer(spark, K.map_layer(customer_map_view(spark, sf)))}
+    return K.tile_of_source("customer_map_view", layers, *TILE)
+
+
+def tile_features_customers(spark, sf):
+    cust, _ = _base(spark, sf)
+    records = S.with_geom(cust).select("ecgkey", "meternumber", "geom_x", "geom_y")
+    layers = {"CustomerRecords": _stored_layer(spark, records)}
+    return K.tile_of_source("CustomerRecords", layers, *CUSTOMER_TILE)
+
+
+def tile_features_districts(spark, sf):
+    layers = {"district_event_summary": _stored_layer(spark, K.district_layer(_des(spark, sf)), "districtcode")}
+    return _round_geom(K.tile_of_source("district_event_summary", layers, *DISTRICT_TILE))
 
 
 def tile_index(spark, sf):
@@ -236,6 +260,24 @@ def customer_page_clamped(spark, sf):
     return C.page_rows(cust, f).select("ecgkey", "fullname")
 
 
+def customers_after(spark, sf):
+    """The 50 customers that follow one in the name order."""
+    cust, _ = _base(spark, sf)
+    name, key = AFTER
+    return C.customers_after(cust, CustomerFilter(), name, key).select("ecgkey", "fullname")
+
+
+def customers_deep_page(spark, sf):
+    """A page found by counted ranges, not by a top-K of all rows before it."""
+    cust, _ = _base(spark, sf)
+    keys = cust.select("fullname", "ecgkey")
+    shallow, C.SHALLOW_ROWS = C.SHALLOW_ROWS, 0
+    try:
+        return C.page_rows(keys, CustomerFilter(page=7, page_size=100)).select("ecgkey", "fullname")
+    finally:
+        C.SHALLOW_ROWS = shallow
+
+
 def customers_count(spark, sf):
     cust, _, ms = _enriched(spark, sf)
     return C.count_customers(cust, CustomerFilter(district_name="an", has_coordinates=True), ms)
@@ -482,6 +524,34 @@ def stream_event_flags(spark, sf):
         "ecgkey", "meternumber", "has_own_coordinates", "has_event_coordinates", "has_any_coordinates")
 
 
+def stream_event_changes(spark, sf):
+    """Events arrive, then some are deleted and some lose their coordinates;
+    the change stream carries the touched meters and the customers' 'any'
+    flags follow."""
+    from gridwatch.sources.readers import write_events
+    from gridwatch.streaming.incremental import event_change_flag_stream, flags_from_event_flags, read_event_flags, read_stream
+    cust, ev = _base(spark, sf)
+    root = _scratch(spark, "stream_changes")
+    k = F.col("event_id")
+    cleared = F.when(k % 3 != 1, F.col("latitude")).alias("latitude")
+    later = ev.filter(k % 3 != 0).select(*[cleared if c == "latitude" else F.col(c) for c in ev.columns])
+    for stored, touched in ((ev, ev), (later, ev.filter(k % 3 != 2))):
+        write_events(stored, f"{root}/events")
+        touched.select("meter_number").write.mode("append").parquet(f"{root}/changes")
+        changes = read_stream(spark, f"{root}/changes", touched.select("meter_number").schema)
+        event_change_flag_stream(changes, f"{root}/events", f"{root}/flags", f"{root}/_chk").awaitTermination()
+    return flags_from_event_flags(cust, read_event_flags(spark, f"{root}/flags")).select(
+        "ecgkey", "meternumber", "has_own_coordinates", "has_event_coordinates", "has_any_coordinates")
+
+
+def size_texts(spark, sf):
+    """Byte counts as the table report prints them."""
+    from gridwatch.functions.text import size_text
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    n = F.col("l_orderkey") * F.col("l_orderkey") * F.col("l_linenumber")
+    return lines.select(n.alias("bytes")).distinct().select("bytes", size_text("bytes").alias("text"))
+
+
 def geojson_features(spark, sf):
     from gridwatch.sources.exports import geojson_features as features
     cust, ev = _base(spark, sf)

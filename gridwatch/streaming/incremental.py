@@ -77,8 +77,8 @@ def read_meter_state(spark: SparkSession, state_dir: str) -> DataFrame:
 def compact_meter_state(spark: SparkSession, state_dir: str) -> str:
     """Fold the base and all later micro-batch outputs into a new base
     version (published only when written).  Batch folders up to its batch id
-    are no longer read and may be removed by retention; a replayed batch is
-    always newer than the base, so it is still picked up."""
+    are no longer read; a replayed batch is always newer than the base, so it
+    is still picked up."""
     from gridwatch.sources.sinks import SnapshotStore
     base, upto = _base_version(spark, state_dir)
     log = spark.read.option("basePath", state_dir).parquet(state_dir)
@@ -111,6 +111,13 @@ def flags_from_coordinate_meters(customers: DataFrame, coordinate_meters: DataFr
                            "has_any_coordinates": own | ev}).drop("_f_key", "_f_ev"))
 
 
+def flags_from_event_flags(customers: DataFrame, event_flags: DataFrame) -> DataFrame:
+    """'any'-variant flags of customers from ``read_event_flags``: a meter
+    whose last event with coordinates went is listed as false, and clears its
+    customers' flag."""
+    return flags_from_coordinate_meters(customers, event_flags.filter("has_event_coordinates").select("meternumber"))
+
+
 def customer_flag_stream(customer_changes: DataFrame, coordinate_meters: DataFrame) -> DataFrame:
     """Flags + geometry for changed customer rows (stream-static join)."""
     return S.with_geom(flags_from_coordinate_meters(customer_changes, coordinate_meters))

@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as E  # noqa: E402
-from gridwatch.functions.params import EventFilter, parse_query_time  # noqa: E402
+from gridwatch.functions.params import CustomerFilter, EventFilter, parse_query_time  # noqa: E402
 from gridwatch.operators import customers as C  # noqa: E402
 from gridwatch.operators import dashboards as D  # noqa: E402
 from gridwatch.operators import joins as J  # noqa: E402
+from gridwatch.operators import spatial as K  # noqa: E402
 from gridwatch.operators import summaries as S  # noqa: E402
 from gridwatch.sources import fixtures as X  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 STREAMING = {"stream_meter_summary", "stream_event_flags", "stream_customer_flags",
-             "stream_attempt_lockouts", "refresh_pipeline", "refresh_rerun", "pipeline_status", "events_month_pruned"}
+             "stream_attempt_lockouts", "refresh_pipeline", "refresh_rerun", "pipeline_status", "events_month_pruned",
+             "stream_event_changes"}
 # The training-data queries have tests of their own.
 OTHERS = {n for n in E.queries() if n not in E.QUERIES}
 
@@ -143,3 +145,39 @@ def test_spatial_layer_splits_a_crowded_tile(spark, tmp_path):
     assert len(files) >= 3                       # one tile, several tasks
     back = spark.read.parquet(path)
     assert back.select("cluster_x", "cluster_y").distinct().count() == 1 and back.count() == 4000
+
+
+def test_meter_summary_scans_the_events_once(spark):
+    plan = plan_of(S.meter_summary(X.tamper_events(spark, SF), X.customers(spark, SF)))
+    assert plan.count("events.parquet") == 1
+
+
+def test_box_reaches_the_scan_of_a_stored_layer(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        for name in ("bbox_customers", "tile_features"):
+            pushed = [x for x in plan_of(E.queries()[name](spark, SF)).splitlines() if "PushedFilters" in x]
+            assert any("GreaterThanOrEqual(geom_x" in x and "LessThanOrEqual(geom_y" in x for x in pushed)
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_deep_pages_hold_no_offset_in_a_task(spark):
+    rows = spark.range(60_000).selectExpr("cast(id % 700 as string) fullname", "lpad(cast(id as string), 9, '0') ecgkey")
+    f = CustomerFilter(page=270, page_size=200)
+    page = C.page_rows(rows, f)
+    assert "offset=53800" not in plan_of(page)
+    want = rows.orderBy(*C.customer_order()).offset(53_800).limit(200).collect()
+    assert page.collect() == want
+    after = C.customers_after(rows, CustomerFilter(page_size=200), want[9]["fullname"], want[9]["ecgkey"]).collect()
+    assert after[:190] == want[10:]
+    assert C.page_rows(rows, CustomerFilter(page=1_000_000, page_size=200)).count() == 0
+
+
+def test_tile_sources_are_checked(spark):
+    layer = spark.createDataFrame([(0.5, 6.0)], "geom_x double, geom_y double")
+    layers = {"customer_map_view": layer, "other": layer}
+    for bad in (("other", 7), ("CustomerRecords", 7), ("customer_map_view", 4), ("customer_map_view", 21)):
+        with pytest.raises(ValueError):
+            K.tile_of_source(bad[0], layers, bad[1], 64, 61)
+    assert K.tile_of_source("customer_map_view", layers, 7, 64, 61).count() == 1
