@@ -63,8 +63,6 @@ class Quantiser:
         rest = sample - self.centroids[nearest(sample, self.centroids)]
         words = max(1, min(CODEWORDS, len(sample) // 8))
         self.books = [kmeans(rest[:, p], words, 2 + k) for k, p in enumerate(self.parts)]
-        self.gaps = np.sqrt(np.maximum(1e-18, ((self.centroids[:, None] - self.centroids[None]) ** 2).sum(2))) \
-            if lists <= 512 else None
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(list, codes, error) of unit vectors."""
@@ -79,8 +77,9 @@ class Quantiser:
         """(vector, list) that are visited, as a mask."""
         d = ((self.centroids ** 2).sum(1) - 2 * x @ self.centroids.T)
         own = d[np.arange(len(x)), home]
-        gaps = self.gaps[home] if self.gaps is not None else np.stack(
-            [np.sqrt(np.maximum(1e-18, ((self.centroids - self.centroids[h]) ** 2).sum(1))) for h in home])
+        lists, at = np.unique(home, return_inverse=True)
+        c = self.centroids
+        gaps = np.sqrt(np.maximum(1e-18, (c[lists] ** 2).sum(1)[:, None] + (c ** 2).sum(1) - 2 * c[lists] @ c.T))[at]
         return (d - own[:, None]) / (2 * gaps) <= reach
 
     def tables(self, x: np.ndarray, which: int) -> list[np.ndarray]:

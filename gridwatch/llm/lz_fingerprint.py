@@ -117,23 +117,25 @@ def neighbour_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str
 
     The next document is that of the next smaller id; rows with equal ids
     follow each other in the order of a hash of their texts, null ids come
-    last, and the last document is followed by the first (a single document
+    last in an order fixed by that hash, and the last document is followed by the first (a single document
     by itself).  A null text counts as empty; equal texts have equal
     fingerprints.  Extra columns are left out; an empty table gives no rows.
     """
     spark = ready(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    chars, least = rows.agg(F.sum(F.length("text")), F.min("id")).first()
+    chars, least, nulls = rows.agg(F.sum(F.length("text")), F.min("id"), F.max(F.col("id").isNull())).first()
     ranges = min(MOST_RANGES, max(shuffle_partitions(spark), -(-(chars or 0) // CHARS_PER_RANGE)))
     bounds: list[int] = []
     if least is not None:
         marks = [k / ranges for k in range(1, ranges)]
         found = rows.agg(F.percentile_approx("id", marks, 10 * ranges)).first()[0] if marks else []
         bounds = sorted({int(x) for x in found if x > least})
-    # ranges in the order of the walk: 0 holds the largest ids, the last the nulls
-    place = F.when(F.col("id").isNull(), len(bounds) + 1).otherwise(F.lit(len(bounds)) - _position(bounds, F.col("id"))) \
-        if bounds else F.when(F.col("id").isNull(), 1).otherwise(0)
-    rows = rows.withColumn("range", place).withColumn("tie", F.xxhash64("text"))
+    # ranges in the order of the walk: 0 holds the largest ids; rows without
+    # an id come behind the smallest, dealt over ranges by a hash of the text
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    of_id = F.lit(len(bounds)) - _position(bounds, F.col("id")) if bounds else F.lit(0)
+    behind = F.lit(len(bounds) + 1) + F.pmod(F.col("tie"), F.lit(ranges if nulls else 1))
+    rows = rows.withColumn("range", F.when(F.col("id").isNull(), behind).otherwise(of_id).cast("int"))
     tops = rows.groupBy("range").agg(F.max("id").alias("top")).orderBy("range").collect()   # one row a range
     kind = df.schema[id_col].dataType.simpleString()
     out = (f"{id_col} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
@@ -148,7 +150,7 @@ def neighbour_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str
             .select(F.lit(None).cast("long").alias("id"), "first.text", F.col("previous").alias("range"),
                     F.lit(0).cast("long").alias("tie"), F.lit(True).alias("last")))
     walked = (rows.withColumn("last", F.lit(False)).unionByName(head)
-              .repartitionById(max(ranges, len(bounds) + 2), F.col("range").cast("int"))
+              .repartitionById(len(bounds) + 1 + (ranges if nulls else 0), F.col("range"))
               .sortWithinPartitions("range", "last", F.col("id").desc_nulls_last(), "tie", "text"))
 
     names = [c.split()[0] for c in out.split(", ")]

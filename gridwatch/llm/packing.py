@@ -152,7 +152,10 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
             "sequence_id": pa.array((key[0].as_py() << 40) + sequence, pa.int64()), "offset": pa.array(at, pa.int64())})
 
     order = F.xxhash64("id", "n", "digests")
-    packed = (rows.withColumn("order", order).withColumn("block", F.pmod(F.col("order"), F.lit(blocks)))
+    # the rows are checkpointed, so their numbers hold when a task is repeated;
+    # equal rows go to different blocks
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))
+    packed = (rows.withColumn("order", order).withColumn("block", block)
               .groupBy("block").applyInArrow(
                   place, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))
     return packed.withColumnRenamed("id", id_col)

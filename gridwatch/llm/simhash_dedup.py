@@ -12,8 +12,10 @@ fingerprint lives in one shard and is sent as a query to the shards whose
 boundary it overlaps.  Inside a shard the recursion goes on and surviving
 pairs are compared on all 64 bits: exact, whatever the sample was.
 
-Equal fingerprints are one node from the start, and a shard returns a
-spanning forest of the links that it found, never the pairs themselves.
+Equal fingerprints are one node from the start.  A shard that a large group of
+near copies fills is cut into blocks of members and of queries, each pair of
+blocks a group of its own; a group returns a spanning forest of the links that
+it found, never the pairs themselves.
 """
 
 from __future__ import annotations
@@ -27,13 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwatch.llm.common import cut, fresh, ready
+from gridwatch.llm.common import cut, fresh, mix64, ready
 from gridwatch.llm.components import components, spanning
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 SLICES = 3
 #: Fingerprints that the upper tree levels are drawn from, and shard size.
 SAMPLE, SHARD = 4096, 3000
+#: Members of a shard that are searched in one group.
+SPLIT = 16384
 #: Pairs compared at once.
 BLOCK = 1 << 18
 
@@ -162,26 +166,58 @@ def fingerprint_links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     sample = np.array([r[0] for r in rows], np.int64).view(np.uint64)
     depth = max(0, math.ceil(math.log2(max(1, n / SHARD))))
     trees = [upper_levels(sample, m, depth) for m in masks]
-    shard = "tree int, leaf long, fp long, home boolean"
+    split = SPLIT
+
+    def each_leaf(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        x = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        for t, (tree, mask) in enumerate(zip(trees, masks, strict=True)):
+            for leaf, rows, home in shards_of(x, tree, mask, radius):
+                yield t, leaf, x[rows], home
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(t, leaf, int(home.sum())) for t, leaf, _, home in each_leaf(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(
+                (pa.int32(), pa.int64(), pa.int64()))], names=["tree", "leaf", "n"])
+
+    # one row a leaf, and the sample bounds the leaves
+    sizes = (nodes.select("fp").mapInArrow(count, "tree int, leaf long, n long").groupBy("tree", "leaf")
+             .agg(F.sum("n").alias("n")).collect())
+    blocks = {(r["tree"], r["leaf"]): max(1, -(-r["n"] // split)) for r in sizes}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for t, (tree, mask) in enumerate(zip(trees, masks, strict=True)):
-                for leaf, rows, home in shards_of(x, tree, mask, radius):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(rows), t, np.int32)), pa.array(np.full(len(rows), leaf, np.int64)),
-                         pa.array(x[rows].view(np.int64)), pa.array(home)], names=["tree", "leaf", "fp", "home"])
+            for t, leaf, x, home in each_leaf(batch):
+                n = blocks.get((t, leaf), 1)
+                own = (mix64(x) >> np.uint64(17)).astype(np.int64) % n
+                # a pair of members meets where the lower block's is the member
+                for m in range(n):
+                    for q in range(m, n) if n > 1 else (0,):
+                        member = home & (own == m)
+                        query = home & (own == q)
+                        some = member | query
+                        yield _rows(t, leaf, m, q, x[some], member[some], query[some])
+                    for q in range(n):
+                        some = ~home & (own == q)
+                        yield _rows(t, leaf, m, q, x[some], home[some], ~home[some])
 
     def search(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         x = table.column("fp").to_numpy().astype(np.int64).view(np.uint64)
-        home = table.column("home").to_numpy(zero_copy_only=False).astype(bool)
-        x, order = np.sort(x), np.argsort(x)
-        u, v = links(x[home[order]], x, masks[key[0].as_py()], radius, max_bits)
+        order = np.argsort(x, kind="stable")
+        member, query = (table.column(c).to_numpy(zero_copy_only=False).astype(bool)[order] for c in ("member", "query"))
+        u, v = links(x[order][member], x[order][query], masks[key[0].as_py()], radius, max_bits)
         return pa.table({"u": pa.array(u.view(np.int64)), "v": pa.array(v.view(np.int64))})
 
-    return (nodes.select("fp").mapInArrow(deal, shard).groupBy("tree", "leaf")
-            .applyInArrow(search, "u long, v long"))
+    return (nodes.select("fp").mapInArrow(deal, "tree int, leaf long, members int, queries int, fp long, member boolean, query boolean")
+            .groupBy("tree", "leaf", "members", "queries").applyInArrow(search, "u long, v long"))
+
+
+def _rows(tree: int, leaf: int, members: int, queries: int, x: np.ndarray, member: np.ndarray, query: np.ndarray) -> pa.RecordBatch:
+    n = len(x)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(n, tree, np.int32)), pa.array(np.full(n, leaf, np.int64)), pa.array(np.full(n, members, np.int32)),
+         pa.array(np.full(n, queries, np.int32)), pa.array(x.view(np.int64)), pa.array(member), pa.array(query)],
+        names=["tree", "leaf", "members", "queries", "fp", "member", "query"])
 
 
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",

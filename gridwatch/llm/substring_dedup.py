@@ -7,7 +7,7 @@ difference of two cover entries.  Only anchors (short windows at cover
 positions, 4 of 13) are compared over the whole corpus; windows that hold a
 repeated anchor are then extended to their full length and compared.
 
-Documents are dealt once into hash groups of their id.  A group sends each
+Documents are dealt once into hash groups of their id and text.  A group sends each
 distinct anchor, and later each distinct candidate window, once, so a passage
 that a third of all documents share costs one entry per group and no pair is
 ever listed.  The three passes read one shuffle of the texts (Spark reuses
@@ -135,8 +135,9 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cover it also start earlier: in a smaller id, or earlier in the same
     document.  Windows are judged on the input.  Kept words are joined by one
     space.  Null text: no words, empty ``kept_text``.  Texts under ``window``
-    words are kept whole.  Rows with equal ids count as documents in the
-    order of their texts; null ids come last.  Extra columns pass through;
+    words are kept whole.  Rows with equal ids count as documents in an
+    order fixed by a hash, null ids come last in such an order; neither meet in
+    one group.  Extra columns pass through;
     new columns whose name is taken replace that column.  An empty table
     gives an empty table.
     """
@@ -148,7 +149,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = groups_for(spark, chars, CHARS_PER_GROUP)
     buckets = groups_for(spark, chars // 16, ANCHORS_PER_BUCKET, least=1)
     part = fresh("__group", df.columns)
-    dealt = df.withColumn(part, F.pmod(F.xxhash64(F.col(id_col)), F.lit(groups)))
+    dealt = df.withColumn(part, F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(groups)))
 
     sent = "bucket long, part long, keys array<long>"
 
@@ -178,7 +179,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def repeated_windows(table: pa.Table) -> pa.Table:
         one, two, ids = (_longs(table, c) for c in ("keys", "more", "ids"))
         parts = _owners(table, "keys")
-        order = np.lexsort((parts, ids, two, one))     # equal ids lie in one group: no other tie
+        order = np.lexsort((parts, ids, two, one))     # equal ids: in the order of their groups
         one, two, parts = one[order], two[order], parts[order]
         again = np.zeros(len(one), bool)
         again[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])

@@ -84,6 +84,7 @@ def test_spark_hashes_shingles_alike(spark):
 @pytest.mark.parametrize("bits", [2, 4, 5, 7])
 def test_vantage_point_forest_finds_every_pair(spark, monkeypatch, bits):
     monkeypatch.setattr(S, "SHARD", 60)
+    monkeypatch.setattr(S, "SPLIT", 25)
     rng = np.random.default_rng(bits)
     base = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
     near = base.copy()
@@ -199,6 +200,9 @@ def test_fingerprint_odd_inputs(odd_docs):
     assert ones[0].fingerprint == ones[1].fingerprint and 1.0 in {r.near_next for r in ones}
     assert all(r.n_chars == 0 and r.fingerprint == "" for r in rows if r.doc_id in (2, 3))
     assert L.neighbour_fingerprints(odd_docs.limit(0)).count() == 0
+    nulls = odd_docs.where("doc_id is null").unionByName(odd_docs.where("doc_id = 6")).unionByName(
+        odd_docs.selectExpr("cast(null as long) doc_id", "text", "lang", "source", "n_chars"))
+    assert L.neighbour_fingerprints(nulls).count() == 11
     single = L.neighbour_fingerprints(odd_docs.where("doc_id = 6")).collect()
     assert [r.near_next for r in single] == [1.0]
 
