@@ -55,7 +55,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local tests.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path and not spark.conf.get("spark.master", "").startswith("local["):
+    master = spark.conf.get("spark.master", "")
+    if not path and master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a shared folder")
     if not path:
         path = tempfile.mkdtemp(prefix="gridwatch-ckpt-")
