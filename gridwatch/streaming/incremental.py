@@ -76,16 +76,28 @@ def read_meter_state(spark: SparkSession, state_dir: str) -> DataFrame:
 
 def compact_meter_state(spark: SparkSession, state_dir: str) -> str:
     """Fold the base and all later micro-batch outputs into a new base
-    version (published only when written).  Batch folders up to its batch id
-    are no longer read; a replayed batch is always newer than the base, so it
-    is still picked up."""
+    version (published only when written).  Batch folders up to the *previous*
+    base are then removed: a reader that still holds that base reads only
+    later ones, and a replayed batch is always newer than the base."""
     from gridwatch.sources.sinks import SnapshotStore
     base, upto = _base_version(spark, state_dir)
     log = spark.read.option("basePath", state_dir).parquet(state_dir)
     log = log.filter(F.col("batch_id") > upto).select("meter_number", "_n", "_le", "batch_id")
     if base is not None:
         log = spark.read.parquet(base).select("meter_number", "_n", "_le", "batch_id").unionByName(log)
-    return SnapshotStore(spark, f"{state_dir}_base").write("meters", _newest_per_meter(log))
+    path = SnapshotStore(spark, f"{state_dir}_base").write("meters", _newest_per_meter(log))
+    _remove_batches(spark, state_dir, upto)
+    return path
+
+
+def _remove_batches(spark: SparkSession, state_dir: str, upto: int) -> None:
+    """Delete the folders ``batch_id=k`` with k at most ``upto``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(state_dir)
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for entry in fs.listStatus(folder):
+        name = entry.getPath().getName()
+        if name.startswith("batch_id=") and int(name.removeprefix("batch_id=")) <= upto:
+            fs.delete(entry.getPath(), True)
 
 
 def coordinate_meter_stream(events: DataFrame, out_dir: str, checkpoint: str,

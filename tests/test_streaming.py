@@ -72,6 +72,7 @@ def test_meter_state_compaction(spark, scratch):
     got = sorted(INC.read_meter_state(spark, state).collect())
     want = sorted(S.events_per_meter(spark.read.parquet(src), "max_by").collect())
     assert got == want and len(got) == 3
+    assert sorted(n for n in os.listdir(state) if n.startswith("batch_id=")) == ["batch_id=1", "batch_id=2"]
 
 
 def test_meter_state_compacts_inside_the_sink(spark, scratch):
