@@ -190,16 +190,14 @@ def fingerprint_links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             for t, leaf, x, home in each_leaf(batch):
                 n = blocks.get((t, leaf), 1)
                 own = (mix64(x) >> np.uint64(17)).astype(np.int64) % n
-                # a pair of members meets where the lower block's is the member
+                # every block of members meets every block of visitors; a pair of
+                # members meets where the lower block's is the member
                 for m in range(n):
-                    for q in range(m, n) if n > 1 else (0,):
+                    for q in range(n):
                         member = home & (own == m)
-                        query = home & (own == q)
+                        query = (own == q) & (~home | (m <= q))
                         some = member | query
                         yield _rows(t, leaf, m, q, x[some], member[some], query[some])
-                    for q in range(n):
-                        some = ~home & (own == q)
-                        yield _rows(t, leaf, m, q, x[some], home[some], ~home[some])
 
     def search(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         x = table.column("fp").to_numpy().astype(np.int64).view(np.uint64)

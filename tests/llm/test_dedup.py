@@ -99,6 +99,21 @@ def test_vantage_point_forest_finds_every_pair(spark, monkeypatch, bits):
     assert groups(len(x), [(at[u], at[v]) for u, v in found]) == want
 
 
+def test_neighbouring_shards_of_different_block_numbers_meet(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARD", 400)
+    monkeypatch.setattr(S, "SPLIT", 100)
+    rng = np.random.default_rng(11)
+    # five bits, one of them in the first slice: only that slice's tree can find the pair
+    base = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    low, middle, high = (np.array([rng.choice(np.arange(a, b), n, replace=False) for _ in base], np.uint64)
+                         for a, b, n in ((0, 21, 1), (21, 43, 2), (43, 64, 2)))
+    near = base ^ np.bitwise_or.reduce(np.uint64(1) << np.concatenate([low, middle, high], axis=1), axis=1)
+    df = spark.createDataFrame([(int(v),) for v in np.concatenate([base, near]).view(np.int64)], "fp long")
+    found = {frozenset((r.u, r.v)) for r in S.fingerprint_links(df, 5).collect()}
+    planted = zip(base.view(np.int64).tolist(), near.view(np.int64).tolist(), strict=True)
+    assert [p for p in planted if frozenset(p) not in found] == []
+
+
 def test_simhash_odd_inputs(odd_docs, spark):
     got = S.simhash_components(odd_docs).collect()
     assert len(got) == odd_docs.count()
