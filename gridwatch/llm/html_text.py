@@ -6,7 +6,9 @@ the elements around it.  A line's text-to-tag ratio, with boilerplate
 elements at zero, is smoothed along the page by a Gaussian; lines above a
 threshold cluster into content.  The region is the innermost element that
 holds most of that content (an article, where one does), and its lines are
-returned, boilerplate inside it left out.
+returned, boilerplate inside it left out.  A form, or an element whose names
+mark it as boilerplate, is left out only if it doesn't hold most of the page's
+unlinked text.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ SIGMA, REACH, LEVEL, MAJORITY, ARTICLE_SHARE, LINKED = 1.0, 2, 0.5, 0.7, 0.3, 0.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Never content.
 SKIPPED = frozenset("""head title script style noscript template iframe object svg math canvas audio video map
-nav aside footer form button select option textarea label fieldset dialog menu datalist""".split())
+nav aside footer button select option textarea label fieldset dialog menu datalist""".split())
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset
 figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section
 summary table tbody tfoot thead tr ul""".split())
@@ -39,19 +41,37 @@ ENDS_P = BLOCKS - {"caption", "tbody", "thead", "tfoot", "tr", "body", "html"}
 #: An open one of these ends where the next begins.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}}
 SCOPES = frozenset("article section div main body td th table ul ol dl blockquote".split())
-#: Words of class, id or role that mark boilerplate.
+#: Words of class, id or role that mark boilerplate, where a name has no others than these and ``AROUND``.
 MARKED = frozenset("""ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion
 banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup
 sidebar side rail widget widgets menu nav navbar navigation breadcrumb breadcrumbs pagination pager toc
 header masthead footer colophon copyright comment comments commentlist disqus reply replies respond
-share sharing social related recommended recommendations teaser login search form toolbar skip""".split())
+share sharing social related recommended recommendations teaser login search toolbar skip""".split())
+AROUND = frozenset("""main site page global top bottom left right primary secondary inner outer wrap wrapper container box area
+list item items section block bar link links button buttons icon icons panel slot unit group form google posts articles
+stories recent""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A form or marked element with more than this part of the unlinked text is content.
+FORM_SHARE, MARKED_SHARE = 0.5, MAJORITY
 #: Also in an article these words may name the article's own head.
 OWN_HEAD = frozenset({"header"})
 
 
-def _marks(attrs: list[tuple[str, str | None]]) -> set[str]:
-    named = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
-    return {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", named)}
+def _words(name: str) -> set[str]:
+    return {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", name)}
+
+
+def _marked(tag: str, attrs: list[tuple[str, str | None]], article: bool) -> bool:
+    """Is one of the names a boilerplate name as a whole?  Ids of headings, and
+    of sections in an article, are made from their titles and tell nothing."""
+    slug = tag in HEADINGS or (article and tag == "section")
+    for k, v in attrs:
+        if k in ("class", "role") or (k == "id" and not slug):
+            for name in (v or "").split():
+                words = _words(name)
+                if words & (MARKED - OWN_HEAD if article else MARKED) and words <= MARKED | AROUND:
+                    return True
+    return False
 
 
 def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
@@ -61,14 +81,15 @@ def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Lines as (text, tags, linked characters, boilerplate, scopes)."""
+    """Lines as (text, tags, linked characters, boilerplate, scopes, doubtful elements)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, int, bool, tuple[int, ...], tuple[int, ...]]] = []
         self.kinds: list[str] = ["page"]                 # scope number: element
-        # open elements: (tag, boilerplate, scopes, in article)
-        self.open: list[tuple[str, bool, tuple[int, ...], bool]] = [("", False, (0,), False)]
+        self.shares: list[float] = []                    # of a doubtful element: the part that makes it content
+        # open elements: (tag, boilerplate, scopes, in article, doubtful elements)
+        self.open: list[tuple[str, bool, tuple[int, ...], bool, tuple[int, ...]]] = [("", False, (0,), False, ())]
         self.words: list[str] = []
         self.tags = self.linked = self.links = 0
 
@@ -78,8 +99,8 @@ class _Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.words).split())
         if text or self.tags:
-            _, skip, scopes, _ = self.open[-1]
-            self.lines.append((text, self.tags, self.linked, skip, scopes))
+            _, skip, scopes, _, doubtful = self.open[-1]
+            self.lines.append((text, self.tags, self.linked, skip, scopes, doubtful))
         self.words, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -94,17 +115,17 @@ class _Lines(HTMLParser):
             if tag in ("br", "hr", "img"):
                 self.words.append(" ")
             return
-        _, skip, scopes, article = self.open[-1]
-        marks = _marks(attrs) if attrs else set()
-        if article:
-            marks = marks - OWN_HEAD
-        skip = skip or tag in SKIPPED or (tag == "header" and not article) or (bool(attrs) and _hidden(attrs)) \
-            or (bool(marks & MARKED) and tag not in ("html", "body", "article", "main"))
-        article = article or tag in ("article", "main") or "main" in marks
+        _, skip, scopes, article, doubtful = self.open[-1]
+        skip = skip or tag in SKIPPED or (tag == "header" and not article) or (bool(attrs) and _hidden(attrs))
+        if tag == "form" or (attrs and tag not in ("html", "body", "article", "main") and _marked(tag, attrs, article)):
+            doubtful = (*doubtful, len(self.shares))
+            self.shares.append(FORM_SHARE if tag == "form" else MARKED_SHARE)
+        article = article or tag in ("article", "main") or any(
+            "main" in _words(v or "") for k, v in attrs if k in ("class", "id", "role"))
         if tag in SCOPES or tag in ("article", "main"):
             scopes = (*scopes, len(self.kinds))
             self.kinds.append("article" if tag in ("article", "main") else tag)
-        self.open.append((tag, skip, scopes, article))
+        self.open.append((tag, skip, scopes, article, doubtful))
         self.links += tag == "a"
         if tag in ("td", "th"):
             self.words.append(" ")
@@ -164,7 +185,14 @@ def main_text(html: str | None) -> str:
         return ""
     size = np.array([len(x[0]) for x in lines], float)
     skip = np.array([x[3] for x in lines])
-    linked = np.array([x[2] for x in lines]) > LINKED * np.maximum(size, 1)
+    in_links = np.array([x[2] for x in lines])
+    linked = in_links > LINKED * np.maximum(size, 1)
+    plain = np.where(skip, 0, np.maximum(size - in_links, 0))
+    held = np.zeros(len(parser.shares))
+    for k, x in enumerate(lines):
+        held[list(x[5])] += plain[k]
+    boilerplate = held <= np.array(parser.shares) * plain.sum()
+    skip = skip | np.array([bool(x[5]) and bool(boilerplate[list(x[5])].any()) for x in lines])
     ratio = np.where(skip | linked, 0, size) / np.maximum([x[1] for x in lines], 1)
     smooth = _smooth(ratio)
     usable = ~skip & (size > 0)
@@ -184,7 +212,13 @@ def main_text(html: str | None) -> str:
         region = max(k for k in range(len(mass)) if mass[k] >= MAJORITY * total)
     inside = np.array([region in x[4] for x in lines])
     if not articles:
-        usable = usable & ~(linked & ~chosen)
+        # a linked line stays where content is on both sides of it
+        at = np.flatnonzero(chosen)
+        amid = np.zeros(len(lines), bool)
+        for a, b in zip(at, at[1:], strict=False):
+            between = np.arange(a + 1, b)[usable[a + 1:b]]
+            amid[between] = len(between) <= REACH and bool(linked[between].all())
+        usable = usable & ~(linked & ~amid)
     return "\n".join(lines[k][0] for k in np.flatnonzero(usable & inside))
 
 

@@ -214,6 +214,25 @@ def test_boilerplate_goes_and_blocks_stay(shell):
     assert H.main_text(PAGE % (shell % body)).split("\n") == want
 
 
+@pytest.mark.parametrize("html", [
+    "<article><section id='side-effects'><h2 id='social-impact'>Effects</h2><p>%s</p></section><p class='form'>%s</p></article>",
+    "<article><h2 id='comments'>Effects</h2><section id='social'><p>%s</p></section><p>%s</p></article>",
+    "<div class='has-sidebar'><h2>Effects</h2><p>%s</p><p>%s</p></div>",
+    "<div id='page' class='with-header'><h2>Effects</h2><p>%s</p><p>%s</p></div>",
+    "<form id='aspnetForm'><input type=hidden><div><h2>Effects</h2><p>%s</p><p>%s</p></div></form>",
+    "<div class='sidebar'><h2>Effects</h2><p>%s</p><p>%s</p></div>"])
+def test_names_and_forms_do_not_empty_a_page(html):
+    page = f"<html><body><nav><a href=/>Home</a></nav>{html}<footer>{LONG}</footer></body></html>"
+    assert H.main_text(page % (LONG, LONG)).split("\n") == ["Effects", LONG, LONG]
+
+
+def test_linked_line_amid_content_stays():
+    html = f"<div><p>{LONG}</p><p><a href=/x>{LONG}</a></p><p>{LONG}</p>"
+    assert H.main_text(html + "</div>").split("\n") == [LONG] * 3
+    links = "<ul>" + f"<li><a href=/y>{LONG}</a>" * 6 + "</ul></div>"
+    assert H.main_text(html + links).split("\n") == [LONG] * 3
+
+
 def test_html_odd_inputs(spark):
     assert H.main_text(None) == H.main_text("") == H.main_text("<html><nav>x</nav>") == ""
     assert H.main_text("plain words") == "plain words"
