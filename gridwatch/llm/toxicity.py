@@ -10,8 +10,9 @@ word counts that both classes share, so an expression that is rare in either
 class is smoothed by the same distribution.
 
 The log-likelihood ratio is compared per word over the whole text (see
-``FEATURES``); a logistic fit on labelled rows that are kept out of the counts
-turns these length-normalised figures into a score.
+``FEATURES``); a logistic fit turns these length-normalised figures into a
+score.  It is made on a sample of each class, by models that don't count the
+sampled rows; documents are then scored by models that count every row.
 
 Counts cover all labelled rows and are made and summed by Spark.  What a task
 holds is a hashed table of fixed size (``WORD_SLOTS``, ``STEM_SLOTS``): words
@@ -34,7 +35,8 @@ from gridwatch.llm.common import cut, held_out, ready, training_rows
 
 STEM, THRESHOLD = 4, 0.7
 WORD_SLOTS, STEM_SLOTS = 1 << 21, 1 << 18
-#: One training row in so many calibrates; at most so many are fitted.
+#: One training row of each class in so many calibrates, or so few that both
+#: classes together have about this many rows; always one at least.
 CALIBRATE_ONE_IN, CALIBRATE_ROWS = 5, 20_000
 #: Characters counted and scored at once.
 COUNT_CHARS, SCORE_CHARS = 1 << 22, 1 << 20
@@ -44,6 +46,7 @@ COUNT_CHARS, SCORE_CHARS = 1 << 22, 1 << 20
 FEATURES, TOP, STRONG = 7, 16, 2.0
 
 _MARKS = string.punctuation + "\u00a1\u00ab\u00b7\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u2026"
+COUNTS = ("toxic", "ordinary", "toxic_fit", "ordinary_fit")
 _digest = xxhash.xxh3_64_intdigest
 
 
@@ -52,28 +55,30 @@ def expressions(text: str) -> list[str]:
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
-    """``(word, stem, toxic, ordinary)``: hash slots' keys and in how many
-    documents of each class a word occurs, over ``labelled(text, toxic)``.  A
-    task adds up its own documents before the shuffle."""
+    """``(word, stem, toxic, ordinary, toxic_fit, ordinary_fit)``: hashes and in
+    how many documents of each class a word occurs, and in how many of these
+    that don't calibrate, over ``labelled(text, toxic, calibrates)``.  A task
+    adds up its own documents before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[dict, dict] = ({}, {})
+        # by class, first the rows that don't calibrate
+        seen: tuple[dict, dict, dict, dict] = ({}, {}, {}, {})
         held = 0
 
         def flush() -> pa.RecordBatch:
-            words = list(seen[0].keys() | seen[1].keys())
+            words = list(set().union(*seen))
+            n = [np.fromiter((c.get(w, 0) for w in words), np.int64, len(words)) for c in seen]
             out = pa.RecordBatch.from_arrays([
                 pa.array(np.fromiter((_digest(w) for w in words), np.uint64, len(words)).view(np.int64)),
                 pa.array(np.fromiter((_digest(w[:STEM]) for w in words), np.uint64, len(words)).view(np.int64)),
-                pa.array([seen[1].get(w, 0) for w in words], pa.int64()),
-                pa.array([seen[0].get(w, 0) for w in words], pa.int64())], names=["word", "stem", "toxic", "ordinary"])
-            seen[0].clear()
-            seen[1].clear()
+                *map(pa.array, (n[1] + n[3], n[0] + n[2], n[1], n[0]))], names=["word", "stem", *COUNTS])
+            for c in seen:
+                c.clear()
             return out
 
         for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
-                counts, text = seen[toxic.as_py()], text.as_py()
+            for text, kind in zip(batch.column(0), batch.column(1), strict=True):
+                counts, text = seen[kind.as_py()], text.as_py()
                 for w in set(expressions(text)):
                     counts[w] = counts.get(w, 0) + 1
                 held += len(text)
@@ -82,9 +87,9 @@ def word_counts(labelled: DataFrame) -> DataFrame:
                     held = 0
         yield flush()
 
-    return (labelled.select("text", F.col("toxic").cast("int"))
-            .mapInArrow(count, "word long, stem long, toxic long, ordinary long")
-            .groupBy("word", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
+    return (labelled.select("text", F.col("toxic").cast("int") + 2 * F.col("calibrates").cast("int"))
+            .mapInArrow(count, "word long, stem long, " + ", ".join(f"{c} long" for c in COUNTS))
+            .groupBy("word", "stem").agg(*[F.sum(c).alias(c) for c in COUNTS]))
 
 
 class Model:
@@ -157,32 +162,55 @@ def _discounted(discount: list[float], total: list[int]) -> list:
             for c, d, n in zip(("toxic", "ordinary"), discount, total, strict=True)]
 
 
-def train(spark: SparkSession, labelled: DataFrame) -> Model:
-    """Counts over all rows of ``labelled(text, toxic, calibrates, order)``
-    that do not calibrate, then the logistic fit on those that do."""
-    words = cut(word_counts(labelled.where("not calibrates")))
+def calibration(keys: DataFrame) -> dict[bool, tuple[int, int]]:
+    """Per class of ``keys(toxic, order)``: its rows, and the hash up to which
+    they calibrate."""
+    out = {}
+    for r in keys.groupBy("toxic").agg(F.count("*").alias("n"), F.min("order").alias("least")).collect():
+        part = min(1 / CALIBRATE_ONE_IN, CALIBRATE_ROWS / 2 / r["n"])
+        out[r["toxic"]] = r["n"], max(r["least"], int(part * 2 ** 64) - 2 ** 63)
+    return out
+
+
+def counted(words: DataFrame, toxic: str, ordinary: str) -> Model:
+    """The models of two count columns of ``words``."""
+    words = words.select("word", "stem", F.col(toxic).alias("toxic"), F.col(ordinary).alias("ordinary")).where("toxic + ordinary > 0")
     stems = cut(words.groupBy("stem").agg(F.sum((F.col("toxic") > 0).cast("long")).alias("toxic"),
                                           F.sum((F.col("ordinary") > 0).cast("long")).alias("ordinary"),
                                           F.sum(F.col("toxic") + F.col("ordinary")).alias("uses")))
     d, back, total = _discounts(words)
     sd, stem_back, stem_total = _discounts(stems)
     both = (F.col("toxic") + F.col("ordinary")).alias("both")
-    model = Model(
+    return Model(
         _table(words.select("word", *_discounted(d, total), both), "word", WORD_SLOTS, ["toxic", "ordinary", "both"]),
         _table(stems.select("stem", *_discounted(sd, stem_total), both, "uses"), "stem", STEM_SLOTS,
                ["toxic", "ordinary", "both", "uses"]), np.array(back), np.array(stem_back))
-    sample = (features(spark, labelled.where("calibrates"), model, "text").orderBy("order").limit(CALIBRATE_ROWS)
-              .select("toxic", "features").collect())
-    y = np.array([r[0] for r in sample], np.float64)
-    x = np.array([r[1] for r in sample], np.float64).reshape(-1, FEATURES)
-    model.fit, model.bias = logistic(x, y)
+
+
+def train(spark: SparkSession, labelled: DataFrame, calibrating: DataFrame, sizes: dict[bool, int]) -> Model:
+    """Counts over all rows of ``labelled(text, toxic, calibrates, order)``; the
+    logistic fit on ``calibrating``, those of its rows that calibrate, by counts
+    over the others.  ``sizes``: labelled rows of each class."""
+    words = cut(word_counts(labelled))
+    # copies of a row count once; few rows, as the hash bounds them
+    sample = (features(spark, calibrating, counted(words, "toxic_fit", "ordinary_fit"), "text")
+              .select("order", "toxic", "features").distinct().orderBy("order").limit(2 * CALIBRATE_ROWS).collect())
+    y = np.array([r["toxic"] for r in sample], bool)
+    x = np.array([r["features"] for r in sample], np.float64).reshape(-1, FEATURES)
+    weight = np.zeros(len(y))
+    for toxic, n in sizes.items():
+        weight[y == toxic] = n / max(1, (y == toxic).sum())
+    model = counted(words, "toxic", "ordinary")
+    model.fit, model.bias = logistic(x, y.astype(np.float64), weight=weight / weight.mean() if len(y) else weight)
     return model
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2,
+             weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Newton's method with a small ridge, on scaled features; one class only
     leaves its share alone."""
-    share = (y.sum() + .5) / (len(y) + 1)
+    weight = np.ones(len(y)) if weight is None else weight
+    share = ((weight * y).sum() + .5) / (weight.sum() + 1)
     if not 0 < y.sum() < len(y):
         return np.zeros(x.shape[1]), math.log(share / (1 - share))
     mean, dev = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -190,8 +218,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndar
     w = np.zeros(z.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-        g = z.T @ (p - y) + ridge * w
-        h = (z * (p * (1 - p) + 1e-6)[:, None]).T @ z + ridge * np.eye(len(w))
+        g = z.T @ (weight * (p - y)) + ridge * w
+        h = (z * (weight * (p * (1 - p) + 1e-6))[:, None]).T @ z + ridge * np.eye(len(w))
         step = np.linalg.solve(h, g)
         w -= step * min(1, 4 / (np.abs(step).max() + 1e-9))
     return w[:-1] / dev, float(w[-1] - (w[:-1] * mean / dev).sum())
@@ -234,11 +262,17 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # joined by shuffle at every size: the labels grow with the corpus
     marks = (labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
              .agg((F.max(label_col) > 0).alias("toxic")))
-    code = F.crc32(F.col("id").cast("string").cast("binary"))
-    labelled = (rows.where(training_rows("id") & F.col("text").isNotNull()).join(marks.hint("merge"), "id")
-                .select("text", "toxic", (F.floor(code / 3) % CALIBRATE_ONE_IN == 0).alias("calibrates"),
-                        F.xxhash64("id", "text").alias("order")))
-    model = train(spark, labelled)
+    taught = rows.where(training_rows("id") & F.col("text").isNotNull()).withColumn("order", F.xxhash64("id"))
+    ends = calibration(taught.select("id", "order").join(marks.hint("merge"), "id").select("toxic", "order"))
+    end = F.when(F.col("toxic"), ends.get(True, (0, -2 ** 63))[1]).otherwise(ends.get(False, (0, -2 ** 63))[1])
+
+    def labelled(part: DataFrame) -> DataFrame:
+        return (part.join(marks.hint("merge"), "id")
+                .select("text", "toxic", (F.col("order") <= end).alias("calibrates"), "order"))
+
+    # only the hashes that can calibrate are joined again
+    few = taught.where(F.col("order") <= max((e for _, e in ends.values()), default=-2 ** 63))
+    model = train(spark, labelled(taught), labelled(few).where("calibrates"), {k: n for k, (n, _) in ends.items()})
     shared = features(spark, rows.withColumn("held_out", held_out("id")), model, "text", "f")
     logit = sum((F.get("f", F.lit(k)) * float(w) for k, w in enumerate(model.fit)), F.lit(model.bias))
     score = 1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(40.0)), F.lit(-40.0))))

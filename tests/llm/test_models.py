@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -98,6 +99,31 @@ def test_toxicity_odd_inputs(odd_docs, spark):
     assert X.toxicity(odd_docs, labels.limit(0)).count() == 9
 
 
+def test_every_labelled_row_is_counted(spark):
+    ids = [k for k in range(60) if not is_held_out(k)]
+    rows = [(k, f"zorg{k} " + ("vile filth " if k % 4 == 0 else "calm meadow ") + f"w{k}") for k in ids]
+    rows += [(1000 + k, f"some zorg{k} thing") for k in ids]
+    labels = [(k, int(k % 4 == 0)) for k in ids]
+    models = []
+    with pytest.MonkeyPatch.context() as patch:
+        make = X.train
+        patch.setattr(X, "train", lambda *a: models.append(make(*a)) or models[-1])
+        out = X.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+        got = {r.doc_id: r.score for r in out.collect()}
+    names = [f"zorg{k}" for k in ids]
+    assert ((models[0].log_ratios(names) > models[0].log_ratios(["zorgon"])[0]) == [k % 4 == 0 for k in ids]).all()
+    assert min(got[k] for k in ids if k % 4 == 0) > max(got[k] for k in ids if k % 4)
+
+
+def test_few_labels_of_both_kinds_fit(spark):
+    ids = [k for k in range(200) if not is_held_out(k) and zlib.crc32(str(k).encode()) // 3 % 5 != 0][:8]
+    rows = [(k, f"{'vile filth' if n < 2 else 'calm meadow'} today n{k}") for n, k in enumerate(ids)] + [(500, "vile filth"), (501, "calm meadow")]
+    labels = [(k, int(n < 2)) for n, k in enumerate(ids)]
+    out = X.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in out.collect()}
+    assert got[500] > got[501]
+
+
 def test_logistic_separates():
     x = np.array([[0.0], [1], [2], [3]] * 20)
     w, b = X.logistic(x, (x[:, 0] > 1.5).astype(float))
