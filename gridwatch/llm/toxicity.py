@@ -15,8 +15,9 @@ score.  It is made on a sample of each class, by models that don't count the
 sampled rows; documents are then scored by models that count every row.
 
 Counts cover all labelled rows and are made and summed by Spark.  What a task
-holds is a hashed table of fixed size (``WORD_SLOTS``, ``STEM_SLOTS``): words
-that share a slot share their counts.
+holds is a table of every different word (20 bytes each) and stem (24 bytes)
+of the labelled rows, found by hash: it grows with them, and no two words share
+their counts.
 """
 
 from __future__ import annotations
@@ -34,7 +35,6 @@ from pyspark.sql import functions as F
 from gridwatch.llm.common import cut, held_out, ready, training_rows
 
 STEM, THRESHOLD = 4, 0.7
-WORD_SLOTS, STEM_SLOTS = 1 << 21, 1 << 18
 #: One training row of each class in so many calibrates, or so few that both
 #: classes together have about this many rows; always one at least.
 CALIBRATE_ONE_IN, CALIBRATE_ROWS = 5, 20_000
@@ -93,20 +93,23 @@ def word_counts(labelled: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Tables by slot, class columns toxic and ordinary: ``words`` discounted
-    counts / total, and the shared count; ``stems`` likewise, the shared
-    count of different words and that of all occurrences."""
+    """Tables in order of ``keys`` (hashes of words, of stems), class columns
+    toxic and ordinary: ``words`` discounted counts / total, and the shared
+    count; ``stems`` likewise, the shared count of different words and that of
+    all occurrences.  What has no key counts zero."""
 
-    def __init__(self, words: np.ndarray, stems: np.ndarray, back: np.ndarray, stem_back: np.ndarray):
+    def __init__(self, words: np.ndarray, stems: np.ndarray, back: np.ndarray, stem_back: np.ndarray,
+                 keys: tuple[np.ndarray, np.ndarray] | None = None):
         self.words, self.stems, self.back, self.stem_back = words, stems, back, stem_back
+        self.keys = keys or (np.arange(len(words), dtype=np.uint64), np.arange(len(stems), dtype=np.uint64))
         self.kinds = float(stems[:, 2].sum())
         self.fit, self.bias = np.zeros(FEATURES), 0.0
 
     def log_ratios(self, words: list[str]) -> np.ndarray:
         """log p(word | toxic) - log p(word | ordinary)."""
         n = len(words)
-        w = self.words[np.fromiter(map(_digest, words), np.uint64, n) % np.uint64(len(self.words))].astype(np.float64)
-        s = self.stems[np.fromiter((_digest(x[:STEM]) for x in words), np.uint64, n) % np.uint64(len(self.stems))].astype(np.float64)
+        w = _found(self.keys[0], self.words, np.fromiter(map(_digest, words), np.uint64, n))
+        s = _found(self.keys[1], self.stems, np.fromiter((_digest(x[:STEM]) for x in words), np.uint64, n))
         shared_stem = (s[:, 2] + .5) / (self.kinds + 1000)
         shared_word = (w[:, 2] + .5) / (s[:, 3] + 5)
         stem = s[:, :2] + self.stem_back * shared_stem[:, None]
@@ -130,17 +133,27 @@ class Model:
         return out
 
 
-def _table(rows: DataFrame, key: str, slots: int, columns: list[str]) -> np.ndarray:
-    """Sums of ``columns`` by slot; at most ``slots`` rows reach the driver."""
-    at = F.expr(f"cast(mod(mod(cast({key} as decimal(20, 0)) + 18446744073709551616, 18446744073709551616), {slots}) as long)")
-    got = (rows.groupBy(at.alias("slot")).agg(*[F.sum(c).cast("float").alias(c) for c in columns])
-           .withColumn("slot", F.col("slot").cast("int")).toArrow())
-    out = np.zeros((slots, len(columns)), np.float32)
-    for k, c in enumerate(columns):
-        out[got.column("slot").to_numpy(), k] = got.column(c).to_numpy()
+def _found(keys: np.ndarray, table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Rows of ``table`` by key, zeros where there is none."""
+    out = np.zeros((len(wanted), table.shape[1]))
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        known = keys[at] == wanted
+        out[known] = table[at[known]]
     return out
 
 
+def _table(rows: DataFrame, key: str, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of ``rows`` in order, and their ``columns``."""
+    got = rows.select(key, *[F.col(c).cast("float").alias(c) for c in columns]).toArrow()
+    keys = got.column(key).to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    out = np.zeros((len(keys), len(columns)), np.float32)
+    for k, c in enumerate(columns):
+        out[:, k] = got.column(c).to_numpy()[order]
+    return keys[order], out
+
+
 def _discounts(rows: DataFrame) -> tuple[list[float], list[float], list[int]]:
     """Per class of ``rows(toxic, ordinary)``: discount n1 / (n1 + 2 n2), the
     share of mass that it takes, and the total."""
@@ -181,10 +194,10 @@ def counted(words: DataFrame, toxic: str, ordinary: str) -> Model:
     d, back, total = _discounts(words)
     sd, stem_back, stem_total = _discounts(stems)
     both = (F.col("toxic") + F.col("ordinary")).alias("both")
-    return Model(
-        _table(words.select("word", *_discounted(d, total), both), "word", WORD_SLOTS, ["toxic", "ordinary", "both"]),
-        _table(stems.select("stem", *_discounted(sd, stem_total), both, "uses"), "stem", STEM_SLOTS,
-               ["toxic", "ordinary", "both", "uses"]), np.array(back), np.array(stem_back))
+    word_keys, word_table = _table(words.select("word", *_discounted(d, total), both), "word", ["toxic", "ordinary", "both"])
+    stem_keys, stem_table = _table(stems.select("stem", *_discounted(sd, stem_total), both, "uses"), "stem",
+                                   ["toxic", "ordinary", "both", "uses"])
+    return Model(word_table, stem_table, np.array(back), np.array(stem_back), (word_keys, stem_keys))
 
 
 def train(spark: SparkSession, labelled: DataFrame, calibrating: DataFrame, sizes: dict[bool, int]) -> Model:

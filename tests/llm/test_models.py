@@ -115,6 +115,17 @@ def test_every_labelled_row_is_counted(spark):
     assert min(got[k] for k in ids if k % 4 == 0) > max(got[k] for k in ids if k % 4)
 
 
+def test_no_two_words_share_their_counts(spark):
+    slot = X._digest("vile") % (1 << 21)
+    alike = next(w for w in (f"calm{k}" for k in range(1 << 26)) if X._digest(w) % (1 << 21) == slot)
+    ids = [k for k in range(90) if not is_held_out(k)]
+    rows = [(k, "vile words" if k % 3 == 0 else f"calm meadow calm{k}x") for k in ids] + [(1000, alike), (1001, "calmness")]
+    labels = [(k, int(k % 3 == 0)) for k in ids]
+    out = X.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in out.collect()}
+    assert got[1000] == got[1001] < .5
+
+
 def test_few_labels_of_both_kinds_fit(spark):
     ids = [k for k in range(200) if not is_held_out(k) and zlib.crc32(str(k).encode()) // 3 % 5 != 0][:8]
     rows = [(k, f"{'vile filth' if n < 2 else 'calm meadow'} today n{k}") for n, k in enumerate(ids)] + [(500, "vile filth"), (501, "calm meadow")]
