@@ -105,9 +105,86 @@ SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(k.n_removed,
 FROM d LEFT JOIN k USING (doc_id)
 """
 
+def _nearest(book: str) -> str:
+    return f"""
+  SELECT vec_id, p, x, CAST(min(d * 64 + e) % 64 AS INTEGER) AS e, CAST(min(d * 64 + e) // 64 AS BIGINT) AS d FROM (
+    SELECT v.vec_id, v.p, v.x, c.e, CAST(list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS HUGEINT) AS d
+    FROM part v JOIN {book} c USING (p)) GROUP BY vec_id, p, x"""
+
+
+def _moved(book: str, assigned: str) -> str:
+    return f"""
+  SELECT p, e, coalesce(m.x, c.x) AS x FROM {book} c LEFT JOIN (
+    SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY k) AS x FROM (
+      SELECT p, e, k, sum(x[k]) AS s, count(*) AS n FROM {assigned}, range(1, 1025) r(k) WHERE k <= len(x) GROUP BY p, e, k)
+    GROUP BY p, e) m USING (p, e)"""
+
+
+OP11 = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(256 * x) AS BIGINT)) AS x,
+         row_number() OVER (ORDER BY vec_id) - 1 AS nth FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS (
+  SELECT vec_id, nth, p, x[p * len(x) // 16 + 1:(p + 1) * len(x) // 16] AS x FROM kept, range(16) r(p)),
+b0 AS (SELECT p, nth AS e, x FROM part WHERE nth < 64),
+a0 AS MATERIALIZED ({_nearest("b0")}),
+b1 AS MATERIALIZED ({_moved("b0", "a0")}),
+a1 AS MATERIALIZED ({_nearest("b1")}),
+b2 AS MATERIALIZED ({_moved("b1", "a1")}),
+a2 AS MATERIALIZED ({_nearest("b2")}),
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY vec_id),
+digest AS (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), digest
+"""
+
+OP13 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+f AS (
+  SELECT part, len(words) < 100 AS a, 100 * len(list_distinct(words)) < 80 * len(words) AS b,
+         100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 10 * length(text) AS c,
+         regexp_matches(text, '[#$%&*|]') AS d,
+         doc_id > min(doc_id) OVER (PARTITION BY text) AS e,
+         coalesce(l.quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic
+  FROM d LEFT JOIN labels l USING (doc_id)),
+s AS (
+  SELECT part, concat(CASE WHEN a THEN 'A' ELSE '' END, CASE WHEN b THEN 'B' ELSE '' END, CASE WHEN c THEN 'C' ELSE '' END,
+                      CASE WHEN d THEN 'D' ELSE '' END, CASE WHEN e THEN 'E' ELSE '' END) AS fails, good, toxic FROM f),
+n AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM s GROUP BY ALL),
+orders AS (
+  SELECT '' AS filter_order UNION ALL
+  SELECT filter_order || x FROM orders, unnest(['A', 'B', 'C', 'D', 'E']) t(x) WHERE NOT contains(filter_order, x)),
+steps AS (
+  SELECT filter_order, step, filter_order[step] AS x, filter_order[1:step - 1] AS ahead
+  FROM orders, range(1, 6) r(step) WHERE length(filter_order) = 5),
+walked AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, x,
+         CASE WHEN ahead = '' THEN true ELSE translate(fails, ahead, '') = fails END AS here, contains(fails, x) AS failed, fails = x AS only_this,
+         n, good, toxic
+  FROM n, steps),
+counted AS (
+  SELECT part, filter_order, step, x,
+         CAST(coalesce(sum(n) FILTER (here AND NOT failed), 0) AS BIGINT) AS kept,
+         CAST(coalesce(sum(n) FILTER (here AND failed), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER (failed AND NOT here), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(n) FILTER (only_this), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(good) FILTER (here AND failed), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(toxic) FILTER (here AND failed), 0) AS BIGINT) AS toxic_lost
+  FROM walked GROUP BY ALL)
+SELECT * EXCLUDE (x), CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM counted
+"""
+
 SQL = {
     "op3_embedding_dedup": OP3,
     "op5_chat_format": OP5,
     "op7_mixing": OP7,
     "op10_substring_dedup": OP10,
+    "op11_part_trie": OP11,
+    "op13_filter_audit": OP13,
 }

@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from gridwatch.llm import chat, oracle
 from gridwatch.llm.common import read
 from gridwatch.llm.embedding_dedup import embedding_components
+from gridwatch.llm.filter_audit import audit
 from gridwatch.llm.html_text import extract_text
 from gridwatch.llm.langid import identify
 from gridwatch.llm.lz_fingerprint import neighbour_fingerprints
 from gridwatch.llm.mixing import mix_sizes
 from gridwatch.llm.packing import pack
+from gridwatch.llm.part_trie import compress
 from gridwatch.llm.simhash_dedup import simhash_components
 from gridwatch.llm.substring_dedup import dedup_substrings
+from gridwatch.llm.suffix_dedup import remove_repeats
 from gridwatch.llm.toxicity import toxicity
 
 #: What both turns of conversation -1 say.
@@ -81,6 +84,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_part_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector, errors by label, digest of the codebooks."""
+    return compress(read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes, removed bytes and runs, and a digest of the kept bytes of every document."""
+    out = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every step of every order of the five filters keeps and removes, by language."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return audit(documents, read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lz_fingerprint": op1_lz_fingerprint,
     "op2_language_id": op2_language_id,
@@ -92,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_html_text": op9_html_text,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_part_trie": op11_part_trie,
+    "op12_suffix_dedup": op12_suffix_dedup,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 SQL: dict[str, str] = oracle.SQL
