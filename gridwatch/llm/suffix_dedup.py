@@ -24,7 +24,7 @@ of a group once, so no task depends on how often a passage occurs.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,8 @@ LENGTH, GRAM = 200, 32
 #: Initial buckets of the refinement: 8 bytes read as one integer.
 FIRST = 8
 BYTES_PER_GROUP, BYTES_PER_GRAM_BUCKET, BYTES_PER_BUCKET = 4_000_000, 64_000_000, 16_000_000
+#: Bytes of contexts that are refined at once: whole slots, a gram being in one.
+SLOTS, BYTES_PER_SLICE = 1 << 14, 1_000_000
 #: Occurrences from which a gram's windows are dealt by their own hash.
 HOT = 2048
 BASE = 0x9E3779B97F4A7C15
@@ -53,10 +55,11 @@ def refine(text: np.ndarray, left: np.ndarray, length: int = LENGTH) -> np.ndarr
     if not n:
         return _NONE
     first = min(FIRST, length)
-    padded = np.concatenate([text, np.zeros(FIRST, np.uint8)]).astype(np.uint64)
+    padded = np.concatenate([text, np.zeros(FIRST, np.uint8)])
     grams = np.zeros(n, np.uint64)
     for k in range(first):
-        grams = (grams << np.uint64(8)) | padded[k:k + n]
+        grams <<= np.uint64(8)
+        grams |= padded[k:k + n]
     live = np.flatnonzero(left >= first)
     pointer = np.zeros(n, np.int64)
     have, top = first, 0
@@ -155,6 +158,33 @@ def _merged(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[new], starts[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(starts) - 1]])] + length
 
 
+def _slices(slot: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of the contexts that are refined together."""
+    order = np.argsort(slot, kind="stable")
+    begins = np.flatnonzero(np.concatenate([[True], np.diff(slot[order]) > 0])) if len(slot) else _NONE
+    upto = np.concatenate([[0], np.cumsum(size[order])])
+    a = 0
+    for b in [*begins[1:].tolist(), len(slot)]:
+        if b > a and (b == len(slot) or upto[b] - upto[a] >= BYTES_PER_SLICE):
+            yield order[a:b]
+            a = b
+
+
+def spans_in(texts: list[bytes], once: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, from, to): the repeated runs of the contexts marked ``once``;
+    the others take part in the comparison only."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(size)
+    starts = refine(np.frombuffer(b"".join(texts), np.uint8), np.repeat(ends, size) - np.arange(int(size.sum())), length)
+    own = np.searchsorted(ends, starts, "right")
+    starts, own = starts[once[own]], own[once[own]]
+    # runs don't cross contexts: move these apart by `length`
+    lo, hi = _merged(starts + own * length, length)
+    own = np.searchsorted(ends + np.arange(len(ends)) * length, lo, "right")
+    begin = (ends - size)[own] + own * length
+    return own, lo - begin, hi - begin
+
+
 def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Every row of ``df`` with ``n_bytes``, ``n_removed``, ``n_spans`` and
     ``kept`` (binary: what is left may end inside a character).
@@ -193,7 +223,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
         again = np.flatnonzero(n > 1)
         return _dealt("part", parts[again], None, {"grams": (grams[again], pa.int64()), "hot": (n[again] > HOT, pa.bool_())})
 
-    sent = ("bucket long, part long, at array<long>, twice array<boolean>, context array<binary>, "
+    sent = ("bucket long, part long, at array<long>, twice array<boolean>, slot array<smallint>, context array<binary>, "
             "window array<long>, more array<int>, window_at array<long>, window_twice array<boolean>, known array<long>")
 
     def send_contexts(key: tuple[pa.Scalar, ...], table: pa.Table, lists: pa.Table) -> pa.Table:
@@ -225,7 +255,8 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
         me = key[0].as_py() if key[0].is_valid else lists.column("part")[0].as_py()
         tables = [
             _dealt("bucket", (grams[at] % np.uint64(buckets)).astype(np.int64), me, {
-                "at": (lo[at], pa.int64()), "twice": (n > 1, pa.bool_()), "context": (texts, pa.binary())}),
+                "at": (lo[at], pa.int64()), "twice": (n > 1, pa.bool_()),
+                "slot": ((grams[at] // np.uint64(buckets) % np.uint64(SLOTS)).astype(np.int64), pa.int16()), "context": (texts, pa.binary())}),
             _dealt("bucket", (one[head] % np.uint64(buckets)).astype(np.int64), me, {
                 "window": (one[head].view(np.int64), pa.int64()), "more": (two[head], pa.int32()),
                 "window_at": (starts[head], pa.int64()), "window_twice": (many, pa.bool_())}),
@@ -233,7 +264,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
         return pa.concat_tables([t.cast(pa.schema([out_row.field(c) for c in t.column_names])) for t in tables],
                                 promote_options="default").select(out_row.names)
 
-    out_row = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("at", pa.list_(pa.int64())), ("twice", pa.list_(pa.bool_())),
+    out_row = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("at", pa.list_(pa.int64())), ("twice", pa.list_(pa.bool_())), ("slot", pa.list_(pa.int16())),
                          ("context", pa.list_(pa.binary())), ("window", pa.list_(pa.int64())), ("more", pa.list_(pa.int32())),
                          ("window_at", pa.list_(pa.int64())), ("window_twice", pa.list_(pa.bool_())), ("known", pa.list_(pa.int64()))])
 
@@ -242,21 +273,15 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
         texts, of = _different((c.as_py() for chunk in table.column("context").chunks for c in chunk.flatten()), len(at))
         n = np.bincount(of, weights=1 + _flat(table, "twice"), minlength=len(texts))
         size = np.fromiter(map(len, texts), np.int64, len(texts))
-        ends = np.cumsum(size)
-        buffer = np.frombuffer(b"".join(texts), np.uint8)
-        starts = refine(buffer, np.repeat(ends, size) - np.arange(len(buffer)), length)
-        # runs of the contexts that came once; one that came twice goes wholly
-        own = np.searchsorted(ends, starts, "right")
-        once = n[own] < 2
-        starts, own = starts[once], own[once]
-        lo, hi = _merged(starts + own * length, length)           # a gap between contexts
-        own = np.searchsorted(ends + np.arange(len(ends)) * length, lo, "right")
-        begin = (ends - size)[own] + own * length
-        holder = np.zeros(len(texts), np.int64)
-        holder[of] = np.arange(len(of))
-        holder = holder[own]
+        slot, holder = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        slot[of], holder[of] = _flat(table, "slot"), np.arange(len(of))
+        # a context that came twice goes wholly, the others where refinement says so
         many = np.flatnonzero(n[of] > 1)
-        whole = size[of[many]]
+        found = [(parts[many], at[many], at[many] + size[of[many]])]
+        for numbers in _slices(slot, size):
+            own, lo, hi = spans_in([texts[k] for k in numbers.tolist()], n[numbers] < 2, length)
+            rows = holder[numbers[own]]
+            found.append((parts[rows], at[rows] + lo, at[rows] + hi))
         # common windows
         one, two, where, owner = (_flat(table, c) for c in ("window", "more", "window_at", "window_twice"))
         owners = _parts(table, "window")
@@ -266,10 +291,10 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
         same[order[1:]] |= equal
         same[order[:-1]] |= equal
         same |= owner.astype(bool)
-        known, known_part = _flat(table, "known").reshape(-1, 2), _parts(table, "known")[::2]
-        begins = np.concatenate([at[holder] + lo - begin, at[many], where[same], known[:, 0]])
-        over = np.concatenate([at[holder] + hi - begin, at[many] + whole, where[same] + length, known[:, 1]])
-        to = np.concatenate([parts[holder], parts[many], owners[same], known_part])
+        found.append((owners[same], where[same], where[same] + length))
+        known = _flat(table, "known").reshape(-1, 2)
+        found.append((_parts(table, "known")[::2], known[:, 0], known[:, 1]))
+        to, begins, over = (np.concatenate(c) for c in zip(*found, strict=True))
         return _dealt("part", to, None, {"begin": (begins, pa.int64()), "over": (over, pa.int64())})
 
     names = df.columns
