@@ -25,6 +25,11 @@ _LATEST = [("event_time", "latest_event_time"), ("event_code", "latest_event_cod
            ("longitude", "latest_event_lng")]
 
 
+def latest_event_columns() -> Column:
+    """The columns of an event that the meter summary keeps, as one struct."""
+    return F.struct(*[F.col(c) for c, _ in _LATEST])
+
+
 def meter_event_counts(events: DataFrame) -> DataFrame:
     """Events per meter without the customer fan-out (correct count)."""
     return events.groupBy("meter_number").agg(F.count(F.lit(1)).alias("event_count"))

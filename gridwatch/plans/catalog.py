@@ -471,6 +471,25 @@ def refresh_rerun(spark, sf):
                                        "has_any_coordinates", "geom_x", "geom_y")
 
 
+def refresh_by_month(spark, sf):
+    """Events of three months stored by month and refreshed; then a third month
+    and some rows of the second arrive, and the next run reads these two only.
+    The published meter summary, with the number of months that run read."""
+    from gridwatch.plans.refresh import Refresh
+    from gridwatch.sources.readers import write_events
+    cust, ev = _base(spark, sf)
+    root = _scratch(spark, "refresh_months")
+    k = F.col("event_id")
+    spread = ev.withColumn("event_time", F.expr("event_time + make_interval(0, cast(event_id % 3 as int))"))
+    late = (k % 3 == 2) | (k % 30 == 1)
+    write_events(spread.filter(~late), f"{root}/events")
+    Refresh(spark, f"{root}/out", run_id="first").run(cust, f"{root}/events", as_of=AS_OF)
+    write_events(spread.filter(late), f"{root}/events", mode="append")
+    r = Refresh(spark, f"{root}/out", run_id="second")
+    r.run(cust, f"{root}/events", as_of=AS_OF)
+    return r.table("meter_summary").drop("updated_at").withColumn("months_read", F.lit(len(r.months_read)))
+
+
 def pipeline_status(spark, sf):
     from gridwatch.plans.refresh import Refresh
     cust, ev = _base(spark, sf)
@@ -526,21 +545,21 @@ def stream_event_flags(spark, sf):
 
 def stream_event_changes(spark, sf):
     """Events arrive, then some are deleted and some lose their coordinates;
-    the change stream carries the touched meters and the customers' 'any'
-    flags follow."""
-    from gridwatch.sources.readers import write_events
-    from gridwatch.streaming.incremental import event_change_flag_stream, flags_from_event_flags, read_event_flags, read_stream
+    change records carry the values before and after, and the customers' 'any'
+    flags follow from signed counts per meter."""
+    from gridwatch.streaming.incremental import CHANGE_COLUMNS, event_count_stream, flags_from_event_flags, read_counted_flags, read_stream
     cust, ev = _base(spark, sf)
     root = _scratch(spark, "stream_changes")
     k = F.col("event_id")
-    cleared = F.when(k % 3 != 1, F.col("latitude")).alias("latitude")
-    later = ev.filter(k % 3 != 0).select(*[cleared if c == "latitude" else F.col(c) for c in ev.columns])
-    for stored, touched in ((ev, ev), (later, ev.filter(k % 3 != 2))):
-        write_events(stored, f"{root}/events")
-        touched.select("meter_number").write.mode("append").parquet(f"{root}/changes")
-        changes = read_stream(spark, f"{root}/changes", touched.select("meter_number").schema)
-        event_change_flag_stream(changes, f"{root}/events", f"{root}/flags", f"{root}/_chk").awaitTermination()
-    return flags_from_event_flags(cust, read_event_flags(spark, f"{root}/flags")).select(
+    now = [F.col(c) for c in ("meter_number", "latitude", "longitude")]
+    before = [c.alias(n) for c, n in zip(now, CHANGE_COLUMNS, strict=False)]
+    inserted = ev.select(*[F.when(F.lit(False), c).alias(n) for c, n in zip(now, CHANGE_COLUMNS, strict=False)], *now)
+    updated = [F.when(k % 3 == 1, F.lit(None) if n == "latitude" else F.col(n)).cast(ev.schema[n].dataType).alias(n) for n in CHANGE_COLUMNS[3:]]
+    for records in (inserted, ev.filter(k % 3 != 2).select(*before, *updated)):
+        records.write.mode("append").parquet(f"{root}/changes")
+        changes = read_stream(spark, f"{root}/changes", inserted.schema)
+        event_count_stream(changes, f"{root}/counts", f"{root}/_chk", compact_every=2).awaitTermination()
+    return flags_from_event_flags(cust, read_counted_flags(spark, f"{root}/counts")).select(
         "ecgkey", "meternumber", "has_own_coordinates", "has_event_coordinates", "has_any_coordinates")
 
 
@@ -658,6 +677,22 @@ def csv_rejects(spark, sf):
             .unionByName(loaded.agg(F.lit("loaded").alias("reason"), F.count("*").alias("n"))))
 
 
+def csv_column_orders(spark, sf):
+    """Two event files of one folder with their columns in different orders, one
+    with an extra column: every file is read by its own header."""
+    from gridwatch.sources.readers import read_events_csv
+    _, ev = _base(spark, sf)
+    path = _scratch(spark, "csv_orders")
+    k = F.col("event_id")
+    zoned = ev.withColumn("event_time", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS'+00'"))
+    for part, columns in ((k % 2 == 0, ["meter_number", "event_time", "event_code", "event_desc"]),
+                          (k % 2 == 1, ["event_code", "batch", "event_desc", "event_time", "meter_number"])):
+        rows = zoned.filter(part).withColumn("batch", F.lit('x,"y"\nz')).select(*columns)
+        rows.write.mode("append").option("header", True).option("escape", '"').option("quote", '"').csv(path)
+    back = read_events_csv(spark, path)
+    return back.select("meter_number", F.col("event_time").cast("timestamp_ntz").alias("event_time"), "event_code", "event_desc")
+
+
 def csv_load_refresh(spark, sf):
     """CSV load (customers, month-partitioned events) followed by the
     four-step refresh; returns the published district summary."""

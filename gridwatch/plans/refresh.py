@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from gridwatch.operators import reports
 from gridwatch.operators import summaries as S
+from gridwatch.plans.month_partials import MonthPartials
 from gridwatch.sources.sinks import SnapshotStore, merge_by_key, merge_sticky, read_json_log, rows_frame
 
 
@@ -45,6 +46,9 @@ class Refresh:
     def __init__(self, spark: SparkSession, root: str, run_id: str = "default", merge: bool = True):
         self.spark, self.root, self.run_id, self.merge = spark, root.rstrip("/"), run_id, merge
         self.store = SnapshotStore(spark, self.root)
+        self.partials = MonthPartials(spark, f"{self.root}/meter_months")
+        #: Month folders that the last meter summary step over stored events read.
+        self.months_read: list[str] = []
         self.log_path = f"{self.root}/_checkpoint"
 
     # ── checkpoint log ───────────────────────────────────────────────────────
@@ -94,21 +98,25 @@ class Refresh:
         return reports.pipeline_status(self.checkpoints(), final=final)
 
     # ── steps ────────────────────────────────────────────────────────────────
-    def _step_meter_summary(self, customers: DataFrame, events: DataFrame, as_of: datetime) -> DataFrame:
-        new = S.meter_summary(events, customers, as_of=as_of)
+    def _step_meter_summary(self, customers: DataFrame, events: DataFrame | str, as_of: datetime) -> DataFrame:
+        if isinstance(events, str):
+            self.months_read = self.partials.update(events)
+            new = S.finish_meter_summary(self.partials.per_meter(), customers, as_of=as_of)
+        else:
+            new = S.meter_summary(events, customers, as_of=as_of)
         if self.merge and self.store.exists("meter_summary"):
             return merge_by_key(self.store.read("meter_summary"), new, ["meternumber"])
         return new
 
-    def _step_flags(self, customers: DataFrame, events: DataFrame, as_of: datetime) -> DataFrame:
+    def _step_flags(self, customers: DataFrame, events: DataFrame | str, as_of: datetime) -> DataFrame:
         # flags and geometry are columns of the same wide rows: written once,
         # the geometry step publishes this snapshot as ``customers``
         return S.with_geom(S.with_coordinate_flags(customers, self.store.read("meter_summary"), "latest"))
 
-    def _step_geom(self, customers: DataFrame, events: DataFrame, as_of: datetime) -> str:
+    def _step_geom(self, customers: DataFrame, events: DataFrame | str, as_of: datetime) -> str:
         return self.store.current("customers_flagged")
 
-    def _step_district(self, customers: DataFrame, events: DataFrame, as_of: datetime) -> DataFrame:
+    def _step_district(self, customers: DataFrame, events: DataFrame | str, as_of: datetime) -> DataFrame:
         new = S.district_event_summary(self.store.read("customers"), self.store.read("meter_summary"),
                                        as_of=as_of)
         if self.merge and self.store.exists("district_event_summary"):
@@ -117,8 +125,12 @@ class Refresh:
                                 defaults={c: 0 for c in UNTOUCHED_DISTRICT}, as_of=as_of)
         return new
 
-    def run(self, customers: DataFrame, events: DataFrame, as_of: datetime | None = None) -> dict[str, str]:
-        """Run pending steps in order; returns the published snapshot paths."""
+    def run(self, customers: DataFrame, events: DataFrame | str, as_of: datetime | None = None) -> dict[str, str]:
+        """Run pending steps in order; returns the published snapshot paths.
+
+        ``events``: a relation, read whole, or the folder of events stored by
+        month: then the per-meter totals of every month are kept under the
+        root, and a run reads only months whose files are new or changed."""
         as_of = as_of or _now()
         plan: list[tuple[str, str, Callable]] = [
             ("meter_summary", "meter_summary", self._step_meter_summary),
@@ -170,13 +182,12 @@ def load_and_refresh(spark: SparkSession, customers_csv: str, events_csv: str, r
     """
     from gridwatch.sources import readers
     store = SnapshotStore(spark, root)
-    customers, bad_customers = readers.split_customers_csv(spark, customers_csv)
-    events, bad_events = readers.split_events_csv(spark, events_csv)
-    rejects = store.write("rejects", bad_customers.select(F.lit("customers").alias("source"), "record", "reason")
-                          .unionByName(bad_events.select(F.lit("events").alias("source"), "record", "reason")))
+    staged = {"customer_records": customers_csv, "tamper_events": events_csv}
+    staged = {name: readers.stage_csv(spark, path, store, name) for name, path in staged.items()}
+    rejects = store.write("rejects", readers.staged_rejects(spark, staged["customer_records"], "customers").unionByName(
+        readers.staged_rejects(spark, staged["tamper_events"], "events")))
     if max_rejects is not None and (n := spark.read.parquet(rejects).count()) > max_rejects:
         raise ValueError(f"{n} rows can't be loaded, {max_rejects} allowed; see {rejects}")
-    store.write("customer_records", customers)
-    events_path = store.write("tamper_events", readers.clustered_events(events), partition_by=["event_month"])
-    paths = Refresh(spark, root, run_id).run(store.read("customer_records"), readers.read_events(spark, events_path), as_of)
+    customers, events = (store.publish(name, f"{path}/rejected=false") for name, path in staged.items())
+    paths = Refresh(spark, root, run_id).run(spark.read.parquet(customers).drop("reason", "record"), events, as_of)
     return paths | {"rejects": rejects}

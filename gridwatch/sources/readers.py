@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 from gridwatch.functions import coerce as CO
 from gridwatch.schemas import CUSTOMER_COLUMNS, EVENT_COLUMNS
+from gridwatch.sources.csv_blocks import read_csv_blocks
+from gridwatch.sources.sinks import SnapshotStore, folder_exists
 
 _DATE_RE = r"^\d{4}-\d{2}-\d{2}$"
 
@@ -53,14 +55,18 @@ def _native(c: Column, source: T.DataType, dtype: T.DataType) -> Column:
     return c.try_cast(dtype)
 
 
-def _typed(df: DataFrame, columns: list[tuple[str, T.DataType]]) -> DataFrame:
+def _typed_columns(df: DataFrame, columns: list[tuple[str, T.DataType]]) -> list[Column]:
     out = []
     for name, dtype in columns:
         source = df.schema[name].dataType if name in df.columns else T.StringType()
         c = F.col(f"`{name}`") if name in df.columns else F.lit(None).cast("string")
         typed = coerce_to(c, dtype) if isinstance(source, T.StringType) else _native(c, source, dtype)
         out.append(typed.alias(name))
-    return df.select(*out)
+    return out
+
+
+def _typed(df: DataFrame, columns: list[tuple[str, T.DataType]]) -> DataFrame:
+    return df.select(*_typed_columns(df, columns))
 
 
 def typed_customers(df: DataFrame, api: bool = False) -> DataFrame:
@@ -81,30 +87,32 @@ CORRUPT = "_corrupt_record"
 
 def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, plus ``CORRUPT``.  Quoted line ends and doubled
-    quotes are read as databases export them; a file with quoted line ends
-    can't be split, so large exports come as many files."""
-    reader = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", True)
-              .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
-              .option("columnPruning", False))
-    names = reader.csv(path).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
-    return reader.option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
+    quotes are read as databases export them, one file by many tasks; every
+    file's columns are taken by the names in its own header."""
+    return read_csv_blocks(spark, path, CORRUPT)
+
+
+def judged(raw: DataFrame, columns: list[tuple[str, T.DataType]], required: list[str]) -> DataFrame:
+    """Typed rows with ``reason``, why a row can't be loaded ('' if it can): its
+    record is malformed or a ``required`` column is missing or unreadable; and
+    ``record``, the columns of such a row as JSON text."""
+    text = F.struct(*[F.col(f"`{n}`").alias(n) for n in raw.columns])
+    rows = raw.select(*_typed_columns(raw, columns), text.alias("_text"))
+
+    def blank(n: str) -> Column:
+        return F.coalesce(F.col("_text")[n], F.lit("")) == "" if n in raw.columns else F.lit(True)
+
+    why = [F.when(F.col("_text")[CORRUPT].isNotNull(), F.lit("malformed record"))] + [
+        F.when(F.col(n).isNull(), F.when(blank(n), F.lit(f"missing {n}")).otherwise(F.lit(f"unreadable {n}"))) for n in required]
+    reason = F.concat_ws("; ", *why)
+    return rows.withColumn("reason", reason).select(*[n for n, _ in columns], "reason", F.when(F.col("reason") != "", F.to_json("_text")).alias("record"))
 
 
 def _split(raw: DataFrame, columns: list[tuple[str, T.DataType]], required: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(typed rows, rejects): a row is rejected if its record is malformed or
-    a ``required`` column is missing or unreadable; rejects keep the record's
-    columns as JSON text and say why.  Every input row is in one of the two."""
-    names = [n for n, _ in columns]
-    row = F.struct(*[F.col(f"`{n}`").alias(n) for n in raw.columns])
-    typed = _typed(raw.select(*raw.columns, F.to_json(row).alias("_record")), [*columns, ("_record", T.StringType()), (CORRUPT, T.StringType())])
-    text = F.from_json("_record", T.StructType([T.StructField(n, T.StringType()) for n in required]))
-    why = [F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed record"))] + [
-        F.when(F.col(n).isNull(), F.when(F.coalesce(text[n], F.lit("")) == "", F.lit(f"missing {n}"))
-               .otherwise(F.lit(f"unreadable {n}"))) for n in required]
-    judged = typed.withColumn("reason", F.concat_ws("; ", *why))
-    return (judged.filter(F.col("reason") == "").select(*names),
-            judged.filter(F.col("reason") != "").select(F.col("_record").alias("record"), "reason"))
+    """(typed rows, rejects); every input row is in one of the two."""
+    rows = judged(raw, columns, required)
+    return (rows.filter(F.col("reason") == "").select(*[n for n, _ in columns]),
+            rows.filter(F.col("reason") != "").select("record", "reason"))
 
 
 # Columns without which a row can't be loaded.
@@ -136,6 +144,33 @@ def event_rejects(spark: SparkSession, path: str) -> DataFrame:
     return split_events_csv(spark, path)[1]
 
 
+# What a CSV load stages: columns and required columns by relation.
+LOADED = {"customer_records": (CUSTOMER_COLUMNS, CUSTOMER_REQUIRED), "tamper_events": (EVENT_COLUMNS, EVENT_REQUIRED)}
+
+
+def stage_csv(spark: SparkSession, path: str, store: SnapshotStore, name: str) -> str:
+    """Parse the CSV files once and stage all rows under ``name``, loadable ones
+    and rejects in folders of their own; events by month, clustered by meter.
+    Nothing is published."""
+    columns, required = LOADED[name]
+    rows = judged(read_text_csv(spark, path), columns, required).withColumn("rejected", F.col("reason") != "")
+    by = ["rejected"]
+    if name == "tamper_events":
+        by.append("event_month")
+        rows = rows.withColumn("event_month", F.when(~F.col("rejected"), F.date_format("event_time", "yyyy-MM")))
+        rows = rows.sortWithinPartitions("rejected", "event_month", "meter_number", "event_time")
+    staged = store.stage(name, rows, by)
+    for folder in (f"{staged}/rejected=true", f"{staged}/rejected=false"):
+        if not folder_exists(spark, folder):          # no such row: an empty relation
+            rows.where("false").drop("rejected", "event_month").write.parquet(folder)
+    return staged
+
+
+def staged_rejects(spark: SparkSession, staged: str, source: str) -> DataFrame:
+    """``(source, record, reason)`` of what ``stage_csv`` rejected."""
+    return spark.read.parquet(f"{staged}/rejected=true").select(F.lit(source).alias("source"), "record", "reason")
+
+
 def with_event_month(events: DataFrame) -> DataFrame:
     """Month bucket of ``event_time`` as 'yyyy-MM' text (partition column)."""
     return events.withColumn("event_month", F.date_format("event_time", "yyyy-MM"))
@@ -162,9 +197,11 @@ def write_events(events: DataFrame, path: str, mode: str = "overwrite",
      .partitionBy("event_month").parquet(path))
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Month-partitioned events; ``event_month`` is read back as text."""
-    df = spark.read.option("basePath", path).parquet(path)
+def read_events(spark: SparkSession, path: str, months: list[str] | None = None) -> DataFrame:
+    """Month-partitioned events; ``event_month`` is read back as text.
+    ``months``: names of the month folders to read (no other is listed)."""
+    paths = [path] if months is None else [f"{path.rstrip('/')}/{m}" for m in months]
+    df = spark.read.option("basePath", path).parquet(*paths)
     if "event_month" in df.columns:   # text whatever the partition-type inference says
         df = df.withColumn("event_month", F.col("event_month").cast("string"))
     keep = [n for n in [c for c, _ in EVENT_COLUMNS] + ["event_id", "event_month"] if n in df.columns]

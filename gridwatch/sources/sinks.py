@@ -107,6 +107,11 @@ def read_json_log(spark: SparkSession, schema: T.StructType, path: str) -> DataF
         raise
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder)
+
+
 class SnapshotStore:
     """Named relations under ``root``, each a list of immutable versions."""
 
@@ -145,13 +150,17 @@ class SnapshotStore:
 
     def write(self, name: str, df: DataFrame, partition_by: Sequence[str] = ()) -> str:
         """Write ``df`` as a new version, then publish it."""
-        version = time.time_ns()
-        path = f"{self.root}/{name}/v={version}"
+        path = self.stage(name, df, partition_by)
+        return self.publish(name, path, int(path.rpartition("=")[2]))
+
+    def stage(self, name: str, df: DataFrame, partition_by: Sequence[str] = ()) -> str:
+        """Write ``df`` as a new version that nobody sees yet; its path."""
+        path = f"{self.root}/{name}/v={time.time_ns()}"
         w = df.write.mode("errorifexists")
         if partition_by:
             w = w.partitionBy(*partition_by)
         w.parquet(path)
-        return self.publish(name, path, version)
+        return path
 
     def publish(self, name: str, path: str, version: int | None = None) -> str:
         """Make the written snapshot at ``path`` the newest version of ``name``."""

@@ -9,19 +9,23 @@
   coordinates (the 'any' event flag).  Once true it stays true for an
   append-only source, so a streaming ``dropDuplicates`` (state: one key per
   meter) emits each meter once.
+* ``event_count_stream`` — signed counts of events with coordinates per meter
+  from records of event changes, so an update or delete needs no stored
+  events.
 * ``customer_flag_stream`` — stateless flags and geometry for a stream of
   customer changes, event flag looked up in a static table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from gridwatch.functions.geo import both_present
 from gridwatch.operators import summaries as S
 from gridwatch.operators.joins import left_join_nullable
+from gridwatch.streaming.state_log import StateLog
 
 
 def read_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int = 1000) -> DataFrame:
@@ -37,15 +41,14 @@ def meter_summary_stream(events: DataFrame, state_dir: str, checkpoint: str,
     per_meter = S.events_per_meter(events)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
-         .write.mode("overwrite").parquet(f"{state_dir}/batch_id={batch_id}"))
-        if compact_every and (batch_id + 1) % compact_every == 0:
-            compact_meter_state(batch.sparkSession, state_dir)
+        meter_state(batch.sparkSession, state_dir).append(batch, batch_id, compact_every)
 
-    w = (per_meter.writeStream.outputMode("update").foreachBatch(sink)
-         .option("checkpointLocation", checkpoint))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start()
+    return _start(per_meter.writeStream.outputMode("update").foreachBatch(sink), checkpoint, available_now)
+
+
+def _start(w: DataStreamWriter, checkpoint: str, available_now: bool) -> StreamingQuery:
+    w = w.option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")).start()
 
 
 def _newest_per_meter(log: DataFrame) -> DataFrame:
@@ -54,50 +57,25 @@ def _newest_per_meter(log: DataFrame) -> DataFrame:
             .select("meter_number", "s._n", "s._le", "batch_id"))
 
 
+def meter_state(spark: SparkSession, state_dir: str) -> StateLog:
+    return StateLog(spark, state_dir, ["meter_number", "_n", "_le"], _newest_per_meter)
+
+
 def _base_version(spark: SparkSession, state_dir: str) -> tuple[str | None, int]:
     """Newest compacted base (path, batch id) of a state log, if any."""
-    from gridwatch.sources.sinks import SnapshotStore
-    path = SnapshotStore(spark, f"{state_dir}_base").current("meters")
-    if path is None:
-        return None, -1
-    return path, int(spark.read.parquet(path).agg(F.max("batch_id")).collect()[0][0])
+    return meter_state(spark, state_dir).base()
 
 
 def read_meter_state(spark: SparkSession, state_dir: str) -> DataFrame:
     """Newest row per meter (``events_per_meter`` shape): the compacted base,
     if any, plus the micro-batch outputs written after it."""
-    base, upto = _base_version(spark, state_dir)
-    log = spark.read.option("basePath", state_dir).parquet(state_dir)
-    log = log.filter(F.col("batch_id") > upto).select("meter_number", "_n", "_le", "batch_id")
-    if base is not None:
-        log = spark.read.parquet(base).select("meter_number", "_n", "_le", "batch_id").unionByName(log)
-    return _newest_per_meter(log).drop("batch_id")
+    return meter_state(spark, state_dir).read()
 
 
 def compact_meter_state(spark: SparkSession, state_dir: str) -> str:
     """Fold the base and all later micro-batch outputs into a new base
-    version (published only when written).  Batch folders up to the *previous*
-    base are then removed: a reader that still holds that base reads only
-    later ones, and a replayed batch is always newer than the base."""
-    from gridwatch.sources.sinks import SnapshotStore
-    base, upto = _base_version(spark, state_dir)
-    log = spark.read.option("basePath", state_dir).parquet(state_dir)
-    log = log.filter(F.col("batch_id") > upto).select("meter_number", "_n", "_le", "batch_id")
-    if base is not None:
-        log = spark.read.parquet(base).select("meter_number", "_n", "_le", "batch_id").unionByName(log)
-    path = SnapshotStore(spark, f"{state_dir}_base").write("meters", _newest_per_meter(log))
-    _remove_batches(spark, state_dir, upto)
-    return path
-
-
-def _remove_batches(spark: SparkSession, state_dir: str, upto: int) -> None:
-    """Delete the folders ``batch_id=k`` with k at most ``upto``."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(state_dir)
-    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    for entry in fs.listStatus(folder):
-        name = entry.getPath().getName()
-        if name.startswith("batch_id=") and int(name.removeprefix("batch_id=")) <= upto:
-            fs.delete(entry.getPath(), True)
+    version (published only when written)."""
+    return meter_state(spark, state_dir).compact()
 
 
 def coordinate_meter_stream(events: DataFrame, out_dir: str, checkpoint: str,
@@ -106,10 +84,7 @@ def coordinate_meter_stream(events: DataFrame, out_dir: str, checkpoint: str,
     meters = (events.filter(both_present("latitude", "longitude"))
               .select(F.col("meter_number").alias("meternumber"))
               .dropDuplicates(["meternumber"]))
-    w = (meters.writeStream.outputMode("append").format("parquet")
-         .option("path", out_dir).option("checkpointLocation", checkpoint))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start()
+    return _start(meters.writeStream.outputMode("append").format("parquet").option("path", out_dir), checkpoint, available_now)
 
 
 def flags_from_coordinate_meters(customers: DataFrame, coordinate_meters: DataFrame) -> DataFrame:
@@ -148,32 +123,95 @@ def recompute_meters(events: DataFrame, touched: DataFrame) -> DataFrame:
 
 
 def event_change_flag_stream(changes: DataFrame, events_path: str, state_dir: str, checkpoint: str,
-                             available_now: bool = True) -> StreamingQuery:
-    """Any-event coordinate flags kept current under inserts, updates and
-    deletes of events.
-
-    ``changes`` is a stream of change records carrying ``meter_number``
-    (one per inserted, updated or deleted event); ``events_path`` holds the
-    stored events after those changes.  Each micro-batch recomputes the flag
-    of the touched meters only (a semi join restricts the event scan to
-    them) and writes it keyed by batch id; ``read_event_flags`` resolves the
-    newest value per meter.
+                             available_now: bool = True, compact_every: int = 100) -> StreamingQuery:
+    """Any-event coordinate flags under inserts, updates and deletes of events,
+    for a feed that names only the touched meters.
+
+    ``changes`` carries ``meter_number`` (one row per changed event);
+    ``events_path`` holds the stored events after those changes.  Each
+    micro-batch recomputes the flag of the touched meters from the stored
+    events and writes it to a log; ``read_event_flags`` resolves the newest
+    value per meter.  A feed that carries the events' values needs no stored
+    events: ``event_count_stream``.
     """
     from gridwatch.sources.readers import read_events
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         touched = batch.select(F.col("meter_number").alias("meternumber")).distinct()
         stored = read_events(batch.sparkSession, events_path)
-        (recompute_meters(stored, touched).withColumn("batch_id", F.lit(batch_id).cast("long"))
-         .write.mode("overwrite").parquet(f"{state_dir}/batch_id={batch_id}"))
+        event_flags(batch.sparkSession, state_dir).append(recompute_meters(stored, touched), batch_id, compact_every)
+
+    return _start(changes.writeStream.foreachBatch(sink), checkpoint, available_now)
+
+
+def _newest_flags(log: DataFrame) -> DataFrame:
+    return log.groupBy("meternumber").agg(F.max_by("has_event_coordinates", "batch_id").alias("has_event_coordinates"),
+                                          F.max("batch_id").alias("batch_id"))
 
-    w = changes.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start()
+
+def event_flags(spark: SparkSession, state_dir: str) -> StateLog:
+    return StateLog(spark, state_dir, ["meternumber", "has_event_coordinates"], _newest_flags)
 
 
 def read_event_flags(spark: SparkSession, state_dir: str) -> DataFrame:
     """Newest any-event flag per meter from ``event_change_flag_stream``."""
-    log = spark.read.option("basePath", state_dir).parquet(state_dir)
-    return (log.groupBy("meternumber")
-            .agg(F.max_by("has_event_coordinates", "batch_id").alias("has_event_coordinates")))
+    return event_flags(spark, state_dir).read()
+
+
+# ── signed counters: no stored events are read ─────────────────────────────
+
+#: What a change record holds: the event before (null for an insert) and after
+#: the change (null for a delete).
+CHANGE_COLUMNS = ["old_meter_number", "old_latitude", "old_longitude", "meter_number", "latitude", "longitude"]
+
+
+def coordinate_deltas(changes: DataFrame) -> DataFrame:
+    """``(meternumber, delta)`` of change records: an event with both
+    coordinates counts 1 for its meter, and -1 for the meter that it had
+    before the change.  A change of nothing that counts gives no row; events
+    without a meter count for none."""
+    def image(prefix: str, sign: int) -> Column:
+        counts = both_present(f"{prefix}latitude", f"{prefix}longitude") & F.col(f"{prefix}meter_number").isNotNull()
+        return F.struct(F.col(f"{prefix}meter_number").alias("meternumber"), F.when(counts, sign).otherwise(0).alias("delta"))
+
+    return (changes.select(F.inline(F.array(image("old_", -1), image("", 1)))).where("meternumber is not null")
+            .groupBy("meternumber").agg(F.sum("delta").alias("delta")))
+
+
+def _summed(log: DataFrame) -> DataFrame:
+    return log.groupBy("meternumber").agg(F.sum("delta").alias("delta"), F.max("batch_id").alias("batch_id"))
+
+
+def event_counts(spark: SparkSession, state_dir: str) -> StateLog:
+    """Events with both coordinates per meter, as signed sums per batch."""
+    return StateLog(spark, state_dir, ["meternumber", "delta"], _summed)
+
+
+def seed_event_counts(spark: SparkSession, events: DataFrame, state_dir: str, batch_id: int = -1) -> str:
+    """Start the counters from stored events: the state before the first
+    change, or, at a known batch, a fresh count that replaces the log so far."""
+    counts = events.where(F.col("meter_number").isNotNull()).groupBy(F.col("meter_number").alias("meternumber")).agg(
+        F.count_if(both_present("latitude", "longitude")).alias("delta"))
+    return event_counts(spark, state_dir).seed(counts, batch_id)
+
+
+def event_count_stream(changes: DataFrame, state_dir: str, checkpoint: str, available_now: bool = True,
+                       compact_every: int = 100) -> StreamingQuery:
+    """Any-event coordinate flags under inserts, updates and deletes of events,
+    for a feed with the values before and after each change (``CHANGE_COLUMNS``).
+
+    A micro-batch reads its own records only: it adds up signed counts per
+    meter and writes the meters it touched.  Sums are taken once per record;
+    a batch that runs again replaces its own rows.  A feed that may repeat a
+    record across batches must drop repeats first.
+    """
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        event_counts(batch.sparkSession, state_dir).append(coordinate_deltas(batch), batch_id, compact_every)
+
+    return _start(changes.writeStream.foreachBatch(sink), checkpoint, available_now)
+
+
+def read_counted_flags(spark: SparkSession, state_dir: str) -> DataFrame:
+    """``(meternumber, has_event_coordinates)`` from ``event_count_stream``;
+    a meter whose last event with coordinates went is listed as false."""
+    return event_counts(spark, state_dir).read().select("meternumber", (F.col("delta") > 0).alias("has_event_coordinates"))

@@ -155,3 +155,76 @@ def test_state_is_kept_in_rocksdb_wherever_defaults_are_applied(spark):
     spark.conf.unset(key)
     apply_defaults(spark)
     assert "RocksDB" in spark.conf.get(key)
+
+
+ATTEMPTS = "user string, ts timestamp, attempt_id long, success boolean"
+
+
+def test_idle_users_leave_the_store_and_late_attempts_are_reported(spark, scratch):
+    base, src, out_dir, chk = datetime(2024, 1, 1), os.path.join(scratch, "in"), os.path.join(scratch, "out"), os.path.join(scratch, "chk")
+
+    def arrive(rows):
+        spark.createDataFrame(rows, ATTEMPTS).coalesce(1).write.mode("append").parquet(src)
+        out = lockout_stream(spark.readStream.schema(ATTEMPTS).parquet(src), timedelta(minutes=15), 3, keep=timedelta(days=2))
+        (out.writeStream.outputMode("append").format("parquet").option("path", out_dir).option("checkpointLocation", chk)
+         .trigger(availableNow=True).start().awaitTermination(120))
+
+    arrive([("a", base, 1, False), ("b", base + timedelta(minutes=1), 2, False), (None, base, 9, None)])
+    arrive([("a", base + timedelta(minutes=5), 3, False), ("b", base - timedelta(days=9), 4, False)])
+    arrive([("a", base + timedelta(days=5), 5, False)])
+    got = {r["attempt_id"]: (r["user"], r["counter"], r["result"], r["success"]) for r in spark.read.parquet(out_dir).collect()}
+    assert got == {1: ("a", 1, "failed", False), 2: ("b", 1, "failed", False), 9: (None, 1, "failed", None), 3: ("a", 2, "failed", False),
+                   4: ("b", 0, "late", False), 5: ("a", 1, "failed", False)}
+    held = spark.read.format("statestore").option("path", chk).option("stateVarName", "counter").load()
+    assert [r["key"]["user"] for r in held.collect()] == ["a"]
+
+
+def _changes(spark, rows):
+    return spark.createDataFrame(rows, "old_meter_number string, old_latitude double, old_longitude double, "
+                                       "meter_number string, latitude double, longitude double")
+
+
+def test_counted_flags_follow_event_changes_without_stored_events(spark, scratch):
+    src, state, chk = os.path.join(scratch, "changes"), os.path.join(scratch, "counts"), os.path.join(scratch, "chk")
+    none = (None, None, None)
+
+    def arrive(rows, compact_every=100):
+        changes = _changes(spark, [(*old, *new) for old, new in rows])
+        changes.coalesce(1).write.mode("append").parquet(src)
+        INC.event_count_stream(INC.read_stream(spark, src, changes.schema), state, chk, compact_every=compact_every).awaitTermination()
+        return {r["meternumber"]: r["has_event_coordinates"] for r in INC.read_counted_flags(spark, state).collect()}
+
+    stored = events(spark, [{"meter_number": "M0", "event_time": "2024-01-01 00:00:00", "latitude": 1.0, "longitude": 1.0},
+                            {"meter_number": "M0", "event_time": "2024-01-01 00:00:00", "latitude": 1.0}])
+    INC.seed_event_counts(spark, stored, state)
+    assert arrive([(none, ("M1", 1.0, 2.0)), (none, ("M1", 3.0, 4.0)), (none, ("M2", None, 2.0)), (none, (None, 1.0, 1.0))]) == {
+        "M0": True, "M1": True, "M2": False}
+    # one of two goes, one gets its second coordinate
+    assert arrive([(("M1", 1.0, 2.0), none), (("M2", None, 2.0), ("M2", 5.0, 2.0))]) == {"M0": True, "M1": True, "M2": True}
+    # the last one goes; one moves to another meter; compaction keeps the sums
+    assert arrive([(("M1", 3.0, 4.0), ("M1", 3.0, None)), (("M2", 5.0, 2.0), ("M3", 5.0, 2.0))], compact_every=1) == {
+        "M0": True, "M1": False, "M2": False, "M3": True}
+    assert arrive([(("M0", 1.0, 1.0), none)], compact_every=1) == {"M0": False, "M1": False, "M2": False, "M3": True}
+    assert sorted(n for n in os.listdir(state) if n.startswith("batch_id=")) == ["batch_id=3"]
+
+
+def test_a_batch_that_runs_again_counts_once(spark, scratch):
+    log = INC.event_counts(spark, os.path.join(scratch, "counts"))
+    delta = INC.coordinate_deltas(_changes(spark, [(None, None, None, "M1", 1.0, 2.0)] * 2))
+    for batch in (0, 1, 1):
+        log.append(delta, batch)
+    assert [tuple(r) for r in log.read().collect()] == [("M1", 4)]
+    log.compact()
+    log.append(delta, 1)                                    # replayed after the compaction
+    assert [tuple(r) for r in log.read().collect()] == [("M1", 4)]
+    log.seed(spark.createDataFrame([("M1", 1)], "meternumber string, delta long"), batch_id=1)
+    assert [tuple(r) for r in log.read().collect()] == [("M1", 1)]
+
+
+def test_flag_log_is_compacted(spark, scratch):
+    log = INC.event_flags(spark, os.path.join(scratch, "flags"))
+    for batch, flag in enumerate([True, False, True, False]):
+        log.append(spark.createDataFrame([("M1", flag), (f"M{batch + 2}", True)], "meternumber string, has_event_coordinates boolean"), batch, 2)
+    got = {r["meternumber"]: r["has_event_coordinates"] for r in INC.read_event_flags(spark, os.path.join(scratch, "flags")).collect()}
+    assert got == {"M1": False, "M2": True, "M3": True, "M4": True, "M5": True}
+    assert log.base()[1] == 3 and sorted(os.listdir(os.path.join(scratch, "flags"))) == ["batch_id=2", "batch_id=3"]
