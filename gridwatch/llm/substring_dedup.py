@@ -7,11 +7,12 @@ difference of two cover entries.  Only anchors (short windows at cover
 positions, 4 of 13) are compared over the whole corpus; windows that hold a
 repeated anchor are then extended to their full length and compared.
 
-Documents are dealt once into hash groups of their id and text.  A group sends each
+Documents are dealt once into groups by their row number.  A group sends each
 distinct anchor, and later each distinct candidate window, once, so a passage
 that a third of all documents share costs one entry per group and no pair is
 ever listed.  The three passes read one shuffle of the texts (Spark reuses
-the exchange).  Windows are compared by 96 hash bits.
+the exchange).  Windows are compared by 95 hash bits where those of all groups
+meet; a group learns which of its windows to remove by 64 of them.
 """
 
 from __future__ import annotations
@@ -135,21 +136,25 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cover it also start earlier: in a smaller id, or earlier in the same
     document.  Windows are judged on the input.  Kept words are joined by one
     space.  Null text: no words, empty ``kept_text``.  Texts under ``window``
-    words are kept whole.  Rows with equal ids count as documents in an
-    order fixed by a hash, null ids come last in such an order; neither meet in
-    one group.  Extra columns pass through;
+    words are kept whole.  Ids are integers (text ids can't be ordered here).
+    Rows with equal ids count as documents in an order fixed by a hash of their
+    row numbers, null ids come last in such an order; they spread over all
+    groups.  ``df`` must give the same rows in the same order when it is read
+    again, as a stored table does.  Extra columns pass through;
     new columns whose name is taken replace that column.  An empty table
     gives an empty table.
     """
     if window < PERIOD + 1:
         raise ValueError(f"window must be over {PERIOD} words")
+    if not isinstance(df.schema[id_col].dataType, T.IntegralType):
+        raise TypeError("ids must be integers")
     spark = ready(df.sparkSession)
     df = df.drop("n_words", "n_removed", "kept_text")
     chars = df.agg(F.sum(F.length(text_col))).first()[0] or 0
     groups = groups_for(spark, chars, CHARS_PER_GROUP)
     buckets = groups_for(spark, chars // 16, ANCHORS_PER_BUCKET, least=1)
     part = fresh("__group", df.columns)
-    dealt = df.withColumn(part, F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(groups)))
+    dealt = df.withColumn(part, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
 
     sent = "bucket long, part long, keys array<long>"
 
