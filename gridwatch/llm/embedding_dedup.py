@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridwatch.llm.common import cut, mix64, ready
 from gridwatch.llm.components import components, spanning
@@ -145,7 +146,8 @@ def _links_of(nodes: DataFrame, dim: int, least: float) -> DataFrame:
                 [*batch.columns, pa.array(home.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()),
                  pa.array(error)], names=[*batch.schema.names, "list", "codes", "error"])
 
-    kinds = "node long, n long, vector array<float>, list int, codes binary, error double"
+    vectors = nodes.schema["vector"].dataType.simpleString()
+    kinds = f"node long, n long, vector {vectors}, list int, codes binary, error double"
     assigned = cut(nodes.select("node", "n", "vector").mapInArrow(assign, kinds))
     blocks = np.ones(len(quantiser.centroids), np.int64)
     for which, n in assigned.groupBy("list").count().collect():                   # one row a list
@@ -178,7 +180,7 @@ def _links_of(nodes: DataFrame, dim: int, least: float) -> DataFrame:
         return _search(table, shared.value, key[0].as_py(), dim, least)
 
     return (assigned.mapInArrow(deal, "list int, members int, queries int, query boolean, node long, n long, "
-                                      "vector array<float>, codes binary, error double")
+                                      f"vector {vectors}, codes binary, error double")
             .groupBy("list", "members", "queries").applyInArrow(search, "kind int, a long, b long"))
 
 
@@ -195,10 +197,13 @@ def embedding_components(df: DataFrame, id_col: str = "vec_id", vector_col: str
     left out; an empty table gives no rows.
     """
     spark = ready(df.sparkSession)
+    # as given: single precision stays, everything else is compared in double
+    element = getattr(df.schema[vector_col].dataType, "elementType", None)
+    kind = "array<float>" if isinstance(element, T.FloatType) else "array<double>"
     v = F.col("vector")
     fine = F.coalesce(F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
                       & F.exists(v, lambda e: e != 0), F.lit(False))
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vector"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast(kind).alias("vector"))
     rows = rows.select("id", "vector", fine.alias("fine"), F.xxhash64("vector").alias("h1"),
                        F.xxhash64(F.lit(9), "vector").alias("h2"))
     nodes = cut(rows.where("fine").groupBy("h1", "h2")
