@@ -6,14 +6,16 @@ the elements around it.  A line's text-to-tag ratio, with boilerplate
 elements at zero, is smoothed along the page by a Gaussian; lines above a
 threshold cluster into content.  The region is the innermost element that
 holds most of that content (an article, where one does), and its lines are
-returned, boilerplate inside it left out.  A form, or an element whose names
-mark it as boilerplate, is left out only if it doesn't hold most of the page's
-unlinked text.
+returned, boilerplate inside it left out.  Elements that are named as comments,
+notices, adverts or navigation never are content, however much of the page
+they hold.  A form, or an element named after its place (a sidebar, a widget),
+is left out only if it doesn't hold most of the page's unlinked text.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -41,17 +43,20 @@ ENDS_P = BLOCKS - {"caption", "tbody", "thead", "tfoot", "tr", "body", "html"}
 #: An open one of these ends where the next begins.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}}
 SCOPES = frozenset("article section div main body td th table ul ol dl blockquote".split())
-#: Words of class, id or role that mark boilerplate, where a name has no others than these and ``AROUND``.
+#: Words of class, id or role that mark boilerplate, where a name has no others than these and ``PLACES`` and
+#: ``AROUND``.
 MARKED = frozenset("""ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion
 banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup
-sidebar side rail widget widgets menu nav navbar navigation breadcrumb breadcrumbs pagination pager toc
-header masthead footer colophon copyright comment comments commentlist disqus reply replies respond
+menu nav navbar navigation breadcrumb breadcrumbs pagination pager toc
+footer colophon copyright comment comments commentlist disqus reply replies respond
 share sharing social related recommended recommendations teaser login search toolbar skip""".split())
+#: Words that name a place of the page: boilerplate unless most of the text is there.
+PLACES = frozenset("sidebar side rail widget widgets header masthead".split())
 AROUND = frozenset("""main site page global top bottom left right primary secondary inner outer wrap wrapper container box area
 list item items section block bar link links button buttons icon icons panel slot unit group form google posts articles
-stories recent""".split())
+stories recent post article user users reader readers entry blog""".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: A form or marked element with more than this part of the unlinked text is content.
+#: A form or place with more than this part of the unlinked text is content.
 FORM_SHARE, MARKED_SHARE = 0.5, MAJORITY
 #: Also in an article these words may name the article's own head.
 OWN_HEAD = frozenset({"header"})
@@ -61,17 +66,19 @@ def _words(name: str) -> set[str]:
     return {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", name)}
 
 
-def _marked(tag: str, attrs: list[tuple[str, str | None]], article: bool) -> bool:
-    """Is one of the names a boilerplate name as a whole?  Ids of headings, and
-    of sections in an article, are made from their titles and tell nothing."""
-    slug = tag in HEADINGS or (article and tag == "section")
+def _marked(tag: str, attrs: list[tuple[str, str | None]], article: bool) -> tuple[bool, bool]:
+    """Is one of the names a boilerplate name as a whole, and is one a place?
+    Ids of headings, and of sections in an article, are made from their titles
+    and tell nothing."""
+    slug, marked, place = tag in HEADINGS or (article and tag == "section"), False, False
     for k, v in attrs:
         if k in ("class", "role") or (k == "id" and not slug):
             for name in (v or "").split():
                 words = _words(name)
-                if words & (MARKED - OWN_HEAD if article else MARKED) and words <= MARKED | AROUND:
-                    return True
-    return False
+                if words <= MARKED | PLACES | AROUND:
+                    marked = marked or bool(words & MARKED)
+                    place = place or bool(words & (PLACES - OWN_HEAD if article else PLACES))
+    return marked, place
 
 
 def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
@@ -81,15 +88,19 @@ def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Lines as (text, tags, linked characters, boilerplate, scopes, doubtful elements)."""
+    """Lines as (text, tags, linked characters, boilerplate, innermost scope,
+    innermost doubtful element).  Scopes and doubtful elements know the one
+    around them (-1: none); an inner one has a larger number."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, tuple[int, ...], tuple[int, ...]]] = []
-        self.kinds: list[str] = ["page"]                 # scope number: element
+        self.lines: list[tuple[str, int, int, bool, int, int]] = []
+        self.kinds, self.around = ["page"], [-1]         # of a scope: its element, the scope around it
         self.shares: list[float] = []                    # of a doubtful element: the part that makes it content
-        # open elements: (tag, boilerplate, scopes, in article, doubtful elements)
-        self.open: list[tuple[str, bool, tuple[int, ...], bool, tuple[int, ...]]] = [("", False, (0,), False, ())]
+        self.outer: list[int] = []                       # the doubtful element around it
+        # open elements: (tag, boilerplate, scope, in article, doubtful element)
+        self.open: list[tuple[str, bool, int, bool, int]] = [("", False, 0, False, -1)]
+        self.opened: Counter[str] = Counter()
         self.words: list[str] = []
         self.tags = self.linked = self.links = 0
 
@@ -99,8 +110,8 @@ class _Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.words).split())
         if text or self.tags:
-            _, skip, scopes, _, doubtful = self.open[-1]
-            self.lines.append((text, self.tags, self.linked, skip, scopes, doubtful))
+            _, skip, scope, _, doubtful = self.open[-1]
+            self.lines.append((text, self.tags, self.linked, skip, scope, doubtful))
         self.words, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -115,17 +126,24 @@ class _Lines(HTMLParser):
             if tag in ("br", "hr", "img"):
                 self.words.append(" ")
             return
-        _, skip, scopes, article, doubtful = self.open[-1]
+        _, skip, scope, article, doubtful = self.open[-1]
         skip = skip or tag in SKIPPED or (tag == "header" and not article) or (bool(attrs) and _hidden(attrs))
-        if tag == "form" or (attrs and tag not in ("html", "body", "article", "main") and _marked(tag, attrs, article)):
-            doubtful = (*doubtful, len(self.shares))
+        marked = place = False
+        if attrs and tag not in ("html", "body", "article", "main"):
+            marked, place = _marked(tag, attrs, article)
+        skip = skip or marked
+        if (tag == "form" or place) and not skip:
+            self.outer.append(doubtful)
+            doubtful = len(self.shares)
             self.shares.append(FORM_SHARE if tag == "form" else MARKED_SHARE)
         article = article or tag in ("article", "main") or any(
             "main" in _words(v or "") for k, v in attrs if k in ("class", "id", "role"))
         if tag in SCOPES or tag in ("article", "main"):
-            scopes = (*scopes, len(self.kinds))
+            self.around.append(scope)
+            scope = len(self.kinds)
             self.kinds.append("article" if tag in ("article", "main") else tag)
-        self.open.append((tag, skip, scopes, article, doubtful))
+        self.open.append((tag, skip, scope, article, doubtful))
+        self.opened[tag] += 1
         self.links += tag == "a"
         if tag in ("td", "th"):
             self.words.append(" ")
@@ -137,6 +155,8 @@ class _Lines(HTMLParser):
     def _close(self, tags: set[str], within: set[str] | frozenset[str]) -> None:
         """Close the innermost open element of ``tags`` if no element of
         ``within`` is open inside it."""
+        if not any(self.opened[t] for t in tags):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] in tags:
                 self._pop(k)
@@ -145,14 +165,16 @@ class _Lines(HTMLParser):
                 return
 
     def _pop(self, k: int) -> None:
-        self.links -= sum(e[0] == "a" for e in self.open[k:])
+        for element in self.open[k:]:
+            self.opened[element[0]] -= 1
+            self.links -= element[0] == "a"
         del self.open[k:]
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
         self.tags += 1
-        for k in range(len(self.open) - 1, 0, -1):
+        for k in range(len(self.open) - 1, 0, -1) if self.opened[tag] else ():
             if self.open[k][0] == tag:
                 self._pop(k)
                 return
@@ -172,6 +194,16 @@ def _smooth(ratio: np.ndarray) -> np.ndarray:
     return np.convolve(ratio, kernel, "full")[REACH:REACH + len(ratio)] / weight
 
 
+def _upward(at: np.ndarray, amount: np.ndarray, around: list[int]) -> np.ndarray:
+    """What the lines inside each element hold (``at``: their innermost one)."""
+    out = np.zeros(len(around))
+    np.add.at(out, at[at >= 0], amount[at >= 0])
+    for k in range(len(around) - 1, -1, -1):
+        if around[k] >= 0:
+            out[around[k]] += out[k]
+    return out
+
+
 def main_text(html: str | None) -> str:
     """The page's main text, blocks joined by line ends; null: empty."""
     html = html or ""
@@ -188,11 +220,12 @@ def main_text(html: str | None) -> str:
     in_links = np.array([x[2] for x in lines])
     linked = in_links > LINKED * np.maximum(size, 1)
     plain = np.where(skip, 0, np.maximum(size - in_links, 0))
-    held = np.zeros(len(parser.shares))
-    for k, x in enumerate(lines):
-        held[list(x[5])] += plain[k]
+    doubtful = np.array([x[5] for x in lines])
+    held = _upward(doubtful, plain, parser.outer)
     boilerplate = held <= np.array(parser.shares) * plain.sum()
-    skip = skip | np.array([bool(x[5]) and bool(boilerplate[list(x[5])].any()) for x in lines])
+    for k, outer in enumerate(parser.outer):
+        boilerplate[k] |= outer >= 0 and boilerplate[outer]
+    skip = skip | np.append(boilerplate, False)[doubtful]
     ratio = np.where(skip | linked, 0, size) / np.maximum([x[1] for x in lines], 1)
     smooth = _smooth(ratio)
     usable = ~skip & (size > 0)
@@ -201,16 +234,19 @@ def main_text(html: str | None) -> str:
         chosen = usable & ~linked
     if not chosen.any():
         return ""
-    mass = np.zeros(len(parser.kinds))
-    for k in np.flatnonzero(chosen):
-        mass[list(lines[k][4])] += size[k]
+    scope = np.array([x[4] for x in lines])
+    mass = _upward(scope, np.where(chosen, size, 0), parser.around)
     total = size[chosen].sum()
     articles = [k for k, kind in enumerate(parser.kinds) if kind == "article" and mass[k] >= ARTICLE_SHARE * total]
     if articles:
         region = max(articles, key=lambda k: (mass[k], -k))
     else:        # scopes are numbered from the outside in: the last one is innermost
         region = max(k for k in range(len(mass)) if mass[k] >= MAJORITY * total)
-    inside = np.array([region in x[4] for x in lines])
+    within = np.zeros(len(parser.kinds), bool)
+    within[region] = True
+    for k in range(region + 1, len(within)):
+        within[k] = within[parser.around[k]]
+    inside = within[scope]
     if not articles:
         # a linked line stays where content is on both sides of it
         at = np.flatnonzero(chosen)
