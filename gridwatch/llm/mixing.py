@@ -72,7 +72,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int =
 
 
 def thresholds(sized: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """One row per source of ``sized(source, size, key, id)``: target, complete
+    """One row per source of ``sized(source, size, key, id, row)``: target, complete
     epochs, and the key range and threshold of the fractional selection."""
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     t = targets(sizes, weights, epochs)
@@ -93,20 +93,19 @@ def thresholds(sized: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int
                     F.col("b.rest").alias("b_rest")))
     last = cut(last)
     inside = (ranged.join(last, ranged["source"].eqNullSafe(last["b_source"]) & (F.col("range") == F.col("end_range")))
-              .groupBy("source", "key", "id", "before", "b_rest").agg(F.sum("size").alias("size")))
-    order = Window.partitionBy("source").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, 0)
+              .select(ranged["source"], "key", "id", "row", "before", "b_rest", "size"))
+    order = Window.partitionBy("source").orderBy("key", "id", "row").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(order))
     fits = F.col("upto") <= F.col("b_rest")
     left = F.col("b_rest") - F.coalesce(F.max(F.when(fits, F.col("upto"))).over(Window.partitionBy("source")), F.col("before"))
     inside = inside.withColumn("left", left).withColumn("miss", F.abs(F.col("left") - F.col("size")))
     end = inside.groupBy(F.col("source").alias("e_source")).agg(
-        F.max(F.when(fits, F.struct("key", "id"))).alias("e"),
-        F.min(F.when(~fits & (F.col("miss") < F.col("left")), F.struct("miss", "key", "id"))).alias("x"))
+        F.max(F.when(fits, F.struct("key", "id", "row"))).alias("e"),
+        F.min(F.when(~fits & (F.col("miss") < F.col("left")), F.struct("miss", "key", "id", "row"))).alias("x"))
     out = t.join(last.select("b_source", "end_range"), F.col("source").eqNullSafe(F.col("b_source")), "left").drop("b_source")
     out = out.join(end, F.col("source").eqNullSafe(F.col("e_source")), "left")
     return cut(out.select("source", "source_size", "target", "epochs", "ranges", "end_range",
-                          F.col("e.key").alias("end_key"), F.col("e.id").alias("end_id"),
-                          F.col("x.key").alias("more_key"), F.col("x.id").alias("more_id")))
+                          F.struct("e.key", "e.id", "e.row").alias("end"), F.struct("x.key", "x.id", "x.row").alias("more")))
 
 
 def key_range(key: str, ranges: str) -> Column:
@@ -127,19 +126,24 @@ def with_thresholds(df: DataFrame, small: DataFrame) -> DataFrame:
 def apply_thresholds(sized: DataFrame, limits: DataFrame) -> DataFrame:
     """``sized`` with ``source_size``, ``target``, ``copies`` and ``taken``."""
     d = with_thresholds(sized, limits).withColumn("range", key_range("key", "ranges"))
+    def at(c: str) -> Column:
+        return F.col(f"{c}.key").isNotNull()
+
+    mine = F.struct("key", "id", "row")
     chosen = (F.col("range") < F.col("end_range")) | (
-        (F.col("range") == F.col("end_range"))
-        & ((F.col("key") < F.col("end_key")) | ((F.col("key") == F.col("end_key")) & (F.col("id") <= F.col("end_id")))
-           | ((F.col("key") == F.col("more_key")) & (F.col("id") == F.col("more_id")))))
+        (F.col("range") == F.col("end_range")) & ((at("end") & (mine <= F.col("end"))) | (at("more") & (mine == F.col("more")))))
     copies = F.col("epochs") + F.coalesce(chosen, F.lit(False)).cast("long")
     return (d.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-            .drop("range", "epochs", "ranges", "end_range", "end_key", "end_id", "more_key", "more_id"))
+            .drop("range", "epochs", "ranges", "end_range", "end", "more", "row"))
 
 
 def sized_rows(df: DataFrame, id_col: str, source_col: str, text_col: str, *keep: Column) -> DataFrame:
-    identity = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    """``(keep, source, size, key, id, row)``: a row without an id has the key of
+    its row number, and rows of one id are told apart by theirs."""
+    row = F.monotonically_increasing_id()
+    identity = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("row "), row))
     return df.select(*keep, F.col(source_col).alias("source"), words(text_col).alias("size"),
-                     sampling_key(identity, letter_share(text_col)).alias("key"), identity.alias("id"))
+                     sampling_key(identity, letter_share(text_col)).alias("key"), identity.alias("id"), row.alias("row"))
 
 
 def mix_sizes(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
@@ -149,8 +153,10 @@ def mix_sizes(df: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     Sources are ordered by code point, null last (null is a source of its
     own), and take the weights in turn.  ``copies`` is complete epochs plus 1
     if selected; ``taken`` = copies x size.  Null texts have size 0; a source of
-    size 0 has target 0.  Rows that share an id share a key and are selected
-    together.  An empty table gives no rows.
+    size 0 has target 0.  Rows that share an id share a key; their row numbers
+    break the tie.  A row without an id has a key of its row number.  A source
+    misses its target by less than the size of one row.  An empty table gives
+    no rows.
     """
     row_id = fresh("__row_id", df.columns)
     sized = cut(sized_rows(df, id_col, source_col, text_col, F.col(id_col).alias(row_id)))
@@ -161,7 +167,8 @@ def mix_sizes(df: DataFrame, id_col: str = "doc_id", source_col: str = "source",
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
         weights: Sequence[float] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """The rows of ``df``, all columns, each as often as the mix takes it.
-    The texts are neither shuffled nor sorted."""
+    The texts are neither shuffled nor sorted; ``df`` is read twice and must give
+    the same rows in the same order, as a stored table does."""
     limits = thresholds(cut(sized_rows(df, id_col, source_col, text_col)), weights, epochs)
     row = fresh("__row", df.columns)
     rows = sized_rows(df, id_col, source_col, text_col, F.struct(*df.columns).alias(row))
