@@ -17,7 +17,7 @@ DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwatch.llm.common import fresh
@@ -83,13 +83,15 @@ def format_conversations(df: DataFrame, id_col: str = "conv_id", turn_col: str =
                          text_col: str = "text", trained_role: str = TRAINED_ROLE) -> DataFrame:
     """One row per conversation: id, ``formatted``, ``loss_spans`` (begin,
     length: code points of ``formatted`` under the loss mask, one span per
-    text of ``trained_role``), ``turns`` (parsed back) and ``round_trip``.
+    text of ``trained_role``; turn: its number, from 0), ``turns`` (parsed back)
+    and ``round_trip``.
 
     Turns are ordered by turn number (null first), ties by role, then text.
     A null role or text counts as empty; a null id is a conversation.
     ``round_trip`` says that the reparsed turns equal the source; with these
     escapes it always holds.  Extra columns are left out; an empty table gives
-    no rows.  A conversation is one output row, so its turns meet in one task.
+    no rows.  A conversation is one output row, so its turns meet in one task;
+    the work grows in proportion to its turns.
     """
     rows = df.select(F.col(id_col).alias("__id"), F.col(turn_col).alias("turn"),
                      F.coalesce(F.col(role_col), F.lit("")).alias("role"),
@@ -97,31 +99,42 @@ def format_conversations(df: DataFrame, id_col: str = "conv_id", turn_col: str =
     rows = _safe(rows, "role", "text")
     turn = F.struct("turn", "role", "text", "__role", "__text")
     by = rows.groupBy("__id").agg(F.sort_array(F.collect_list(turn)).alias("source"))
-    shown = F.transform("source", lambda t: render_turn(t["__role"], t["__text"]))
-    sizes = F.transform("source", lambda t: F.length(render_turn(t["__role"], t["__text"])))
-    # running (position, spans): begin of the next turn, spans so far
-    spans = F.aggregate(
-        F.arrays_zip(sizes.alias("size"), F.col("source").alias("t")),
-        F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<begin:int,length:int>>").alias("spans")),
-        lambda a, x: F.struct(
-            (a["at"] + x["size"]).alias("at"),
-            F.when(x["t"]["role"] == trained_role, F.concat(a["spans"], F.array(F.struct(
-                (a["at"] + len(START) + F.length(x["t"]["__role"]) + 1).alias("begin"),
-                F.length(x["t"]["__text"]).alias("length"))))).otherwise(a["spans"]).alias("spans")),
-        lambda a: a["spans"])
-    out = by.select("__id", F.concat_ws("", shown).alias("formatted"), spans.alias("loss_spans"),
-                    F.transform("source", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
+    # positions as running sums over the turns' rows, which stay where they are
+    each = by.select("__id", F.posexplode("source").alias("nth", "t"))
+    shown = render_turn(F.col("t.__role"), F.col("t.__text"))
+    before = Window.partitionBy("__id").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum("size").over(before), F.lit(0)) + 1 + len(START) + F.length("t.__role") + 1
+    each = each.withColumn("shown", shown).withColumn("size", F.length("shown")).withColumn("begin", begin)
+    span = F.struct(F.col("begin").cast("int").alias("begin"), F.length("t.__text").alias("length"), F.col("nth").alias("turn"))
+    entry = F.struct("nth", "shown", F.struct(F.col("t.role"), F.col("t.text")).alias("turn"),
+                     F.when(F.col("t.role") == trained_role, span).alias("span"))
+    out = (each.groupBy("__id").agg(F.sort_array(F.collect_list(entry)).alias("all"))
+           .select("__id", F.concat_ws("", F.col("all.shown")).alias("formatted"),
+                   F.filter(F.col("all.span"), lambda s: s.isNotNull()).alias("loss_spans"), F.col("all.turn").alias("source")))
     out = out.withColumn("turns", parse(F.col("formatted")))
     name = fresh(id_col, ["formatted", "loss_spans", "turns", "round_trip"])
     return out.select(F.col("__id").alias(name), "formatted", "loss_spans", "turns",
                       F.coalesce(F.col("turns") == F.col("source"), F.lit(False)).alias("round_trip"))
 
 
+def loss_texts(formatted: str = "formatted", spans: str = "loss_spans") -> Column:
+    """The texts under the loss mask, unescaped: every span cut from its own
+    turn of the formatted text, which is split once."""
+    def cut_out(parts: Column) -> Column:
+        def one(s: Column) -> Column:
+            part = F.get(parts, s["turn"])
+            # a part begins at the line end before it, its text behind the role's line
+            return unescape_text(F.substr(part, F.locate("\n", part, 2) + 1, s["length"]))
+        return F.transform(spans, one)
+
+    parts = F.split(F.concat(F.lit("\n"), F.col(formatted)), r"<\|im_end\|>", -1)
+    return F.element_at(F.transform(F.array(parts), cut_out), 1)
+
+
 def digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """Digest columns read back from the output of ``format_conversations``."""
     turns = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
-    loss = F.concat_ws("", F.transform("loss_spans", lambda s: unescape_text(
-        F.substr(F.col("formatted"), s["begin"], s["length"]))))
+    loss = F.concat_ws("", loss_texts())
     return formatted.select(
         id_col, F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
