@@ -267,14 +267,15 @@ def _with_position(page: DataFrame, order: list[Column]) -> DataFrame:
 SHALLOW_ROWS = 10_000
 
 
-def ordered_page(df: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:
+def ordered_page(df: DataFrame, order: list[Column], offset: int, size: int, shallow: int | None = None) -> DataFrame:
     """Rows ``offset`` to ``offset + size`` of ``df`` in ``order`` (a total order).
 
     A task of the plain top-K plan holds offset + size rows.  Deep pages
     therefore range-partition the rows by the order, count each range (one
     number per partition) and sort only the ranges that the page lies in.
+    ``shallow``: rows up to which the plain plan is taken (``SHALLOW_ROWS``).
     """
-    if offset + size <= SHALLOW_ROWS:
+    if offset + size <= (SHALLOW_ROWS if shallow is None else shallow):
         return df.orderBy(*order).offset(offset).limit(size)
     checkpoint_dir(df.sparkSession)
     ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
@@ -288,14 +289,15 @@ def ordered_page(df: DataFrame, order: list[Column], offset: int, size: int) ->
     return part.orderBy(*order).offset(max(0, offset - skipped)).limit(size)
 
 
-def page_rows(customers: DataFrame, f: CustomerFilter, meter_summary_df: DataFrame | None = None) -> DataFrame:
+def page_rows(customers: DataFrame, f: CustomerFilter, meter_summary_df: DataFrame | None = None,
+              shallow: int | None = None) -> DataFrame:
     """The filtered customer records of one page.  A deep page is found on the
     keys alone; its at most 200 keys then select the records."""
     f = normalise_customer_filter(f)
     rows, offset = filter_customers(customers, f, meter_summary_df), (f.page - 1) * f.page_size
-    if offset + f.page_size <= SHALLOW_ROWS:
-        return ordered_page(rows, customer_order(), offset, f.page_size)
-    keys = ordered_page(rows.select("fullname", "ecgkey"), customer_order(), offset, f.page_size)
+    if offset + f.page_size <= (SHALLOW_ROWS if shallow is None else shallow):
+        return ordered_page(rows, customer_order(), offset, f.page_size, shallow)
+    keys = ordered_page(rows.select("fullname", "ecgkey"), customer_order(), offset, f.page_size, shallow)
     return rows.filter(F.col("ecgkey").isin(bounded_keys(keys, "ecgkey", f.page_size))).orderBy(*customer_order())
 
 

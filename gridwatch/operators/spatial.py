@@ -146,6 +146,33 @@ def tile_index(df: DataFrame, zmin: int = MAP_MIN_ZOOM, zmax: int = MAP_MAX_ZOOM
     return up.groupBy("tile_z", "tile_x", "tile_y").agg(*aggs)
 
 
+# Features that a tile shows before it is split.
+TILE_FEATURES = 1000
+
+
+def tile_leaves(df: DataFrame, key: str = "ecgkey", zmin: int = MAP_MIN_ZOOM, zmax: int = MAP_MAX_ZOOM,
+                most: int = TILE_FEATURES, x: str = "geom_x", y: str = "geom_y") -> DataFrame:
+    """``(tile_z, tile_x, tile_y, key)``: every feature in the one tile that
+    shows it.  A tile with more than ``most`` features is split into its four
+    children, down to ``zmax``, whose tiles hold what they hold.
+
+    Points are counted once, in their tile at ``zmax``; the counts of all
+    coarser tiles are sums of these, and a finest tile's leaf is its first
+    ancestor that is small enough.  Features then look up their finest tile's
+    leaf: one join, whatever the depth, and a crowded tile stays rows.
+    """
+    pts = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & in_mercator(y)).select(
+        key, tile_of_fraction(tile_fraction_x(x), F.lit(zmax)).alias("_x"), tile_of_fraction(tile_fraction_y(y), F.lit(zmax)).alias("_y"))
+    finest = pts.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
+    up = finest.withColumn("tile_z", F.explode(F.sequence(F.lit(zmin), F.lit(zmax))))
+    parent = [F.floor(F.col(c) / F.pow(F.lit(2.0), F.lit(zmax) - F.col("tile_z"))).cast("int").alias(n) for c, n in (("_x", "tile_x"), ("_y", "tile_y"))]
+    up = up.select("_x", "_y", "_n", "tile_z", *parent)
+    counts = up.groupBy("tile_z", "tile_x", "tile_y").agg(F.sum("_n").alias("_all"))
+    fits = up.join(counts, ["tile_z", "tile_x", "tile_y"]).filter((F.col("_all") <= most) | (F.col("tile_z") == zmax))
+    leaf = fits.groupBy("_x", "_y").agg(F.min(F.struct("tile_z", "tile_x", "tile_y")).alias("_leaf"))
+    return pts.join(leaf, ["_x", "_y"]).select("_leaf.*", key)
+
+
 def write_tile_index(index: DataFrame, path: str) -> None:
     """Persist a tile index partitioned by zoom, so a viewer reads one zoom."""
     index.write.mode("overwrite").partitionBy("tile_z").parquet(path)

@@ -206,6 +206,15 @@ def bbox_customers(spark, sf):
     return K.in_bbox(stored, *BBOX).select("ecgkey", "geom_x", "geom_y")
 
 
+def bbox_customers_curve(spark, sf):
+    """The box read from a layer stored along a curve: its manifest names the
+    files that are opened."""
+    from gridwatch.operators import curve
+    path = _scratch(spark, "curve")
+    curve.write_curve_layer(K.map_layer(customer_map_view(spark, sf)), path)
+    return curve.read_box(spark, path, *BBOX).select("ecgkey", "geom_x", "geom_y")
+
+
 def tile_features(spark, sf):
     layers = {"customer_map_view": _stored_layer(spark, K.map_layer(customer_map_view(spark, sf)))}
     return K.tile_of_source("customer_map_view", layers, *TILE)
@@ -227,6 +236,19 @@ def tile_index(spark, sf):
     return K.tile_index(customer_map_view(spark, sf), 5, 12, weight="event_count")
 
 
+def tile_leaves(spark, sf):
+    """Every feature of the map view in the tile that shows it: tiles of more
+    than 40 features are split."""
+    return K.tile_leaves(customer_map_view(spark, sf), zmin=5, zmax=12, most=40)
+
+
+def distinct_meters(spark, sf):
+    """True distinct meters of districts, regions and the nation from bitmaps,
+    beside the sums of district counts."""
+    from gridwatch.operators.distinct import distinct_meters as distinct
+    return distinct(_base(spark, sf)[0])
+
+
 def customer_search_page(spark, sf):
     cust, ev = _base(spark, sf)
     f = CustomerFilter(search=SEARCH, page=2, page_size=20)
@@ -271,11 +293,30 @@ def customers_deep_page(spark, sf):
     """A page found by counted ranges, not by a top-K of all rows before it."""
     cust, _ = _base(spark, sf)
     keys = cust.select("fullname", "ecgkey")
-    shallow, C.SHALLOW_ROWS = C.SHALLOW_ROWS, 0
-    try:
-        return C.page_rows(keys, CustomerFilter(page=7, page_size=100)).select("ecgkey", "fullname")
-    finally:
-        C.SHALLOW_ROWS = shallow
+    return C.page_rows(keys, CustomerFilter(page=7, page_size=100), shallow=0).select("ecgkey", "fullname")
+
+
+def _indexed(spark: SparkSession, sf: str) -> str:
+    from gridwatch.operators.search_index import write_indexed_customers
+    path = _scratch(spark, "indexed")
+    write_indexed_customers(_base(spark, sf)[0], path)
+    return path
+
+
+def customers_stored_page(spark, sf):
+    """The same page from a snapshot in name order: its ranks name the files."""
+    from gridwatch.operators.search_index import stored_page
+    return stored_page(spark, _indexed(spark, sf), 7, 100).select("ecgkey", "fullname")
+
+
+def customer_search_indexed(spark, sf):
+    """The searched page from a stored snapshot: trigrams name the files that
+    may hold a match."""
+    from gridwatch.operators.search_index import search_customers
+    cust, ev = _base(spark, sf)
+    f = CustomerFilter(search=SEARCH, page=2, page_size=20)
+    found = search_customers(spark, _indexed(spark, sf), f)
+    return C.flatten_dto(C.customer_page(found, ev, f))
 
 
 def customers_count(spark, sf):
@@ -429,6 +470,18 @@ def merge_meter_summary(spark, sf):
     return merge_by_key(old, new, ["meternumber"])
 
 
+def merge_meter_buckets(spark, sf):
+    """The same upsert on a snapshot in hash buckets: buckets without a changed
+    meter are carried over."""
+    from gridwatch.sources.buckets import BucketedSnapshot
+    cust, ev = _base(spark, sf)
+    cut = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    snap = BucketedSnapshot(spark, _scratch(spark, "buckets"), "meter_summary", "meternumber", buckets=16)
+    snap.merge(S.meter_summary(ev.filter(F.col("event_time") < cut), cust))
+    snap.merge(S.meter_summary(ev.filter(F.col("event_time") >= cut), cust))
+    return snap.read()
+
+
 def merge_district_sticky(spark, sf):
     """A district snapshot from the first load (events of the first half of
     January, names lower-cased, service counters filled) upserted with the
@@ -498,6 +551,40 @@ def pipeline_status(spark, sf):
     return r.status(final=True).drop("finished_at")
 
 
+class _Interrupted(Exception):
+    pass
+
+
+def refresh_resumed(spark, sf):
+    """A refresh that stops in its third step, and the run that resumes it: the
+    steps' states after each, with the rows of the snapshots they published."""
+    from gridwatch.plans import refresh as P
+
+    class Stopping(P.Refresh):
+        def _step_geom(self, *a):
+            raise _Interrupted("stopped for maintenance")
+
+    cust, ev = _base(spark, sf)
+    root = _scratch(spark, "refresh")
+    outputs = dict(zip(P.STEPS, ("meter_summary", "customers_flagged", "customers", "district_event_summary"), strict=True))
+    frames = []
+    for phase, kind in (("stopped", Stopping), ("resumed", P.Refresh)):
+        run = kind(spark, root, run_id="catalog")
+        try:
+            run.run(cust, ev, as_of=AS_OF)
+        except _Interrupted:
+            pass
+        log = run.checkpoints().select("step", "completed", "error_msg")
+        for step, output in outputs.items():
+            rows = run.table(output).count() if run.store.exists(output) else None
+            frames.append(log.filter(F.col("step") == step).select(
+                F.lit(phase).alias("phase"), "step", "completed", F.col("error_msg").isNotNull().alias("failed"), F.lit(rows).cast("long").alias("rows")))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 # Slices in which the stream queries receive their table.
 STREAM_SLICES = 3
 
@@ -577,6 +664,17 @@ def geojson_features(spark, sf):
     return features(C.customer_dto(J.with_latest_event(cust, ev)))
 
 
+def customers_export(spark, sf):
+    """All customers of matching regions, exported as JSON lines in one write and
+    read back."""
+    from gridwatch.sources.exports import JSON_OPTIONS, export_records
+    cust, ev = _base(spark, sf)
+    rows = C.flatten_dto(C.customer_dto(J.with_latest_event(C.filter_customers(cust, CustomerFilter(region_name="a")), ev)))
+    path = _scratch(spark, "export")
+    export_records(rows, path)
+    return spark.read.schema(rows.schema).options(**JSON_OPTIONS).json(path)
+
+
 def customer_page_envelope(spark, sf):
     from gridwatch.sources.exports import customer_envelope
     cust, ev = _base(spark, sf)
@@ -714,6 +812,28 @@ def table_row_counts(spark, sf):
     return table_stats(spark, sf).select("table_name", "row_count", "row_count_text")
 
 
+def table_sizes(spark, sf):
+    """The byte part of the table report, held against a listing of the files."""
+    report = table_stats(spark, sf).select("table_name", "row_count", "total_bytes")
+    listed = None
+    for name in ("customer", "events", "nation", "region"):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{sf}/{name}.parquet")
+        own = files.where(F.col("path").endswith(".parquet")).agg(F.sum("length").alias("listed")).select(F.lit(name).alias("table_name"), "listed")
+        listed = own if listed is None else listed.unionByName(own)
+    return report.join(listed, "table_name").select("table_name", "row_count", (F.col("total_bytes") == F.col("listed")).alias("bytes_agree"))
+
+
+def coordinate_filter_guard(spark, sf):
+    """What a coordinate filter does on customers without the flag column."""
+    cust, _ = _base(spark, sf)
+    try:
+        C.filter_customers(cust, CustomerFilter(has_coordinates=True))
+        outcome = "accepted"
+    except ValueError:
+        outcome = "flag column needed"
+    return cust.agg(F.count("*").alias("customers")).withColumn("outcome", F.lit(outcome))
+
+
 def event_page_envelope(spark, sf):
     """Events of the account's meter, one page, as the events envelope."""
     from gridwatch.sources.exports import event_envelope
