@@ -20,7 +20,7 @@ from gridwatch.sources import fixtures as X  # noqa: E402
 SF = "/root/testdata/sf0.01"
 STREAMING = {"stream_meter_summary", "stream_event_flags", "stream_customer_flags",
              "stream_attempt_lockouts", "refresh_pipeline", "refresh_rerun", "pipeline_status", "events_month_pruned",
-             "stream_event_changes"}
+             "stream_event_changes", "refresh_by_month", "refresh_resumed"}
 # The training-data queries have tests of their own.
 OTHERS = {n for n in E.queries() if n not in E.QUERIES}
 
